@@ -1,6 +1,11 @@
 """Registered queries of the training-data operators."""
 
+from .op1_topk import op1_topk
+from .op2_token_counts import op2_token_counts
+from .op3_bpe_chunks import op3_bpe_chunks
+from .op5_mix import op5_mix
+from .op7_shards import op7_shards
 from .op10_token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op10_token_files,)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_bpe_chunks, op5_mix, op7_shards, op10_token_files)}
 ORACLES: dict[str, str] = {}
