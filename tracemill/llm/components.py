@@ -1,0 +1,34 @@
+"""Connected components of an edge table, by large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
+
+    Each step joins nodes to the smallest neighbour known, with partial aggregation, so a node with very many
+    neighbours is not gathered in one place; edges are written out after each step, and the end is reached when no
+    edge changes, which takes about log2 of the longest path steps.
+    """
+    e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    for _ in range(most):
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Large star: what is above u goes to u's smallest neighbour.
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Small star: what is below u goes to u's smallest neighbour, and so does u.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
+        new = stored(small)
+        change = new.select("u", "v", F.lit(1).alias("w")).unionByName(e.select("u", "v", F.lit(-1).alias("w"))).groupBy("u", "v").agg(F.sum("w").alias("w")).filter("w <> 0")
+        e = new
+        if not change.limit(1).count():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
