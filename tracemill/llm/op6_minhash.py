@@ -244,5 +244,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def first_of_each_group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` that name their component. Rows without doc_id or without words stay.
+
+    All rows of a doc_id share its fate: they go if one of their texts is a copy of a smaller doc_id's.
+    """
+    verdict = near_duplicates(docs, width, threshold).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(verdict, docs["doc_id"] == verdict["gone"], "left_anti").select(*[docs[c] for c in docs.columns])
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)

@@ -7,8 +7,9 @@ from .op4_quality import op4_quality
 from .op5_mix import op5_mix
 from .op6_minhash import op6_minhash
 from .op7_shards import op7_shards
+from .op8_suffix_dedup import op8_suffix_dedup
 from .op9_pii import op9_pii
 from .op10_token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_bpe_chunks, op4_quality, op5_mix, op6_minhash, op7_shards, op9_pii, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_bpe_chunks, op4_quality, op5_mix, op6_minhash, op7_shards, op8_suffix_dedup, op9_pii, op10_token_files)}
 ORACLES: dict[str, str] = {}
