@@ -203,7 +203,7 @@ def verdicts(data: np.ndarray, offsets: np.ndarray, w: np.ndarray | None, share:
 def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> np.ndarray | None:
     """Fit the field on at most ``sample`` labelled documents; None where the labels are not of both kinds."""
     chosen = only(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * sample)
+    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def lines(batches):
         for b in batches:
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> np.nd
             parts = [x[a : min(a + TRAIN_LINES, z)].astype("<f8").tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.record_batch([pa.array(parts, pa.binary()), b.column(1)], ["x", "y"])
 
-    got = rows.select("text", F.col("quality").cast("int").alias("y")).mapInArrow(lines, "x binary, y int").collect()
+    got = rows.select("text", F.col("quality").cast("int").alias("y")).mapInArrow(lines, "x binary, y int").orderBy("y", F.xxhash64("x"), "x").limit(4 * sample).collect()
     if len({r["y"] for r in got}) < 2:
         return None
     xs = [np.frombuffer(r["x"], "<f8").reshape(-1, N_FEATURES) for r in got]

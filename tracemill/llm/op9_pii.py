@@ -221,7 +221,9 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Boosted | None:
     """Trees from candidates of at most ``sample`` documents; None where both kinds of label are not met."""
-    rows = only(docs, "doc_id", "text").filter(r"text rlike '[0-9@]'").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    docs = only(docs, "doc_id", "text").filter(r"text rlike '[0-9@]'")
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
         for b in batches:
