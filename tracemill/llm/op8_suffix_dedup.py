@@ -286,8 +286,12 @@ def _sorted_edges(batches):
         who = doc[owner[order]]
         low = np.minimum.reduceat(who, np.flatnonzero(~equal)) if len(who) else who
         hit = order[who > low[run]] if len(who) else order
-        at = t.column("pos").to_numpy()[owner[hit]] + step[hit]
-        return pa.record_batch([pa.array(t.column("part").to_numpy()[owner[hit]], pa.int32()), pa.array(at), pa.array(at + SPAN)], ["part", "pos", "stop"])
+        at, part = t.column("pos").to_numpy()[owner[hit]] + step[hit], t.column("part").to_numpy()[owner[hit]]
+        by = np.lexsort((at, part))
+        at, part = at[by], part[by]
+        new = np.flatnonzero(np.append(True, (at[1:] > at[:-1] + SPAN) | (part[1:] != part[:-1]))) if len(at) else at
+        ends = np.append(new[1:], len(at)) - 1 if len(at) else new
+        return pa.record_batch([pa.array(part[new], pa.int32()), pa.array(at[new]), pa.array(at[ends] + SPAN)], ["part", "pos", "stop"])
 
     for b in batches:
         t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])]).combine_chunks()
@@ -308,22 +312,28 @@ def _cut(folder: str):
         part = key[0].as_py()
         ids, texts = _read_part(folder, part)
         data, offsets = text_bytes(texts)
-        change = np.zeros(len(data) + 1, np.int32)
-        np.add.at(change, right.column("pos").to_numpy(), 1)
-        np.add.at(change, right.column("stop").to_numpy(), -1)
-        gone = np.cumsum(change[:-1]) > 0
-        n = np.diff(offsets)
-        total = np.append(0, np.cumsum(gone))
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        inside = offsets[:-1][n > 0]
-        begins[inside] = gone[inside]
-        spans = np.append(0, np.cumsum(begins))
-        kept, raw = [], data.tobytes()
-        removed = np.diff(total[offsets])
-        for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True):
-            kept.append(hashlib.sha256(data[a:b][~gone[a:b]].tobytes() if r else raw[a:b]).hexdigest())
-        return pa.table([ids, pa.array(n), pa.array(removed), pa.array(np.diff(spans[offsets])), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        order = np.argsort(right.column("pos").to_numpy(), kind="stable")
+        start, stop = merged(right.column("pos").to_numpy()[order], right.column("stop").to_numpy()[order])
+        kept, removed, spans = [], [], []
+        for lo, hi in slices(offsets, 1_000_000):
+            base, top = int(offsets[lo]), int(offsets[hi])
+            own = slice(int(np.searchsorted(stop, base, "right")), int(np.searchsorted(start, top)))
+            change = np.zeros(top - base + 1, np.int8)
+            change[np.maximum(start[own], base) - base] += 1
+            change[np.minimum(stop[own], top) - base] -= 1
+            gone = np.cumsum(change[:-1], dtype=np.int8) > 0
+            at = offsets[lo : hi + 1] - base
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inside = at[:-1][np.diff(at) > 0]
+            begins[inside] = gone[inside]
+            removed.append(np.diff(np.append(0, np.cumsum(gone))[at]))
+            spans.append(np.diff(np.append(0, np.cumsum(begins))[at]))
+            part = data[base:top]
+            for x, y, r in zip(at[:-1].tolist(), at[1:].tolist(), removed[-1].tolist(), strict=True):
+                kept.append(hashlib.sha256((part[x:y][~gone[x:y]] if r else part[x:y]).tobytes()).hexdigest())
+        n, removed, spans = np.diff(offsets), np.concatenate(removed or [offsets[:0]]), np.concatenate(spans or [offsets[:0]])
+        return pa.table([ids, pa.array(n), pa.array(removed), pa.array(spans), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
