@@ -1,8 +1,6 @@
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from tests.llm.fixtures import documents, empty
 from tracemill.llm import op6_minhash
 
@@ -67,11 +65,3 @@ def test_blocks_of_lists_and_clusters_lose_nothing(spark, monkeypatch):
     got = op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
     assert Counter(map(tuple, got.collect())) == brute(rows)
 
-
-def test_component_steps(spark):
-    from tracemill.llm.components import components
-
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 100), (7, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 100}
-    assert components(spark.createDataFrame([], "a long, b long").withColumn("x", F.lit(1))).count() == 0

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import batch, only, slices, stored, table, text_bytes
-from .components import components
 from .op2_token_counts import words_of
 from .wordhash import hash_words, mix
 
