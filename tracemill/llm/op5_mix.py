@@ -71,7 +71,8 @@ def slots(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int
     g = g.withColumn("nb", F.expr(f"(source_size + {block - 1}) div {block}")).withColumn("passes", F.expr("want div source_size")).withColumn("rest", F.expr("want % source_size"))
     key = f"xxhash64(skey, {seed})"
     g = g.withColumn("tail_at", F.expr(feistel("nb - 1", "nb", key, inverse=True)))
-    g = g.withColumn("part", F.explode(F.expr(f"sequence(0, (nb * (passes + 1) - 1) div {SLOTS_A_TASK})"))).repartition("skey", "part")
+    g = g.withColumn("part", F.explode(F.expr(f"sequence(0, (nb * (passes + 1) - 1) div {SLOTS_A_TASK})")))
+    g = g.repartition(int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "part")  # few rows, but much is made of each
     s = g.withColumn("slot", F.explode(F.expr(f"sequence(part * {SLOTS_A_TASK}, least((part + 1) * {SLOTS_A_TASK}, nb * (passes + 1)) - 1)")))
     s = s.withColumn("j", F.expr("slot % nb")).withColumn("block", F.expr(feistel("j", "nb", key)))
     long = F.expr(f"least({block}, source_size - block * {block})")
@@ -87,7 +88,8 @@ def mix_pieces(starts: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataF
     """
     p = starts.filter("size > 0").select("skey", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     p = p.withColumn("lo", F.expr(f"greatest(start, block * {block})")).withColumn("hi", F.expr(f"least(start + size, (block + 1) * {block})"))
-    m = slots(goals, block).join(p, ["skey", "block"]).withColumn("n_words", F.expr(f"least(hi, block * {block} + take) - lo"))
+    # Both sides grow with the words; sizes guessed before the slots are made must not turn one into a broadcast.
+    m = slots(goals, block).hint("merge").join(p, ["skey", "block"]).withColumn("n_words", F.expr(f"least(hi, block * {block} + take) - lo"))
     return m.filter("n_words > 0").select("skey", "start", "slot", "shard", F.expr("lo - start").alias("word_from"), "n_words")
 
 
