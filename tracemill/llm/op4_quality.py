@@ -229,7 +229,7 @@ def quality(docs: DataFrame, w: np.ndarray | None, share: float = SHARE) -> Data
     def run(batches):
         for b in batches:
             data, offsets = text_bytes(b.column(1))
-            for lo, hi in slices(offsets, 4_000_000):
+            for lo, hi in slices(offsets, 1_500_000):
                 stats, failed, kept = verdicts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], w, share)
                 yield batch(schema, b.column(0).slice(lo, hi - lo), *[stats[n] for n in names], failed, kept)
 
@@ -243,7 +243,7 @@ def good_documents(docs: DataFrame, w: np.ndarray | None, share: float = SHARE)
     def run(batches):
         for b in batches:
             data, offsets = text_bytes(b.column(place))
-            for lo, hi in slices(offsets, 4_000_000):
+            for lo, hi in slices(offsets, 1_500_000):
                 _, _, kept = verdicts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], w, share)
                 yield b.slice(lo, hi - lo).filter(pa.array(kept))
 
