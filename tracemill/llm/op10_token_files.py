@@ -53,7 +53,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMP
     """A dictionary from at most ``sample`` documents, those of smallest hash; empty where there is too little to learn."""
     import zstandard
 
-    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    # Ids are ordered, not texts; only the chosen rows' texts go to the driver.
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(sample).collect()
     arrays = [a + struct.pack("<I", end_id) for a in encode_all([r["text"] or "" for r in rows], path)]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
