@@ -24,7 +24,7 @@ from .common import batch, only, slices, table, text_bytes
 MASK = np.uint64(511 << 40)  # a cut where nine bits of the hash are zero: every 512 bytes on average
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LEAST = 64  # bytes in a chunk, but for a text's last one
-MOST_CHUNKS = 60_000  # kept in a Python worker; then all are dropped and learnt again
+MOST_CHUNKS = 20_000  # kept in a Python worker; then all are dropped and learnt again
 _CODERS: dict[str, "ChunkCoder"] = {}
 
 
@@ -61,7 +61,7 @@ class ChunkCoder:
     """chunk -> (text before its first blank, pieces between, text after its last blank), with ids and decoded text."""
 
     def __init__(self, path: str):
-        self.memo = PieceMemo(path, "", most=400_000, lower=True, decoded=True)
+        self.memo = PieceMemo(path, "", most=250_000, lower=True, decoded=True)
         self.chunks: dict[bytes, tuple] = {}
 
     def learn(self, new: list[bytes]) -> None:
