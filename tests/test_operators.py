@@ -57,3 +57,74 @@ def test_full_compare_names_each_fault(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k long, v string")
     b = spark.createDataFrame([(1, "x"), (2, "q"), (4, "z")], "k long, v string")
     assert {(t["k"], t["status"]) for t in frames.full_compare(a, b, ["k"], "v").collect()} == {(2, "DIFFERENT"), (3, "ABSENT"), (4, "UNEXPECTED")}
+
+
+def test_bounds_equal_every_way_to_settle(spark):
+    from itertools import product
+
+    from tracemill.operators import review
+
+    def rates(tp, fp, fn):
+        return tp / (tp + fp) if tp + fp else None, tp / (tp + fn) if tp + fn else None, 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else None
+
+    cases = list(product((0, 2), (0, 3), (0, 1), (0, 2), (0, 1)))
+    df = spark.createDataFrame(cases, "tp long, fp long, fn long, open_top long, open_other long")
+    for r in review.uncertainty_bounds(df).collect():
+        ways = [rates(r.tp + a, r.fp + r.open_top - a, r.fn + b) for a in range(r.open_top + 1) for b in range(r.open_other + 1)]
+        for i, name in enumerate(("precision", "recall", "f1")):
+            seen = [w[i] for w in ways if w[i] is not None]
+            got = r[f"{name}_low"], r[f"{name}_high"]
+            assert got == ((None, None) if not seen else (min(seen), max(seen))), (r, name)
+
+
+def test_context_is_strictly_earlier_and_bounded(spark):
+    from tracemill.operators import labels
+
+    rows = [("a", 1, 10), ("a", 2, 10), ("a", 3, 10), ("a", 4, 11), ("a", 5, 11), ("a", 6, 12), ("b", 7, 1), ("b", 8, None)]
+    df = spark.createDataFrame(rows, "s string, id long, t long")
+    got = {r.id: [c.id for c in r.context] for r in labels.recent_context(df, ["s"], "t", ["id"], 2, ["id"]).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [3, 2], 5: [3, 2], 6: [5, 4], 7: [], 8: []}
+
+
+def test_allocation_goes_round_small_strata(spark):
+    from tracemill.operators import splits
+
+    df = spark.createDataFrame([("a", 2), ("b", 1), ("c", 100), ("d", 0)], "stratum string, n long")
+    for budget in (0, 1, 7, 50, 103, 500):
+        got = {r.stratum: r["take"] for r in splits.allocate(df, budget).collect()}
+        assert sum(got.values()) == min(budget, 103) and got["a"] <= 2 and got["b"] <= 1, (budget, got)
+
+
+def test_cases_fall_back_to_the_next_unused(spark):
+    from tracemill.operators import review
+
+    df = spark.createDataFrame([(1, 10), (2, 20)], "rk long, key long")
+    got = [tuple(r) for r in review.case_studies(df, "rk", "key", {"FIRST": F.col("rk") == 1, "AGAIN": F.col("rk") == 1, "NONE": F.col("rk") > 5}).collect()]
+    assert got == [(1, "FIRST", "FIRST", 10), (2, "AGAIN", "FALLBACK_NEXT_UNUSED_RANK", 20)]
+    assert review.case_studies(df.limit(0), "rk", "key", {"FIRST": F.col("rk") == 1}).count() == 0
+
+
+def test_forest_sets_outliers_apart(spark):
+    from tracemill.operators import forest
+
+    df = spark.range(600).select("id", (F.col("id") % 17).cast("double").alias("x"), F.when(F.col("id") == 599, 500.0).otherwise((F.col("id") % 13).cast("double")).alias("y"))
+    model = forest.fit(df, F.lit(True), "id", ["x", "y"], trees=20, sample=256)
+    assert forest.score(df, "id", ["x", "y"], model).orderBy(F.desc("raw_score")).first()["id"] == 599
+    assert forest.fit(df.limit(0), F.lit(True), "id", ["x", "y"]) == ([], 0)
+
+
+def test_csv_keeps_cells_and_tells_bad_lines(spark, tmp_path):
+    from tracemill.sources import files
+
+    df = spark.createDataFrame([("=1+1", " pad ", 'q"uote'), ("plain", "", "x,y")], "a string, b string, c string")
+    files.write_csv(df, f"file://{tmp_path}/x")
+    got = files.read_csv(spark, f"file://{tmp_path}/x", ["a", "b", "c"]).orderBy("a").drop("_bad").collect()
+    assert ("'=1+1", " pad ", 'q"uote') in [tuple(r) for r in got] and len(got) == 2
+    assert files.header_faults(spark, f"file://{tmp_path}/x", ["a", "z"]) == [("ABSENT", "z")]
+
+
+def test_first_groups_stop_before_the_limit(spark):
+    from tracemill.operators import splits
+
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5)], "g string, o long")
+    assert sorted(r.o for r in splits.first_groups(df, "g", "o", 3).collect()) == [1, 2, 3]

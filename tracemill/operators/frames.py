@@ -89,3 +89,8 @@ def full_compare(left: DataFrame, right: DataFrame, keys: list[str], value: str)
     return both.withColumn("status", status).filter("status is not null").select(*keys, "expected", "actual", "status")
 
 
+def allowed(df: DataFrame, columns: list[str], denied: set[str]) -> DataFrame:
+    """The allowed columns alone; an error where one of them is denied."""
+    if set(columns) & denied:
+        raise ValueError(f"denied columns: {sorted(set(columns) & denied)}")
+    return df.select(*columns)

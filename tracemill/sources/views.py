@@ -33,6 +33,22 @@ SELECT d.doc_id AS row_key, d.source AS group_id, CAST(d.n_chars AS DOUBLE) AS s
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""),
     "doc_keys": ("documents", """
 SELECT doc_id AS row_key, text AS exact_key, concat(lang, ':', source, ':', CAST(n_chars % 97 AS STRING)) AS near_key FROM {documents}"""),
+    "alerts": ("events", """
+SELECT event_id + 1 AS record_number, CAST(user_id AS STRING) AS session, 1700000000 + event_id * 7 AS itime,
+  CASE WHEN event_type = 'error' THEN 'utm' ELSE 'traffic' END AS event_type, CASE WHEN event_type = 'error' THEN 'anomaly' ELSE 'forward' END AS event_subtype,
+  CASE event_type WHEN 'error' THEN 'clear_session' WHEN 'click' THEN 'start' WHEN 'view' THEN 'accept' ELSE 'timeout' END AS event_action,
+  CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 3 = 0 THEN 'icmp_sweep' ELSE 'icmp_src_session' END AS threat_name,
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN concat('anomaly: icmp_sweep, ', CAST(event_id % 200 AS STRING), ' > threshold 100')
+    WHEN event_type = 'error' AND event_id % 3 = 1 THEN concat('anomaly: icmp_src_session, ', CAST(event_id % 700 AS STRING), ' > threshold 300') ELSE 'none' END AS event_message,
+  CASE WHEN user_id % 10 < 6 THEN 'TRAIN' WHEN user_id % 10 = 6 THEN 'VALIDATION' WHEN user_id % 10 < 9 THEN 'TEST' ELSE 'UNKNOWN' END AS split, value
+FROM {events}"""),
+    "reviewed": ("documents labels", """
+SELECT row_key, group_id, score, membership, CASE WHEN membership <> 'NOT_SELECTED' THEN concat('R-', CAST(row_key AS STRING)) END AS review_id,
+  CASE WHEN membership = 'NOT_SELECTED' OR row_key % 7 = 0 THEN NULL WHEN row_key % 5 = 0 THEN 'UNCERTAIN' WHEN toxic = 1 OR quality = 0 THEN 'SUSPICIOUS' ELSE 'NOT_SUSPICIOUS' END AS blind_label,
+  quality = 0 AS rule_seen, row_key % 11 = 0 AS threat_seen
+FROM (SELECT d.doc_id AS row_key, d.source AS group_id, CAST(d.n_chars AS DOUBLE) AS score, l.toxic, l.quality,
+  CASE WHEN d.n_chars >= 1500 THEN 'TOP_50' WHEN d.doc_id % 3 = 0 THEN 'COMPARISON' ELSE 'NOT_SELECTED' END AS membership
+  FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id) x"""),
 }
 
 
@@ -40,8 +56,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS, or a given table."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    tables, text = VIEWS[name]
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()})
+    return view_of(spark, name, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in VIEWS[name][0].split()})
+
+
+def view_of(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A view over other tables of the same columns, streams included."""
+    return spark.sql(VIEWS[name][1], **tables)
 
 
 def oracle(sql: str) -> str:
