@@ -227,7 +227,8 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Boosted | None:
 
     def run(batches):
         for b in batches:
-            for t in b.column(1).to_pylist():
+            for v in b.column(1):
+                t = v.as_py()
                 base = base_spans(t)
                 x = [(features(t, *c), any(c[0] < e and a < c[2] for a, _, e in base)) for c in candidates(t)] + [(f, True) for f in rewritten(t, base)]
                 if x:
@@ -284,19 +285,30 @@ def redacted_documents(docs: DataFrame, model: Boosted | None) -> DataFrame:
     """docs with personal data replaced in ``text`` (and ``n_chars`` following it); rows without any are unchanged."""
     at, sizes = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    def hidden(b: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(b.column(at))
+        new = {}
+        for i in np.flatnonzero(_suspects(data, offsets)).tolist():
+            text = b.column(at)[i].as_py()
+            base = base_spans(text)
+            spans = base + added_spans(text, base, model)
+            if spans:
+                new[i] = redact(text, spans)
+        if not new:
+            return b
+        texts = [new.get(i, v) for i, v in enumerate(b.column(at).to_pylist())]
+        b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+        if sizes is None:
+            return b
+        lengths = [len(new[i]) if i in new else v for i, v in enumerate(b.column(sizes).to_pylist())]
+        return b.set_column(sizes, b.schema.field(sizes), pa.array(lengths, b.schema.field(sizes).type))
+
     def run(batches):
         for b in batches:
-            data, offsets = text_bytes(b.column(at))
-            texts, lengths = b.column(at).to_pylist(), None if sizes is None else b.column(sizes).to_pylist()
-            for i in np.flatnonzero(_suspects(data, offsets)).tolist():
-                base = base_spans(texts[i])
-                spans = base + added_spans(texts[i], base, model)
-                if spans:
-                    texts[i] = redact(texts[i], spans)
-                    if lengths is not None:
-                        lengths[i] = len(texts[i])
-            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-            yield b if lengths is None else b.set_column(sizes, b.schema.field(sizes), pa.array(lengths, b.schema.field(sizes).type))
+            _, offsets = text_bytes(b.column(at))
+            for lo, hi in slices(offsets, 2_000_000):
+                yield hidden(b.slice(lo, hi - lo))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 
