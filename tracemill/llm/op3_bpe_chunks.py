@@ -24,7 +24,7 @@ from .common import batch, only, slices, table, text_bytes
 MASK = np.uint64(511 << 40)  # a cut where nine bits of the hash are zero: every 512 bytes on average
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LEAST = 64  # bytes in a chunk, but for a text's last one
-MOST_CHUNKS = 20_000  # kept in a Python worker; then all are dropped and learnt again
+MOST_CHUNKS = 8_000  # kept in a Python worker; then all are dropped and learnt again
 _CODERS: dict[str, "ChunkCoder"] = {}
 
 
@@ -61,7 +61,7 @@ class ChunkCoder:
     """chunk -> (text before its first blank, pieces between, text after its last blank), with ids and decoded text."""
 
     def __init__(self, path: str):
-        self.memo = PieceMemo(path, "", most=250_000, lower=True, decoded=True)
+        self.memo = PieceMemo(path, "", most=120_000, lower=True, decoded=True)
         self.chunks: dict[bytes, tuple] = {}
 
     def learn(self, new: list[bytes]) -> None:
@@ -135,7 +135,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True) -> DataFr
     def run(batches):
         for b in batches:
             data, offsets = text_bytes(b.column(1))
-            for lo, hi in slices(offsets, 8_000_000):
+            for lo, hi in slices(offsets, 2_000_000):
                 part = data[offsets[lo] : offsets[hi]]
                 ids, n, a, d = [], [], [], []
                 for i, t in encode_texts(part, offsets[lo : hi + 1] - offsets[lo], tokenizer):
@@ -144,6 +144,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True) -> DataFr
                     a.append(hashlib.sha256(i).hexdigest())
                     d.append(hashlib.sha256(t).hexdigest())
                 yield batch(schema, b.column(0).slice(lo, hi - lo), n, ids, a, d)
+            pa.default_memory_pool().release_unused()
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 
