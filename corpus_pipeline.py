@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import op3_bpe_chunks, op4_quality, op5_mix, op6_minhash, op9_pii
-from tracemill.llm.common import stored, table
+from tracemill.llm.common import bound_batches, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. The line labels are learnt from ``labels``."""
+    bound_batches(spark)
     return op4_quality.good_documents(docs, op4_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, the one with the smallest doc_id stays."""
+    bound_batches(spark)
     return op6_minhash.first_of_each_group(docs, width=5)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; no document goes."""
+    bound_batches(spark)
     return op9_pii.redacted_documents(docs, op9_pii.train(docs))
 
 
@@ -36,6 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the mixed texts, with the digests of the ids and of what they decode to."""
     import public_tokenizers
 
+    bound_batches(spark)
     return op3_bpe_chunks.bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -32,6 +32,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound the bytes of one Arrow batch in this session, unless it has a bound of its own.
+
+    Rows alone bound a batch by default; ten thousand long texts then stand in the executor's buffers and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def slices(offsets: np.ndarray, most: int):
     """Ranges of documents whose bytes together stay near ``most``; one long document makes a range alone."""
     n, lo = len(offsets) - 1, 0
