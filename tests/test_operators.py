@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars as S
@@ -128,3 +129,23 @@ def test_first_groups_stop_before_the_limit(spark):
 
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5)], "g string, o long")
     assert sorted(r.o for r in splits.first_groups(df, "g", "o", 3).collect()) == [1, 2, 3]
+
+
+def test_quantiles_by_group_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(g, float(i // 3), i) for g in ("a", "b") for i in range(11)] + [("a", None, 99), ("c", 7.0, 1), ("d", None, 2)], "g string, v double, k long")
+    got = {(r.g, r.q): r.v for r in frames.quantiles_by_group(df, "g", "v", "k", [0.0, 0.5, 1.0]).collect()}
+    assert got == {(g, q): v for g in ("a", "b") for q, v in ((0.0, 0.0), (0.5, 1.0), (1.0, 3.0))} | {("c", q): 7.0 for q in (0.0, 0.5, 1.0)}
+
+
+def test_blinded_looks_inside_structs(spark):
+    df = spark.sql("select 1 as k, named_struct('x', array(named_struct('label', 1))) as s, 2 as label")
+    assert frames.blinded(df, ["k"], {"label"}).columns == ["k"]
+    with pytest.raises(ValueError, match="label"):
+        frames.blinded(df, ["k", "s"], {"label"})
+
+
+def test_category_counts_of_arrays_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(1, ["p", "q"]), (1, ["p"]), (None, [])], "a int, b array<string>")
+    charts = {"a": F.col("a"), "b[]": F.col("b")}
+    assert {tuple(r) for r in frames.category_counts(df, charts).collect()} == {("a", "1", 2), ("b", "p", 2), ("b", "q", 1)}
+    assert frames.category_counts(df.limit(0), charts).count() == 0

@@ -94,3 +94,52 @@ def allowed(df: DataFrame, columns: list[str], denied: set[str]) -> DataFrame:
     if set(columns) & denied:
         raise ValueError(f"denied columns: {sorted(set(columns) & denied)}")
     return df.select(*columns)
+
+
+def quantiles_by_group(df: DataFrame, group: str, value: str, key: str, shares: list[float]) -> DataFrame:
+    """group, q, value: the ceil(q * n)-th of each group's values, from one global order instead of a sort a group.
+
+    ``key`` tells rows apart; rows without a value are left out.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(group, value, key)
+    ranked = stored(global_rank(rows, [group, value, key], "_rk"))
+    sizes = ranked.groupBy(group).agg(F.count("*").alias("_n"), F.min("_rk").alias("_first"))
+    places = F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("q")
+    wanted = sizes.select(F.col(group).alias("_g"), "_n", "_first", places).withColumn("_at", F.col("_first") + F.greatest(F.ceil(F.col("q") * F.col("_n")), F.lit(1)) - 1)
+    # A rank belongs to one row, so the rank alone joins and no group gathers in one task.
+    return ranked.join(wanted, F.col("_rk") == F.col("_at")).select(group, "q", value)
+
+
+def nested_names(schema) -> set[str]:
+    """Names of all fields of a schema, those inside structs, arrays and maps included."""
+    kind = schema.typeName()
+    if kind == "struct":
+        return {f.name for f in schema.fields} | {n for f in schema.fields for n in nested_names(f.dataType)}
+    if kind == "array":
+        return nested_names(schema.elementType)
+    if kind == "map":
+        return nested_names(schema.keyType) | nested_names(schema.valueType)
+    return set()
+
+
+def blinded(df: DataFrame, columns: list[str], forbidden: set[str]) -> DataFrame:
+    """The listed columns for a blind review; an error where a forbidden name stands at any depth of them."""
+    out = df.select(*columns)
+    met = nested_names(out.schema) & forbidden
+    if met:
+        raise ValueError(f"forbidden in a blind review: {sorted(met)}")
+    return out
+
+
+def category_counts(df: DataFrame, charts: dict[str, Column]) -> DataFrame:
+    """chart, category, n: counts of every chart's categories from one scan.
+
+    A name ending in [] marks an array of categories; a null category is not counted.
+    """
+
+    def pairs_of(name: str, e: Column) -> Column:
+        values = e if name.endswith("[]") else F.array(e)
+        return F.transform(values, lambda v: F.struct(F.lit(name.removesuffix("[]")).alias("chart"), v.cast("string").alias("category")))
+
+    pairs = [pairs_of(*x) for x in charts.items()]
+    return df.select(F.explode(F.concat(*pairs)).alias("p")).select("p.*").filter("category is not null").groupBy("chart", "category").agg(F.count("*").alias("n"))
