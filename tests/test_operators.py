@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars as S
-from tracemill.operators import detect, frames, graph, metrics
+from tracemill.operators import detect, frames, graph, metrics, splits
 
 
 def test_ranks_and_percentiles_with_ties(spark):
@@ -149,3 +149,29 @@ def test_category_counts_of_arrays_nulls_and_no_rows(spark):
     charts = {"a": F.col("a"), "b[]": F.col("b")}
     assert {tuple(r) for r in frames.category_counts(df, charts).collect()} == {("a", "1", 2), ("b", "p", 2), ("b", "q", 1)}
     assert frames.category_counts(df.limit(0), charts).count() == 0
+
+
+def test_fold_fit_on_large_close_values(spark):
+    rows = [(i % 3, 1e9 + i % 5) for i in range(60)] + [(None, 5.0), (7, 5.0), (1, None)]
+    got = {r.fold: r for r in splits.fold_fit(spark.createDataFrame(rows, "f int, v double"), F.col("f"), 3, "v").collect()}
+    for k in range(3):
+        own = [v for f, v in rows if f in {0, 1, 2} - {k} and v is not None]
+        mean = sum(own) / len(own)
+        assert got[k].n == len(own) and abs(got[k].mean - mean) < 1e-5
+        assert abs(got[k].deviation - (sum((v - mean) ** 2 for v in own) / len(own)) ** 0.5) < 1e-5
+
+
+def test_leaked_rows(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 0), ("b", 1), (None, 1), (None, 0)], "g string, f int")
+    assert {tuple(r) for r in splits.leaked_rows(df, "g", F.col("f"), 2).collect()} == {(0, 4, 2), (1, 2, 2)}
+
+
+def test_split_manifest_keeps_components_whole(spark):
+    from tracemill.plans import package_plans
+
+    keys = spark.createDataFrame([(i, f"t{i // 2}", f"n{i // 6}") for i in range(300)] + [(300, None, ""), (301, "", None)], "row_key long, exact_key string, near_key string")
+    got = {r.row_key: (r.root, r.part) for r in package_plans.g5(keys).collect()}
+    assert sorted(got) == list(range(302)) and all(got[i] == got[i // 6 * 6] for i in range(300))
+    assert got[300][0] == "300" and got[301][0] == "301"
+    sizes = [sum(p == n for _, p in got.values()) for n in ("TRAIN", "CALIBRATION", "COMPARISON")]
+    assert abs(sizes[0] - 242) <= 6 and abs(sizes[1] - 30) <= 12

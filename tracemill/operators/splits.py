@@ -89,3 +89,28 @@ def allocate(sizes: DataFrame, budget: int) -> DataFrame:
     want = rounds.filter("left > 0 and n > base").select("left", "at", "stratum", F.explode(F.expr("sequence(1, least(left, n - base))")).alias("round"))
     served = global_rank(want, ["round", "at"], "rk").filter("rk <= left").groupBy("stratum").agg(F.count("*").alias("more"))
     return s.join(served, "stratum", "left").select("stratum", "n", (F.col("base") + F.coalesce("more", F.lit(0))).cast("bigint").alias("take"))
+
+
+def fold_fit(df: DataFrame, fold: Column, folds: int, value: str) -> DataFrame:
+    """fold, n, mean, deviation of ``value`` over the rows of the other folds, from one scan.
+
+    Moments of the folds are pooled about the pooled mean, which stays exact where values are large and close.
+    """
+    x = F.col(value).cast("double")
+    own = df.filter(fold.between(0, folds - 1) & F.col(value).isNotNull()).groupBy(fold.alias("fold")).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
+    whole = own.agg(F.collect_list(F.struct("fold", "n", "m", "v")).alias("xs"))  # ``folds`` entries at most
+
+    def total(f):
+        return F.aggregate("xs", F.lit(0.0), lambda a, e: a + F.when(e["fold"] == F.col("fold"), 0.0).otherwise(f(e)))
+
+    rest = own.select("fold").crossJoin(F.broadcast(whole)).withColumn("n", total(lambda e: e["n"].cast("double")))
+    rest = rest.withColumn("mean", F.try_divide(total(lambda e: e["n"] * e["m"]), F.col("n")))
+    spread = F.try_divide(total(lambda e: e["n"] * (e["v"] + (e["m"] - F.col("mean")) * (e["m"] - F.col("mean")))), F.col("n"))
+    return rest.select("fold", F.col("n").cast("bigint").alias("n"), "mean", F.sqrt(spread).alias("deviation"))
+
+
+def leaked_rows(df: DataFrame, group: str, fold: Column, folds: int) -> DataFrame:
+    """fold, n, leaked: rows of each fold, and those whose group has rows in another fold too. One shuffle by group."""
+    wide = df.groupBy(group).agg(*[F.count_if(fold == k).alias(f"f{k}") for k in range(folds)])
+    cells = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.col(f"f{k}").alias("n")) for k in range(folds)])).alias("c"), sum((F.col(f"f{k}") for k in range(1, folds)), F.col("f0")).alias("all"))
+    return cells.groupBy("c.fold").agg(F.sum("c.n").alias("n"), F.sum(F.when(F.col("all") > F.col("c.n"), F.col("c.n")).otherwise(0)).alias("leaked"))

@@ -79,8 +79,9 @@ def keys(d):
     """Star edges: each row to the smallest row of its key, for either kind of key. Blank keys link nothing."""
     out = None
     for k in ("exact_key", "near_key"):
-        low = d.filter(S.filled(k)).groupBy(F.xxhash64(F.lit(k), k).alias("h")).agg(F.min("row_key").alias("b"))
-        e = d.filter(S.filled(k)).select(F.col("row_key").alias("a"), F.xxhash64(F.lit(k), k).alias("h")).join(low, "h").select("a", "b")
+        rows = d.filter(S.filled(k)).select(F.col("row_key").alias("a"), F.unhex(F.sha2(k, 256)).alias("h"))
+        low = rows.groupBy("h").agg(F.min("a").alias("b"))
+        e = rows.join(low, "h").select("a", "b")
         out = e if out is None else out.unionByName(e)
     return out
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detect, frames, normalize, review
+from ..operators import detect, frames, normalize, review, splits
 from ..registry import ORACLES, query
+from ..sources.shared import stored
 from . import log_plans
 from .log_plans import ISSUES, PORT, RULES
 from .review_plans import STATUS, behaviours
@@ -139,3 +140,47 @@ def rp5(logs):
 
 
 ORACLES["rp5_section_rows"] = " UNION ALL ".join(f"SELECT '{name}' AS section, count(*) AS n FROM ({ORACLES[q]}) t" for name, (q, _) in SECTIONS.items())
+
+
+STORED = "SELECT {k} AS category, count(*) AS n FROM reviewed WHERE {w} AND {k} IS NOT NULL GROUP BY 1"
+
+
+@query("au10_au11_summary_differences", "reviewed", sql=" UNION ALL ".join(f"SELECT '{n}' AS chart, category, e.n AS expected, a.n AS actual, CASE WHEN e.n IS NULL THEN 'UNEXPECTED' WHEN a.n IS NULL THEN 'ABSENT' ELSE 'DIFFERENT' END AS status FROM ({STORED.format(k=k, w='true')}) e FULL JOIN ({STORED.format(k=k, w='row_key % 10 <> 0')}) a USING (category) WHERE e.n IS DISTINCT FROM a.n" for n, k in (("membership", "membership"), ("label", "blind_label"))))
+def au10(x):
+    """Counts recomputed from all rows against a stored summary; here the summary lacks every tenth key."""
+    charts = {"membership": F.col("membership"), "label": F.col("blind_label")}
+    return frames.full_compare(frames.category_counts(x, charts), frames.category_counts(x.filter("row_key % 10 <> 0"), charts), ["chart", "category"], "n")
+
+
+BOUNDS = {"source_port": ("src_port", 65535), "destination_port": ("dst_port", 65535), "sent_bytes": ("net_sentbytes", None)}
+
+
+@query("au1_coverage_bounds", "logs", sql=" UNION ALL ".join(f"SELECT '{n}' AS path, count(*) AS n, count(x) AS filled, min(x) AS low, max(x) AS high, count(*) FILTER (WHERE x < 0{f' OR x > {top}' if top else ''}) AS outside, count(*) FILTER (WHERE x IS NULL AND NOT {m(c)}) AS lost FROM (SELECT *, CASE WHEN {i(c)} >= 0{f' AND {i(c)} <= {top}' if top else ''} THEN {i(c)} END AS x FROM logs)" for n, (c, top) in BOUNDS.items()))
+def au1(logs):
+    """Coverage and range of every converted path, and filled source cells that gave no value, from one scan."""
+    v = lambda n: F.col(f"network.{n}")
+    cells = [F.struct(F.lit(n).alias("path"), v(n).alias("x"), (v(n).isNull() & S.filled(F.col("source_record")[c])).alias("lost"), F.coalesce((v(n) < 0) | (v(n) > top if top else F.lit(False)), F.lit(False)).alias("outside")) for n, (c, top) in BOUNDS.items()]
+    x = normalize.normalize(logs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return x.groupBy("path").agg(F.count("*").alias("n"), F.count("x").alias("filled"), F.min("x").alias("low"), F.max("x").alias("high"), F.count_if("outside").alias("outside"), F.count_if("lost").alias("lost"))
+
+
+@query("au13_leaked_signals", "flows", sql="WITH f AS (SELECT session_id, record_number % 3 AS fold, count(*) AS n FROM flows GROUP BY ALL), g AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS d FROM f) SELECT CAST(fold AS INT) AS fold, CAST(sum(n) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (WHERE d > 1), 0) AS BIGINT) AS leaked FROM g GROUP BY 1")
+def au13(flows):
+    return splits.leaked_rows(flows, "session_id", F.col("record_number") % 3, 3)
+
+
+@query("ml22_fold_fit", "flows", sql="WITH f AS (SELECT *, CAST(('0x' || substr(sha256(session_id), 1, 16))::UBIGINT % 4 AS INT) AS fold FROM flows) SELECT k.fold, count(*) AS n, round(avg(sent_packets), 6) AS mean, round(stddev_pop(sent_packets), 6) AS deviation FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold WHERE sent_packets IS NOT NULL GROUP BY 1")
+def ml22(flows):
+    """Folds follow the session's hash, so that no group is split by a fit set."""
+    f = splits.fold_fit(flows, S.hash_bucket("session_id", 4), 4, "sent_packets")
+    return f.withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
+
+
+@query("g5_split_manifest", "doc_keys")
+def g5(d):
+    """Components of equal or near keys, cut into 80, 10 and 10 percent of rows; the part of every row."""
+    from .flow_plans import rooted
+
+    rows = stored(rooted(d).select("row_key", F.col("root").cast("string").alias("root")))
+    parts = splits.contiguous_split(rows.groupBy("root").agg(F.count("*").alias("n")), "root", "n")
+    return rows.join(parts.select("root", "part"), "root")
