@@ -43,6 +43,22 @@ def test_topk_equals_brute_force(spark):
     assert op1_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_of_repeated_rows(spark):
+    r = np.random.default_rng(8)
+    vec = r.integers(-9, 9, size=(60, 4))
+    rows = [(i * 20, v.tolist()) for i, v in enumerate(vec)]
+    rows += [rows[5]] * 10 + [(200, v.tolist()) for v in r.integers(-9, 9, size=(3, 4))] + [(7, vec[0].tolist())] * 30
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    want = Counter()
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 100 == 0}:
+        others = list(rows)
+        others.remove((q, list(v)))  # the asked row alone; its copies stay
+        best = sorted(((-(2**20) * int(np.dot(v, w)), i) for i, w in others))[:10]
+        want.update((q, rank, i, -s) for rank, (s, i) in enumerate(best, 1))
+    assert sum(q == 100 for q, *_ in want.elements()) == 10 and sum(q == 200 for q, *_ in want.elements()) == 40
+    assert Counter(map(tuple, op1_topk.top_k(df).collect())) == want
+
+
 def test_topk_blocks_prune_without_loss():
     r = np.random.default_rng(5)
     x = r.integers(-20, 20, size=(700, 5))

@@ -9,6 +9,10 @@ scored, since ties go to the smaller vec_id.
 
 Query blocks meet segments pairwise, each pair in one task; neither side is ever in one place as a whole.
 Vectors that are null or hold null or non-finite components take no part; vectors meet only vectors of their length.
+
+Rows may repeat a vec_id. Each distinct (vec_id, scaled vector) is asked once and gets ranks of its own from 1, so a vec_id
+with several vectors has several lists under one query_id. Only the asked row itself is left out, by a key of the
+stored rows: its copies and other rows of its vec_id are candidates, each a row of its own.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ BLOCK = 64
 QUERIES = 2048
 
 
-def prune_and_score(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+def prune_and_score(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, block: int = BLOCK, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``rows`` and scores of the k best of each query (-1 where there are fewer), best first.
 
-    ``own`` holds the queries' ids, which are left out. Integer inner products; ties to the smaller id.
+    ``keys`` tell the rows apart (their ids if not given); ``own`` holds the queries' keys, which are left out.
+    Integer inner products; ties to the smaller id.
     """
+    keys = ids if keys is None else keys
     n, d = rows.shape
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(d, 1) * (2 * n + 2) < 2.0**52
     kind = np.float64 if exact else object  # whole numbers either way
@@ -46,7 +52,7 @@ def prune_and_score(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own:
     rank[np.argsort(ids, kind="stable")] = np.arange(n)
     back = np.argsort(rank)
     ranks = np.where(filled >= 0, rank[filled], 0).reshape(m, block)
-    block_ids = np.where(filled >= 0, ids[filled], 0).reshape(m, block)
+    block_keys = np.where(filled >= 0, keys[filled], 0).reshape(m, block)
     stops = real.sum(1)
     high = np.array([index[i, :s].max(0) for i, s in enumerate(stops)], kind).reshape(m, d)
     low = np.array([index[i, :s].min(0) for i, s in enumerate(stops)], kind).reshape(m, d)
@@ -65,9 +71,9 @@ def prune_and_score(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own:
             a = live[lo : lo + 256]
             c = chosen[a]
             scores = np.einsum("abd,ad->ab", index[c], q[a]) if exact else (index[c] * q[a][:, None, :]).sum(2)
-            keys = scores.astype(best.dtype) * n + (n - 1 - ranks[c])
-            keys[~real[c] | (block_ids[c] == own[a][:, None])] = none
-            both = np.concatenate([best[a], keys], 1)
+            worth = scores.astype(best.dtype) * n + (n - 1 - ranks[c])
+            worth[~real[c] | (block_keys[c] == own[a][:, None])] = none
+            both = np.concatenate([best[a], worth], 1)
             best[a] = -np.sort(-both, axis=1)[:, :k]
     there = best != none
     scores = np.where(there, best // n, 0)
@@ -76,29 +82,30 @@ def prune_and_score(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own:
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for rows whose vec_id is divisible by ``every``."""
+    """query_id, rank (from 1), vec_id, score for each distinct (vec_id, vector) whose vec_id is divisible by ``every``."""
     v = only(vectors, "vec_id", "embedding").filter("vec_id is not null and embedding is not null")
     v = v.filter("forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))")
-    v = stored(v.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v")))
-    asked = v.filter(F.col("vec_id") % every == 0)
+    v = stored(v.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"), F.monotonically_increasing_id().alias("row_key")))
+    asked = v.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.min("row_key").alias("row_key"))
     segments, parts = max(1, math.ceil(v.count() / SEGMENT)), max(1, math.ceil(asked.count() / QUERIES))
-    seg, part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(segments)), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts))
-    rows = v.select("vec_id", "v", seg.alias("seg"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.size("v").alias("d"))
-    asks = asked.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))).alias("seg"), part.cast("int").alias("part"), F.size("v").alias("d"))
+    seg, part = F.pmod(F.xxhash64("row_key", F.lit(1)), F.lit(segments)), F.pmod(F.xxhash64("row_key", F.lit(2)), F.lit(parts))
+    rows = v.select("row_key", "vec_id", "v", seg.alias("seg"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.size("v").alias("d"))
+    asks = asked.select("row_key", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))).alias("seg"), part.cast("int").alias("part"), F.size("v").alias("d"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
+        empty = pd.DataFrame({"asked": pd.Series([], dtype="int64"), "query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
         if not len(left) or not len(right):
             return empty
         q, x = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         asked_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        at, scores = prune_and_score(q, x, ids, asked_ids, k)
+        own = left["row_key"].to_numpy()
+        at, scores = prune_and_score(q, x, ids, own, k, keys=right["row_key"].to_numpy())
         i, j = np.nonzero(at >= 0)
-        return pd.DataFrame({"query_id": asked_ids[i], "vec_id": ids[at[i, j]], "score": scores[i, j].astype("int64")})
+        return pd.DataFrame({"asked": own[i], "query_id": asked_ids[i], "vec_id": ids[at[i, j]], "score": scores[i, j].astype("int64")})
 
     keys = ["seg", "part", "d"]
-    found = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(meet, "asked long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
