@@ -8,11 +8,12 @@
    either class (prefix), and long lists are skipped for all classes that are posted in shorter ones.
 3. Inside a list the signatures are compared (collision counts); links that the threshold keeps form clusters. A
    list gives a tree of links, not its pairs. Lists of more than LIST_BLOCK classes are dealt out as pairs of blocks.
-4. In each cluster, links are confirmed on full shingle sets, recomputed from the texts of the classes' first
-   documents: from each class outwards to whatever is left unreached, so a tight group costs about its size.
+4. In each cluster, links are confirmed on full shingle sets, recomputed from one text of each class, found by row
+   key: from each class outwards to whatever is left unreached, so a tight group costs about its size.
    Clusters of more than CLUSTER_BLOCK classes are dealt out as pairs of blocks too.
 
 A text without words is empty: n_shingles 0, linked with nothing. Null doc_ids take no part in naming a component.
+Rows are told apart by a key that is written with their texts, since doc_ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ COORDINATES = 48
 MATCHES = 26
 LIST_BLOCK = 1024
 CLUSTER_BLOCK = 2048
+ROW = "_row_key"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240601)
@@ -182,27 +184,32 @@ def _in_blocks(df: DataFrame, key: str, nb: str) -> DataFrame:
     return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """Every row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, written with a key (ROW) of their own."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
-    ``width``: words in a shingle. Links: 100 * intersection >= threshold * union, threshold at least 80.
+
+def _labelled(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """ROW, doc_id, n_shingles, component_id and first (the ROW of the component's first row) of rows with ROW.
+
+    First is the smallest doc_id, then the smallest key; rows without doc_id come last. Rows without words: no first.
     """
-    docs = only(docs, "doc_id", "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
+    docs = only(docs, ROW, "doc_id", "text")
+    schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
 
     def measure(batches):
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
+            data, offsets = text_bytes(b.column(2))
             for lo, hi in slices(offsets, 4_000_000):
                 n, names, sigs = [], [], []
                 for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width):
                     n.append(len(s))
                     names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sigs.append(signature(s).tobytes() if len(s) else None)
-                yield batch(schema, b.column(0).slice(lo, hi - lo), n, names, sigs)
+                yield batch(schema, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), n, names, sigs)
 
-    rows = stored(docs.mapInArrow(measure, "doc_id long, n_shingles long, cls binary, sig binary"))
-    classes = stored(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    rows = stored(docs.mapInArrow(measure, f"{ROW} long, doc_id long, n_shingles long, cls binary, sig binary"))
+    classes = stored(rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("rep"), F.first("sig").alias("sig")))
 
     # Coordinate-value pairs as one number; a signature is COORDINATES little-endian numbers of 32 bits.
     tokens = classes.select("cls", F.posexplode(F.expr(f"transform(sequence(0, {COORDINATES - 1}), k -> conv(hex(substring(sig, 4 * k + 1, 4)), 16, 10))")).alias("k", "v"))
@@ -218,9 +225,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     clusters = components(links)
 
     sizes = clusters.groupBy("root").agg(F.expr(f"cast((count(*) + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK} as int)").alias("nb"))
-    members = stored(clusters.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "rep", "sig"), "node").select("root", "nb", F.col("node").alias("cls"), "rep", "sig"))
-    # Null doc_ids meet too; a doc_id with several texts gives the class's own one by its digest.
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["rep"])).select("root", "nb", "cls", "sig", "text")
+    members = stored(clusters.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "rep", "sig"), "node").select("root", "nb", F.col("node").alias("cls"), F.col(f"rep.{ROW}").alias(ROW), "sig"))
+    texts = docs.join(members, ROW).select("root", "nb", "cls", "sig", "text")  # one row a class
     sets_schema = pa.schema([("root", pa.binary()), ("nb", pa.int32()), ("cls", pa.binary()), ("sig", pa.binary()), ("shingles", pa.binary())])
 
     def again(batches):
@@ -228,29 +234,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
             data, offsets = text_bytes(b.column(4))
             for lo, hi in slices(offsets, 4_000_000):
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)]
-                want = b.column(2).slice(lo, hi - lo).to_pylist()
-                right = pa.array([hashlib.blake2b(s, digest_size=16).digest() == w for s, w in zip(sets, want, strict=True)])
                 part = b.slice(lo, hi - lo)
-                yield batch(sets_schema, *[part.column(k) for k in range(4)], sets).filter(right)
+                yield batch(sets_schema, *[part.column(k) for k in range(4)], sets)
 
-    sets = texts.mapInArrow(again, "root binary, nb int, cls binary, sig binary, shingles binary").dropDuplicates(["root", "cls"])
+    sets = texts.mapInArrow(again, "root binary, nb int, cls binary, sig binary, shingles binary")
     confirmed = _in_blocks(sets, "root", "nb").select("root", "i", "j", "cls", "sig", "shingles").mapInArrow(_confirmed(threshold), "a binary, b binary")
     groups = components(confirmed)
 
     named = classes.join(groups, classes["cls"] == groups["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = named.join(lowest, "root").select("cls", "component_id")
-    out = rows.join(labels, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
+    labels = named.join(lowest, "root").select("cls", F.col("low.doc_id").alias("component_id"), F.col(f"low.{ROW}").alias("first"))
+    return rows.join(labels, "cls", "left").select(ROW, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """Every row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+
+    ``width``: words in a shingle. Links: 100 * intersection >= threshold * union, threshold at least 80.
+    """
+    out = _labelled(_keyed(only(docs, "doc_id", "text")), width, threshold).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def first_of_each_group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` that name their component. Rows without doc_id or without words stay.
+    """One row of each component: its smallest doc_id's, or one without doc_id where none has one. Rows without words stay.
 
-    All rows of a doc_id share its fate: they go if one of their texts is a copy of a smaller doc_id's.
+    Of equal doc_ids in a component one row stays; rows of a doc_id in several components are judged by themselves.
     """
-    verdict = near_duplicates(docs, width, threshold).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(verdict, docs["doc_id"] == verdict["gone"], "left_anti").select(*[docs[c] for c in docs.columns])
+    rows = _keyed(docs)
+    gone = _labelled(rows, width, threshold).filter(f"first <> {ROW}").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
