@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from tests.llm.fixtures import documents, empty
 from tracemill.llm import op8_suffix_dedup
@@ -67,6 +68,30 @@ def test_split_anchors_lose_nothing(spark, monkeypatch):
     assert split.max() > 0 and len(edges)
 
 
+def test_rows_of_one_doc_id_fill_no_part(spark, monkeypatch, tmp_path):
+    texts = [t for t in passages() if t]
+    rows = [(None if i % 3 == 0 else 40 if i % 3 == 1 else i, t) for i, t in enumerate(texts * 4)] + [(40, texts[0])] * 60
+    folder = f"file://{tmp_path}/parts"
+    monkeypatch.setattr(op8_suffix_dedup, "shared_dir", lambda spark: folder)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = Counter(map(tuple, op8_suffix_dedup.remove_repeats(df).collect()))
+    finally:
+        spark.conf.unset(key)
+    assert got == brute(rows)
+    parts = [pq.read_table(f).column("doc_id").to_pylist() for f in sorted((tmp_path / "parts").glob("part-*.parquet"))]
+    assert None not in sum(parts, [])
+    assert sum(40 in p for p in parts) > 1 and all(set(p) == {40} for p in parts if 40 in p)
+
+
+def test_answers_by_rank():
+    anchors, bodies = np.array([1, 1, 1, 2, 2, 3, 3], "<u4"), np.array([5, 5, 5, 6, 7, 8, 9], "<u8")
+    got = op8_suffix_dedup.answers(anchors, bodies, np.array([10, 10, 11, 10, 10, 10, 11]))
+    assert got.tolist() == [0, 0, op8_suffix_dedup.KNOWN, 0, 0, 1, 1]
+
+
 def test_awkward_rows(spark):
     docs = documents(spark)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]

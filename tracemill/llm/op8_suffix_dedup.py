@@ -5,8 +5,10 @@ needs the order of all suffixes, but only where texts have something in common,
 
 * Every window of SPAN bytes has an anchor, its GRAM-byte string of smallest hash. Equal windows have equal anchors at
   equal places. Windows that follow each other and share an anchor make a run; there is one for about 14 bytes.
-* Texts are dealt into parts by ranges of doc_id. A part posts its distinct runs (hash of the anchor, hash of the
-  run's bytes) to buckets by anchor. A bucket answers for each run: known in an earlier part; alone; or an edge, that
+* Texts are dealt to tasks by ranges of doc_id, and a doc_id of many rows may fill several tasks. The first and the last
+  doc_id of a task are parts of their own, so two parts hold different doc_ids or the same single one; a part is as
+  early as its smallest doc_id (its rank). A part posts its distinct runs (hash of the anchor, hash of the
+  run's bytes) to buckets by anchor. A bucket answers for each run: known in a part of lower rank; alone; or an edge, that
   is, its anchor also stands in other bytes. Runs inside a copied passage are known, runs at its ends are edges.
 * Edges of an anchor meet as texts. Their windows' suffixes are sorted by deep-shallow sorting, equal neighbours give
   the smallest doc_id of each string, and windows that an earlier document has are marked.
@@ -15,7 +17,7 @@ needs the order of all suffixes, but only where texts have something in common,
 An anchor with very many edges is dealt out by hashes of windows. A part keeps one run of a kind, so a passage that
 stands everywhere costs a bucket one entry a part. Texts wait in the shared folder, one file a part.
 
-Null texts are empty. Rows without doc_id neither lose bytes nor count as earlier documents; rows that share a doc_id
+Null texts are empty. Rows without doc_id neither lose bytes nor count as earlier documents and are only hashed; rows that share a doc_id
 do not remove bytes from each other.
 """
 
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import only, shared_dir, slices, stored, table, text_bytes
 from .deep_shallow import sort_suffixes
@@ -163,17 +166,19 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], far[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
 
 
-def answers(anchors: np.ndarray, bodies: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """For runs of one bucket: KNOWN, 0, or 1 + log2 of the split of an edge."""
-    order = np.lexsort((parts, bodies, anchors))
-    a, b, p = anchors[order], bodies[order], parts[order]
+def answers(anchors: np.ndarray, bodies: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For runs of one bucket: KNOWN, 0, or 1 + log2 of the split of an edge. Parts of one rank hold one doc_id."""
+    order = np.lexsort((ranks, bodies, anchors))
+    a, b, r = anchors[order], bodies[order], ranks[order]
     new_a = np.append(True, a[1:] != a[:-1])
-    first = new_a | np.append(True, b[1:] != b[:-1])
+    new_b = new_a | np.append(True, b[1:] != b[:-1])
+    first = r == r[np.flatnonzero(new_b)][np.cumsum(new_b) - 1]  # of the lowest rank that has the run
     group = np.cumsum(new_a) - 1
-    kinds = np.bincount(group, weights=first).astype(np.int64)[group]
+    kinds = np.bincount(group, weights=new_b).astype(np.int64)[group]
+    rows = np.bincount(group, weights=first)[group]
     starts = np.flatnonzero(new_a)
-    apart = (np.minimum.reduceat(p, starts) != np.maximum.reduceat(p, starts))[group]
-    code = np.where(first, np.where((kinds > 1) & apart, 1 + np.ceil(np.log2(np.maximum(1, kinds / EDGES_A_TASK))), 0), KNOWN)
+    apart = (np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts))[group]
+    code = np.where(first, np.where((kinds > 1) & apart, 1 + np.ceil(np.log2(np.maximum(1, rows / EDGES_A_TASK))), 0), KNOWN)
     out = np.empty(len(a), np.uint8)
     out[order] = code
     return out
@@ -194,6 +199,8 @@ def _read_part(folder: str, part: int) -> tuple[pa.Array, pa.Array]:
 
 
 def _post(folder: str, buckets: int):
+    names = ["bucket", "part", "rank", "a", "b"]
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -204,15 +211,21 @@ def _post(folder: str, buckets: int):
         t = pa.Table.from_batches(got).combine_chunks()
         system, root = _filesystem(folder)
         system.create_dir(root, recursive=True)
-        draft, part = f"{root}/.{task.partitionId()}-{task.taskAttemptId()}", task.partitionId()
-        with system.open_output_stream(draft) as f:
-            pq.write_table(t, f, compression="zstd", use_dictionary=False)
-        system.move(draft, f"{root}/part-{part:06d}.parquet")
-        posts = list(Part(t.column(0).combine_chunks(), t.column(1).combine_chunks(), buckets).posts())
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "part", "a", "b"])
-        for lo in range(0, len(posts), 16):
-            some = posts[lo : lo + 16]
-            yield pa.record_batch([pa.array([k for k, _, _ in some], pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([a.tobytes() for _, a, _ in some], pa.binary()), pa.array([b.tobytes() for _, _, b in some], pa.binary())], ["bucket", "part", "a", "b"])
+        ids = t.column(0).to_numpy()
+        inner, outer = int(np.searchsorted(ids, ids[0], "right")), int(np.searchsorted(ids, ids[-1]))
+        for k, (lo, hi) in enumerate(((0, inner), (inner, outer), (max(inner, outer), len(ids)))):
+            if lo >= hi:
+                continue
+            own, part, rank = t.slice(lo, hi - lo), 3 * task.partitionId() + k, int(ids[lo])
+            draft = f"{root}/.{part}-{task.taskAttemptId()}"
+            with system.open_output_stream(draft) as f:
+                pq.write_table(own, f, compression="zstd", use_dictionary=False)
+            system.move(draft, f"{root}/part-{part:06d}.parquet")
+            posts = list(Part(own.column(0).combine_chunks(), own.column(1).combine_chunks(), buckets).posts())
+            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([rank], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names)
+            for at in range(0, len(posts), 16):
+                some = posts[at : at + 16]
+                yield pa.record_batch([pa.array([k for k, _, _ in some], pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([rank] * len(some), pa.int64()), pa.array([a.tobytes() for _, a, _ in some], pa.binary()), pa.array([b.tobytes() for _, _, b in some], pa.binary())], names)
 
     return run
 
@@ -224,7 +237,7 @@ def _answer(t: pa.Table) -> pa.Table:
     a = [np.frombuffer(x, "<u4") for x in t.column("a").to_pylist()]
     b = [np.frombuffer(x, "<u8") for x in t.column("b").to_pylist()]
     sizes = [len(x) for x in a]
-    codes = answers(np.concatenate(a), np.concatenate(b), np.repeat(parts, sizes))
+    codes = answers(np.concatenate(a), np.concatenate(b), np.repeat(t.column("rank").to_numpy(), sizes))
     cut = np.append(0, np.cumsum(sizes)).tolist()
     return pa.table({"part": pa.array(parts, pa.int32()), "bucket": t.column("bucket"), "codes": pa.array([codes[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
@@ -342,17 +355,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # One range partition is a part: doc_ids of a part are below those of the next, and equal ones are together.
+    docs = only(docs, "doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    free = docs.filter("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    # Rows of one doc_id are spread by their texts, and copies by the partition they come from.
     # The posts are computed in one job, so the parts' files and numbers come from one run of the range split.
-    parts = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    posts = parts.mapInArrow(_post(folder, buckets), "bucket int, part int, a binary, b binary")
+    dealt = docs.filter("doc_id is not null").withColumns({"hash": F.xxhash64("text"), "origin": F.spark_partition_id()}).repartitionByRange("doc_id", "hash", "origin")
+    parts = dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    posts = parts.mapInArrow(_post(folder, buckets), "bucket int, part int, rank long, a binary, b binary")
     codes = stored(posts.groupBy("bucket").applyInArrow(_answer, "part int, bucket int, codes binary"))
     settled = stored(codes.groupBy("part").applyInArrow(_settle(folder, buckets), _SETTLED))
     edges = settled.filter("bytes is not null").select("part", "anchor", "sub", "doc_id", "pos", "mask", "bytes")
     marked = edges.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub").mapInArrow(_sorted_edges, "part int, pos long, stop long")
     ranges = settled.filter("bytes is null").select("part", "pos", "stop").unionByName(marked)
     files = codes.filter("bucket = -1").select("part")
-    return files.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_cut(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = files.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_cut(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.unionByName(free)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
