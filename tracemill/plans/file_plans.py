@@ -96,28 +96,31 @@ def model_rows(flows):
 def ml3(flows):
     """record_number, percentile, band: forest on reference rows, then the percentile among them."""
     rows, names = model_rows(flows)
-    scored = stored(forest.score(rows, "record_number", names, forest.fit(rows, is_ref(), "record_number", names, trees=100, sample=1024)))
+    scored = stored(forest.score(rows, "record_number", names, forest.fit(rows, is_ref(), "record_number", names)))
     s = scored.join(rows.select("record_number", is_ref().alias("ref")), "record_number")
     return frames.reference_percentile(s, "raw_score", F.col("ref")).select("record_number", F.round("percentile", 6).alias("percentile"), S.anomaly_band("percentile").alias("band"))
 
 
 @query("ml5_seed_sensitivity", "flows")
 def ml5(flows):
-    """How much the first hundred of two forests, grown from other seeds, have in common."""
+    """How much the first 50 and the first 100 of two forests, grown from other seeds, have in common."""
     rows, names = model_rows(flows)
     tops = None
     for seed in (7, 8):
-        model = forest.fit(rows, is_ref(), "record_number", names, trees=50, sample=512, seed=seed)
-        top = forest.score(rows, "record_number", names, model).orderBy(F.desc("raw_score"), "record_number").limit(100).select("record_number")
-        tops = top if tops is None else tops.unionByName(top)
-    return tops.groupBy("record_number").agg(F.count("*").alias("c")).agg((F.count_if(F.col("c") == 2) / F.count("*")).alias("jaccard"))
+        model = forest.fit(rows, is_ref(), "record_number", names, seed=seed)
+        best = (F.desc("raw_score"), "record_number")
+        first = stored(forest.score(rows, "record_number", names, model).orderBy(*best).limit(100))
+        for top in (50, 100):
+            part = first.orderBy(*best).limit(top).select(F.lit(top).alias("top"), "record_number")
+            tops = part if tops is None else tops.unionByName(part)
+    return tops.groupBy("top", "record_number").agg(F.count("*").alias("c")).groupBy("top").agg((F.count_if(F.col("c") == 2) / F.count("*")).alias("jaccard"))
 
 
 @query("ml6_ml24_cluster_scores", "flows")
 def ml6(flows):
     """record_number, distance to the nearest of the centres fitted on reference rows, and its largest residuals."""
     rows, names = model_rows(flows)
-    centres = learn.fit_centres(rows.filter(is_ref()), names, k=8)
+    centres = learn.fit_centres(rows.filter(is_ref()), names)
     return features.nearest_centroid(rows.select("record_number", F.array(*names).alias("embedding")), centres).select("record_number", "nearest", F.round("distance", 6).alias("distance"), "top_dims")
 
 
@@ -131,7 +134,7 @@ def ml9(flows):
 @query("ml10_ml23_random_forest", "flows")
 def ml10(flows):
     rows, names = model_rows(flows)
-    model = learn.random_forest(rows.filter(is_ref()), names, "label", trees=20, depth=8)
+    model = learn.random_forest(rows.filter(is_ref()), names, "label")
     return learn.probability(model, rows.filter(~is_ref()), names, ["record_number", "label"])
 
 
