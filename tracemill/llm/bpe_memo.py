@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
+from operator import attrgetter
 
 _LOADED: dict = {}
 
@@ -35,72 +36,121 @@ def byte_signs() -> list[str]:
 
 
 _SIGNS = dict(enumerate(byte_signs()))
-#: Latin letters with marks behind them, alone or twice with a line end between: each part is a pre-token by itself.
-_LETTERS, _MARKS = "([A-Za-zÀ-ÖØ-öø-ÿ]+)", r"([!-/:-@\[-`{-~]*)"
-_WORD = re.compile(f"{_LETTERS}{_MARKS}(?:\n{_LETTERS}{_MARKS})?")
+#: ASCII marks. A run of them behind letters is a pre-token by itself.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_id, _value = attrgetter("id"), attrgetter("value")
 
 
 class PieceMemo:
     """piece -> ids (bytes of little-endian unsigned 32-bit integers), bounded in entries.
 
-    ``lead`` is put before every piece when it is encoded ("" or one blank). Plain words go straight to the
-    tokenizer's BPE model, by stem and mark; every other piece goes through the whole tokenizer. ``lower`` says
-    that the tokenizer's normalizer folds case, ``decoded`` that the pieces' decoded texts are kept too.
+    ``lead`` is put before every piece when it is encoded ("" or one blank). Letters with marks behind them, alone or
+    twice with a line end between, go straight to the tokenizer's BPE model, letters and marks apart; every other
+    piece goes through the whole tokenizer. ``lower`` says that the tokenizer's normalizer folds case, ``decoded``
+    that the pieces' decoded texts are kept too.
+
+    Entries live in two generations: when the younger holds half of ``most``, it becomes the older one, whose entries
+    come back when they are asked for and are dropped else, so frequent pieces are not learnt again.
     """
 
     def __init__(self, path: str, lead: str = "", most: int = 400_000, lower: bool = False, decoded: bool = False):
         self.tok, self.lead, self.most, self.lower, self.decoded = load(path), lead, most, lower, decoded
-        self.model = self.tok.model
-        self.line_end = "" if lower else "\n"  # a tokenizer that folds case here also drops white space
+        self.tokenize = self.tok.model.tokenize
+        self.line_end = not lower  # a tokenizer that folds case here also drops white space
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
-        self.stems: dict[str, tuple[bytes, str]] = {}
-
-    def _stem(self, part: str) -> tuple[bytes, str]:
-        got = self.stems.get(part)
+        self.older: tuple[dict, dict] = ({}, {})
+        self.bare: dict[str, tuple[bytes, bytes]] = {}  # pre-tokens that stand without the lead
+
+    def _encode(self, part: str) -> tuple[bytes, bytes]:
+        """Ids and decoded text of one pre-token."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_SIGNS)
+        elif part[0] <= " ":
+            part = _SIGNS[ord(part[0])] + part[1:]
+        tokens = self.tokenize(part)
+        return array("I", map(_id, tokens)).tobytes(), " ".join(map(_value, tokens)).encode() if self.decoded else b""
+
+    def _bare(self, part: str) -> tuple[bytes, bytes]:
+        got = self.bare.get(part)
         if got is None:
-            signs = part if part.isascii() and part[0] > " " else part.encode().decode("latin-1").translate(_SIGNS)
-            tokens = self.model.tokenize(signs)
-            got = self.stems[part] = (struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]), " ".join([t.value for t in tokens]) if self.decoded else "")
+            if len(self.bare) > self.most // 4:
+                self.bare.clear()
+            got = self.bare[part] = self._encode(part)
         return got
 
     def learn(self, pieces: set[str]) -> None:
-        """Make every one of the pieces known. Entries are dropped only here, all at once, before a batch."""
+        """Make every one of the pieces known. Entries are dropped only here, before a batch is encoded."""
         new = pieces.difference(self.ids)
         if not new:
             return
-        if len(self.ids) + len(new) > self.most and self.ids:
-            self.ids.clear()
-            self.texts.clear()
-            self.stems.clear()
-            new = pieces
+        if len(self.ids) + len(new) > self.most // 2 and self.ids:
+            self.older, self.ids, self.texts, new = (self.ids, self.texts), {}, {}, pieces
+        ids, texts, lead, decoded, encode, bare = self.ids, self.texts, self.lead, self.decoded, self._encode, self._bare
+        old_ids, old_texts = self.older
+
+        def known(word: str) -> bytes:
+            """Ids of a word behind the lead; the word is learnt as a piece."""
+            got = ids.get(word)
+            if got is None:
+                got = old_ids.get(word)
+                if got is None:
+                    got, text = encode(lead + word)
+                else:
+                    text = old_texts[word] if decoded else b""
+                ids[word] = got
+                if decoded:
+                    texts[word] = text
+            return got
+
         odd = []
         for p in new:
-            m = _WORD.fullmatch(p)
-            if not m:
+            got = old_ids.get(p)
+            if got is not None:
+                ids[p] = got
+                if decoded:
+                    texts[p] = old_texts[p]
+                continue
+            word = p.lower() if self.lower else p
+            if _letters(word):
+                ids[p] = known(word)
+                if decoded:
+                    texts[p] = texts[word]
+                continue
+            head, below, last = word.partition("\n")
+            first, second = head.rstrip(_MARKS), last.rstrip(_MARKS)
+            if not _letters(first) or below and not _letters(second):
                 odd.append(p)
                 continue
-            word, mark, below, last = m.groups()
-            parts = [self._stem(self.lead + (word.lower() if self.lower else word))]
-            if mark:
-                parts.append(self._stem(mark))
+            got = [known(first)]
+            text = [texts[first]] if decoded else None
+            rest = [head[len(first) :]] if len(first) < len(head) else []
             if below:
-                if self.line_end:
-                    parts.append(self._stem(self.line_end))
-                parts.append(self._stem(below.lower() if self.lower else below))
-                if last:
-                    parts.append(self._stem(last))
-            self.ids[p] = b"".join([ids for ids, _ in parts])
-            if self.decoded:
-                self.texts[p] = " ".join([text for _, text in parts]).encode()
+                rest += ["\n", second] if self.line_end else [second]
+                if len(second) < len(last):
+                    rest.append(last[len(second) :])
+            for x in rest:
+                i, t = bare(x)
+                got.append(i)
+                if decoded:
+                    text.append(t)
+            ids[p] = b"".join(got)
+            if decoded:
+                texts[p] = b" ".join(text)
         for i in range(0, len(odd), 5000):
             part = odd[i : i + 5000]
-            for p, e in zip(part, self.tok.encode_batch_fast([self.lead + p for p in part], add_special_tokens=False), strict=True):
-                self.ids[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-                if self.decoded:
-                    self.texts[p] = self.tok.decode(e.ids, skip_special_tokens=False).encode()
+            for p, e in zip(part, self.tok.encode_batch_fast([lead + p for p in part], add_special_tokens=False), strict=True):
+                ids[p] = array("I", e.ids).tobytes()
+                if decoded:
+                    texts[p] = self.tok.decode(e.ids, skip_special_tokens=False).encode()
+
+
+def _letters(word: str) -> bool:
+    """ASCII or Latin-1 letters alone; what is outside goes through the whole tokenizer."""
+    return word.isalpha() and (word.isascii() or _LATIN(word) is not None)
 
 
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 

@@ -22,17 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_memo import PieceMemo, spaced_pieces
-from .common import only, shared_dir, table
+from .common import only, shared_dir, slices, table, text_bytes
 
 MAGIC = b"TMZ1"
 SAMPLE_DOCS = 600  # documents whose ids train the dictionary
+PIECE_BYTES = 16 * 1024  # longer id arrays are cut, and twice as many pieces as documents are taken at most
 DICT_BYTES = 64 * 1024
+SLICE = 4_000_000  # bytes of text that one step encodes; one longer text makes a step alone
 _MEMO: dict[str, PieceMemo] = {}
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-    memo = _MEMO.setdefault(path, PieceMemo(path, " ", most=600_000))
+    memo = _MEMO.get(path) or _MEMO.setdefault(path, PieceMemo(path, " ", most=1_000_000))
     out = []
     for lo in range(0, len(texts), 500):
         cut = [spaced_pieces(t) for t in texts[lo : lo + 500]]
@@ -50,13 +52,26 @@ def _filesystem(uri: str):
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE_DOCS, size: int = DICT_BYTES):
-    """A dictionary from at most ``sample`` documents, those of smallest hash; empty where there is too little to learn."""
+    """A dictionary from the ids of at most ``sample`` doc_ids, those of smallest hash; empty where there is too little to
+    learn. At most 2 * sample pieces of PIECE_BYTES reach the driver, however long the texts are."""
     import zstandard
 
-    # Ids are ordered, not texts; only the chosen rows' texts go to the driver.
+    # Ids of rows are ordered, not texts; texts are encoded where they lie, and pieces of bounded size go to the driver.
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(sample).collect()
-    arrays = [a + struct.pack("<I", end_id) for a in encode_all([r["text"] or "" for r in rows], path)]
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
+    end = struct.pack("<I", end_id)
+
+    def pieces(batches):
+        for b in batches:
+            _, offsets = text_bytes(b.column(1))
+            for lo, hi in slices(offsets, SLICE):
+                for ids in encode_all(b.column(1).slice(lo, hi - lo).fill_null("").to_pylist(), path):
+                    ids += end
+                    cut = [ids[i : i + PIECE_BYTES] for i in range(0, len(ids), PIECE_BYTES)]
+                    yield pa.record_batch([pa.array(cut, pa.binary())], ["ids"])
+
+    got = rows.mapInArrow(pieces, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(2 * sample).collect()
+    arrays = [bytes(r["ids"]) for r in got]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -67,7 +82,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, d
     """Encode, append ``end_id``, compress and write ``docs`` (doc_id, text) in ascending doc_id order.
 
     Returns one row a file: part, path, n_docs, n_tokens. Null texts are empty, a null doc_id comes first, rows with
-    equal doc_ids follow each other by text. A file is written under another name and then renamed, so a task that
+    equal doc_ids follow each other by text. Very long texts are encoded one at a time, an empty table gives no file,
+    and other columns are left out. A file is written under another name and then renamed, so a task that
     runs twice leaves one whole file.
     """
     docs = only(docs, "doc_id", "text")
@@ -91,11 +107,13 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, d
         for b in batches:
             out = out or to.open_output_stream(draft)
             lengths, counts = [], []
-            for ids in encode_all(b.column(1).fill_null("").to_pylist(), tokenizer):
-                frame = packer.compress(ids + end)
-                out.write(frame)
-                lengths.append(len(frame))
-                counts.append(len(ids) // 4 + 1)
+            _, offsets = text_bytes(b.column(1))
+            for lo, hi in slices(offsets, SLICE):
+                for ids in encode_all(b.column(1).slice(lo, hi - lo).fill_null("").to_pylist(), tokenizer):
+                    frame = packer.compress(ids + end)
+                    out.write(frame)
+                    lengths.append(len(frame))
+                    counts.append(len(ids) // 4 + 1)
             stops = place + np.cumsum(np.array(lengths, np.int64))
             index.append(pa.record_batch([b.column(0), pa.array(stops - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "offset", "length", "n_tokens"]))
             place = int(stops[-1]) if len(stops) else place
