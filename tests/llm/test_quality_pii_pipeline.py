@@ -55,6 +55,69 @@ def test_viterbi_equals_every_sequence():
         assert tuple(got[a:b]) == best
 
 
+def test_likelihood_equals_every_sequence():
+    from itertools import product
+
+    r = np.random.default_rng(5)
+    x, w, first, y = r.normal(size=(8, 3)), r.normal(size=7), np.array([0, 3, 3, 4, 8]), r.integers(0, 2, 8)
+
+    def plain(w):
+        t, e, total = w[-4:].reshape(2, 2), x @ w[:-4], 0.0
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            score = {s: sum(e[a + i] * v for i, v in enumerate(s)) + sum(t[p, q] for p, q in zip(s, s[1:], strict=False)) for s in product((0, 1), repeat=b - a)}
+            total += score[tuple(y[a:b])] - np.log(sum(np.exp(v) for v in score.values()))
+        return total
+
+    value, g = op4_quality.likelihood(x, first, y, w)
+    assert abs(value - plain(w)) < 1e-9
+    for k in range(len(w)):
+        step = np.eye(len(w))[k] * 1e-5
+        assert abs((plain(w + step) - plain(w - step)) / 2e-5 - g[k]) < 1e-5
+
+
+def boilerplate(i):
+    words = [f"wort{i * 31 % 89}{k * 7 % 53}e" for k in range(60)]
+    lines = [" ".join(words[k : k + 12]).capitalize() + "." for k in range(0, 60, 12)]
+    if i % 4 == 0:
+        return "\n".join(f"{x.upper()} ### $$$ %%% &&&" for x in lines), 0
+    return "\n".join(["Home page of it.", *lines, "Read more."]), 1
+
+
+def test_trained_field_marks_lines(spark):
+    rows = [(i, *boilerplate(i)) for i in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if i < 160] * 2, "doc_id long, quality int")
+    w = op4_quality.train(docs, labels)
+    assert (w == op4_quality.train(docs.repartition(5), labels)).all()
+    for r in op4_quality.quality(docs, w).filter("doc_id >= 160").collect():  # held out
+        good = boilerplate(r.doc_id)[1]
+        assert r.kept == bool(good) and (r.n_lines, r.n_content_lines) == ((7, 5) if good else (5, 0))
+    assert op4_quality.train(docs, labels.filter("quality = 1")) is None
+    assert {r.doc_id for r in op4_quality.good_documents(docs, w).filter("doc_id >= 160").collect()} == {i for i in range(160, 240) if i % 4}
+
+
+def personal(i):
+    d = str(4000000000000000 + i * 7919 * 10**4 + 10)
+    d = next(d[:15] + str(k) for k in range(10) if op9_pii.luhn(d[:15] + str(k)))
+    user, before = (f"u{i}.x", "bob", f"anna.li{i % 9}", "jo_k")[i % 4], ("it", "write to", "at", "mail")[i // 4 % 4]
+    return f"Words before {before} {user}@host{i % 7}.example.org and more words 10.{i % 200}.3.{i % 99} then {d} then +1 ({200 + i % 700}) 555-{1000 + i * 13 % 9000} end"
+
+
+def test_trained_trees_add_spans_and_leave_lookalikes(spark):
+    docs = spark.createDataFrame([(i, personal(i)) for i in range(400)], "doc_id long, text string")
+    model = op9_pii.train(docs)
+    assert np.isfinite(model.limits).all()
+    hidden = {"write to bo.li (at) host (dot) org today": "email", "see 10[.]20[.]3[.]77 there": "ip", "then 4111.1111.1111.1111 here": "card", "call +1 (456) 555-2186 4041894974608795 now": "phone"}
+    for text, kind in hidden.items():
+        got = op9_pii.added_spans(text, op9_pii.base_spans(text), model)
+        assert kind in {op9_pii.KINDS[k] for _, k, _ in got}, text
+    for text in ("built on 2024-01-12 again", "key a12345678901c0 in it", "part no 123456789 of it", "token x4111111111111111f there"):
+        assert not op9_pii.added_spans(text, op9_pii.base_spans(text), model), text
+    few = docs.filter("doc_id < 9")
+    assert np.isinf(op9_pii.train(few).limits).all()  # too few held-out positives: nothing is added
+    assert op9_pii.find_pii(few, op9_pii.train(few)).filter("n_added > 0").count() == 0
+
+
 def test_base_spans_equal_the_patterns(spark):
     for text in [*PERSONAL, *texts()]:
         assert op9_pii.base_spans(text or "") == plain_spans(text), text
