@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 
 
+SPREAD = 64
+
+
+def with_group(rows: DataFrame, key: str, spread: str, partial: dict[str, Column], final: dict[str, Column], parts: int = SPREAD) -> DataFrame:
+    """Every row with aggregates of its group, a hot group's rows dealt over ``parts`` tasks by a hash of ``spread``.
+
+    ``partial`` aggregates rows of (key, part), ``final`` aggregates those. A group gives ``parts`` rows at most, and these
+    alone meet in one task; its rows join by (key, part).
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    some = dealt.groupBy(key, "_part").agg(*[e.alias(n) for n, e in partial.items()])
+    whole = some.groupBy(key).agg(*[e.alias(n) for n, e in final.items()])
+    each = some.select(key, "_part").join(whole, key)
+    return dealt.join(each, [key, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
 
-    Each step joins nodes to the smallest neighbour known, with partial aggregation, so a node with very many
-    neighbours is not gathered in one place; edges are written out after each step, and the end is reached when no
-    edge changes, which takes about log2 of the longest path steps.
+    Each step joins nodes to the smallest neighbour known. A node with very many neighbours is dealt over many tasks by
+    them (``with_group``), so it is not gathered in one place; edges are written out after each step, and the end is
+    reached when no edge changes, which takes about log2 of the longest path steps. Loops and repeated edges count
+    nothing; an edge with a null end takes no part.
     """
     e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    least = {"_m": F.min("v")}, {"m": F.min("_m")}
     for _ in range(most):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # Large star: what is above u goes to u's smallest neighbour.
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Large star: what is above u goes to u's smallest neighbour, or to u where none is below it.
+        large = with_group(both, "u", "v", *least).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # Small star: what is below u goes to u's smallest neighbour, and so does u.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        new = stored(small)
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
+        new = stored(with_group(large, "u", "v", *least).select(ends).select("x.*").filter("u <> v").distinct())
         change = new.select("u", "v", F.lit(1).alias("w")).unionByName(e.select("u", "v", F.lit(-1).alias("w"))).groupBy("u", "v").agg(F.sum("w").alias("w")).filter("w <> 0")
         e = new
         if not change.limit(1).count():
