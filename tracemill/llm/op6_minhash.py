@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, with_group
 from .common import batch, only, slices, stored, table, text_bytes
 from .op2_token_counts import words_of
 from .wordhash import hash_words, mix
@@ -224,8 +224,8 @@ def _labelled(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     links = dealt.mapInArrow(_list_links, "a binary, b binary")
     clusters = components(links)
 
-    sizes = clusters.groupBy("root").agg(F.expr(f"cast((count(*) + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK} as int)").alias("nb"))
-    members = stored(clusters.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "rep", "sig"), "node").select("root", "nb", F.col("node").alias("cls"), F.col(f"rep.{ROW}").alias(ROW), "sig"))
+    sized = with_group(clusters, "root", "node", {"_n": F.count("*")}, {"nb": F.expr(f"cast((sum(_n) + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK} as int)")})
+    members = stored(sized.join(classes.select(F.col("cls").alias("node"), "rep", "sig"), "node").select("root", "nb", F.col("node").alias("cls"), F.col(f"rep.{ROW}").alias(ROW), "sig"))
     texts = docs.join(members, ROW).select("root", "nb", "cls", "sig", "text")  # one row a class
     sets_schema = pa.schema([("root", pa.binary()), ("nb", pa.int32()), ("cls", pa.binary()), ("sig", pa.binary()), ("shingles", pa.binary())])
 
@@ -242,8 +242,7 @@ def _labelled(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     groups = components(confirmed)
 
     named = classes.join(groups, classes["cls"] == groups["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
-    labels = named.join(lowest, "root").select("cls", F.col("low.doc_id").alias("component_id"), F.col(f"low.{ROW}").alias("first"))
+    labels = with_group(named, "root", "cls", {"_low": F.min("rep")}, {"low": F.min("_low")}).select("cls", F.col("low.doc_id").alias("component_id"), F.col(f"low.{ROW}").alias("first"))
     return rows.join(labels, "cls", "left").select(ROW, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first")
 
 
