@@ -144,6 +144,25 @@ def test_bpe_chunks_equal_the_library(spark):
     assert op3_bpe_chunks.bpe_encode(empty(spark), WORDS).count() == 0
 
 
+def test_bpe_joins_that_disagree_widen_then_fall_back():
+    t = whole(WORDS)
+    text = "Some words of it, again and again, ánd more: " * 60
+    want = t.encode(text, add_special_tokens=False).ids
+    coder = op3_bpe_chunks.ChunkCoder(WORDS)
+    data = text.encode()
+    chunks = [data[i : i + 150] if i else data[:150] for i in range(0, len(data), 150)]
+    chunks = [c for c in (bytes(x).decode(errors="ignore").encode() for x in chunks) if c]
+    whole_text = b"".join(chunks)
+    want = t.encode(whole_text.decode(), add_special_tokens=False).ids
+    coder.learn(chunks)
+    ((ids, decoded),) = coder.encode([chunks])
+    assert ids == struct.pack(f"<{len(want)}I", *want) and decoded.decode() == t.decode(want, skip_special_tokens=False)
+    for upto in (1, op3_bpe_chunks.CONTEXT):  # ids that no encoding has, near the joins alone or in all of the context
+        for c, e in coder.chunks.items():
+            coder.chunks[c] = e._replace(last=[(p, b"\1\0\0\0" * 9 if i < upto else x) for i, (p, x) in enumerate(e.last)])
+        assert next(coder.encode([chunks])) == (ids, decoded)
+
+
 def test_token_files_round_trip(spark):
     t = whole(BYTES)
     folder = common.shared_dir(spark)

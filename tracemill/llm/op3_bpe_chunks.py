@@ -1,18 +1,22 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over eight bytes cuts every text into chunks that do not depend on what stands far before them, so
-documents that share a passage share its chunks. A chunk is encoded once and kept, then the joins are repaired:
-what a chunk begins with before its first blank and ends with after its last one was encoded as if it stood alone,
-so the ids around a join are taken from an encoding of both parts together, and the window grows over chunks
-without a blank until it is bounded by blanks on both sides, where encodings agree exactly.
-
-Why blanks bound it: the tokenizer drops white space and no pre-token reaches over it, normalisation (NFC, lower
-case) doesn't either, and no added token holds a blank.
+documents that share a passage share its chunks. A chunk is encoded once and kept while its Python worker has room.
+Then the joins are repaired: what a chunk begins with before its first blank and ends with after its last one may be
+cut anywhere, so it is encoded again together with its neighbour and one piece more on either side. The new ids must
+begin and end with the ids that the chunks have for those pieces; as long as they don't, the window takes one piece
+more (up to CONTEXT on a side), and a text with a window that never agrees is encoded whole. Chunks without a blank
+belong to the window.
+
+Null and empty texts give no ids; very long texts are encoded whole, one at a time; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ MASK = np.uint64(511 << 40)  # a cut where nine bits of the hash are zero: every
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LEAST = 64  # bytes in a chunk, but for a text's last one
 MOST_CHUNKS = 8_000  # kept in a Python worker; then all are dropped and learnt again
+CONTEXT = 3  # pieces on either side of a join that a window takes at most
 _CODERS: dict[str, "ChunkCoder"] = {}
 
 
@@ -57,12 +62,24 @@ def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at
 
 
+class Chunk(NamedTuple):
+    """A chunk with a blank: text before the first one, ids and decoded text of the pieces between, text after the last
+    one, and the outermost pieces between with their ids, from the outside in. Without a blank, ``tail`` is None."""
+
+    head: str
+    ids: bytes
+    text: bytes
+    tail: str | None
+    first: list[tuple[str, bytes]]
+    last: list[tuple[str, bytes]]
+
+
 class ChunkCoder:
-    """chunk -> (text before its first blank, pieces between, text after its last blank), with ids and decoded text."""
+    """Encoded chunks of a tokenizer, and the repair of their joins."""
 
     def __init__(self, path: str):
-        self.memo = PieceMemo(path, "", most=120_000, lower=True, decoded=True)
-        self.chunks: dict[bytes, tuple] = {}
+        self.memo = PieceMemo(path, "", most=240_000, lower=True, decoded=True)
+        self.chunks: dict[bytes, Chunk] = {}
 
     def learn(self, new: list[bytes]) -> None:
         if len(self.chunks) + len(new) > MOST_CHUNKS:
@@ -72,44 +89,66 @@ class ChunkCoder:
         ids, texts = self.memo.ids, self.memo.texts
         for c, pieces in zip(new, cut, strict=True):
             inner = [p for p in pieces[1:-1] if p]
-            self.chunks[c] = (pieces[0], b"".join([ids[p] for p in inner]), b" ".join([t for p in inner if (t := texts[p])]), pieces[-1] if len(pieces) > 1 else None)
-
-    def _fragments(self, pieces: list[str]) -> None:
-        new = {p for p in pieces if p not in self.memo.ids}
-        if new:
-            self.memo.learn(new)
-
-    def encode(self, chunks: list[bytes]) -> tuple[bytes, bytes]:
-        """Ids (little-endian unsigned 32-bit integers) and decoded text of a text given as its chunks."""
-        ids, texts, open_part = [], [], ""
-        for c in chunks:
-            head, inner, text, tail = self.chunks[c]
-            open_part += head
-            if tail is None:  # no blank in this chunk: the join's window grows over it
-                continue
-            if open_part:
-                self._add(open_part, ids, texts)
-            ids.append(inner)
-            if text:
-                texts.append(text)
-            open_part = tail
-        if open_part:
-            self._add(open_part, ids, texts)
-        return b"".join(ids), b" ".join(texts)
-
-    def _add(self, part: str, ids: list, texts: list) -> None:
-        known = self.memo.ids.get(part)
-        if known is None:
-            self.memo.learn({part})
-            known = self.memo.ids[part]
-        ids.append(known)
-        if t := self.memo.texts[part]:
-            texts.append(t)
+            first, last = [(p, ids[p]) for p in inner[:CONTEXT]], [(p, ids[p]) for p in inner[: -CONTEXT - 1 : -1]]
+            self.chunks[c] = Chunk(pieces[0], b"".join([ids[p] for p in inner]), b" ".join([t for p in inner if (t := texts[p])]), pieces[-1] if len(pieces) > 1 else None, first, last)
+
+    def repaired(self, joins: list[tuple[list, str, list]]) -> list[tuple[bytes, bytes] | None]:
+        """Ids and decoded text of what lies between chunks, each (pieces before, text, pieces behind); None where no
+        window agrees with the chunks' ids."""
+        out: list = [None] * len(joins)
+        left = list(range(len(joins)))
+        for width in range(1, CONTEXT + 1):
+            windows = []
+            for i in left:
+                before, part, behind = joins[i]
+                windows.append(" ".join([*[p for p, _ in before[:width]][::-1], part, *[p for p, _ in behind[:width]]]))
+            undone = []
+            for i, e in zip(left, self.memo.tok.encode_batch_fast(windows, add_special_tokens=False), strict=True):
+                before, _, behind = joins[i]
+                ids = array("I", e.ids).tobytes()
+                head, tail = b"".join([x for _, x in before[:width]][::-1]), b"".join([x for _, x in behind[:width]])
+                if ids.startswith(head) and ids.endswith(tail) and len(ids) >= len(head) + len(tail):
+                    own = e.ids[len(head) // 4 : len(e.ids) - len(tail) // 4]
+                    out[i] = array("I", own).tobytes(), self.memo.tok.decode(own, skip_special_tokens=False).encode()
+                else:
+                    undone.append(i)
+            left = undone
+            if not left:
+                break
+        return out
+
+    def encode(self, docs: list[list[bytes]]):
+        """Ids (little-endian unsigned 32-bit integers) and decoded text of each text, given as its chunks."""
+        joins, plans = [], []
+        for chunks in docs:
+            plan, part, before = [], "", []
+            for c in chunks:
+                e = self.chunks[c]
+                part += e.head
+                if e.tail is None:  # no blank in this chunk: the join's window grows over it
+                    continue
+                if part:
+                    plan.append(len(joins))
+                    joins.append((before, part, e.first))
+                plan.append(e)
+                part, before = e.tail, e.last
+            if part:
+                plan.append(len(joins))
+                joins.append((before, part, []))
+            plans.append(plan)
+        known = self.repaired(joins)
+        for chunks, plan in zip(docs, plans, strict=True):
+            got = [(x.ids, x.text) if isinstance(x, Chunk) else known[x] for x in plan]
+            if None in got:
+                whole = self.memo.tok.encode_batch_fast([b"".join(chunks).decode()], add_special_tokens=False)[0].ids
+                yield array("I", whole).tobytes(), self.memo.tok.decode(whole, skip_special_tokens=False).encode()
+            else:
+                yield b"".join([i for i, _ in got]), b" ".join([t for _, t in got if t])
 
 
 def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str):
     """For every text of the buffer: (ids, decoded text), both as bytes."""
-    coder = _CODERS.setdefault(path, ChunkCoder(path))
+    coder = _CODERS.get(path) or _CODERS.setdefault(path, ChunkCoder(path))
     at = chunk_cuts(data, offsets)
     stops = np.append(at[1:], len(data))
     raw = data.tobytes()
@@ -121,8 +160,7 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str):
         if len(coder.chunks) + len(new) > MOST_CHUNKS:
             new = list(dict.fromkeys(c for d in docs for c in d))
         coder.learn(new)
-        for d in docs:
-            yield coder.encode(d)
+        yield from coder.encode(docs)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True) -> DataFrame:

@@ -17,6 +17,9 @@ needs the order of all suffixes, but only where texts have something in common,
 An anchor with very many edges is dealt out by hashes of windows. A part keeps one run of a kind, so a passage that
 stands everywhere costs a bucket one entry a part. Texts wait in the shared folder, one file a part.
 
+Runs are told apart by 96 bits of hashes (anchor and bytes), never by fewer; edges are compared byte by byte. Very long texts make a
+part of their own. An empty table gives an empty result; other columns are left out.
+
 Null texts are empty. Rows without doc_id neither lose bytes nor count as earlier documents and are only hashed; rows that share a doc_id
 do not remove bytes from each other.
 """
@@ -41,6 +44,7 @@ GRAM = 24
 STEPS = SPAN - GRAM + 1  # places of a window's anchor
 EDGES_A_TASK = 4096
 KNOWN = 255
+PART_BYTES = 32_000_000  # of text in a part; a range of doc_ids, so about
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -354,13 +358,16 @@ def _cut(folder: str):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
-    buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = only(docs, "doc_id", "text")
+    # Parts and buckets hold a bounded number of bytes each, even where the session's number of partitions is too small.
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    buckets = 2 * max(8, n_parts)
     text = F.coalesce("text", F.lit(""))
     free = docs.filter("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
     # Rows of one doc_id are spread by their texts, and copies by the partition they come from.
     # The posts are computed in one job, so the parts' files and numbers come from one run of the range split.
-    dealt = docs.filter("doc_id is not null").withColumns({"hash": F.xxhash64("text"), "origin": F.spark_partition_id()}).repartitionByRange("doc_id", "hash", "origin")
+    dealt = docs.filter("doc_id is not null").withColumns({"hash": F.xxhash64("text"), "origin": F.spark_partition_id()}).repartitionByRange(n_parts, "doc_id", "hash", "origin")
     parts = dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     posts = parts.mapInArrow(_post(folder, buckets), "bucket int, part int, rank long, a binary, b binary")
     codes = stored(posts.groupBy("bucket").applyInArrow(_answer, "part int, bucket int, codes binary"))
