@@ -63,9 +63,9 @@ def epoch_utc(seconds) -> Column:
 
 
 def service_hint(x, part: int) -> Column:
-    """Protocol (1) or port (2) of a label such as tcp/8080, upper case; null for other labels."""
+    """Protocol (1) or port (2) of a label such as tcp/8080, lower case; null for other labels."""
     got = F.regexp_extract(c(x), r"(?i)^\s*(tcp|udp)/([0-9]+)\s*$", part)
-    return F.when(got != "", F.upper(got))
+    return F.when(got != "", F.lower(got))
 
 
 def bucket(x, limits, last: str) -> Column:

@@ -6,49 +6,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import stored
 from .frames import unpivot
 
 RARE = {"src_port_rarity": "source_port", "dst_port_rarity": "destination_port", "service_rarity": "service"}
+FEW_COUNTS = 200_000  # rows of rarity counts up to which they are broadcast
+
+#: The features in their fixed order.
+FEATURES = [
+    "protocol_icmp", "protocol_tcp", "protocol_udp", "protocol_other", "src_port_present", "dst_port_present",
+    "src_port_well_known", "src_port_registered", "src_port_dynamic", "dst_port_well_known", "dst_port_registered", "dst_port_dynamic",
+    "src_port_rarity", "dst_port_rarity", "service_rarity", "service_missing",
+    "log_sent_bytes", "log_received_bytes", "log_sent_packets", "log_received_packets", "log_duration", "log_total_bytes", "log_total_packets",
+    "sent_byte_share", "sent_packet_share", "log_sent_bytes_per_packet", "log_received_bytes_per_packet",
+    "sent_bytes_missing", "received_bytes_missing", "sent_packets_missing", "received_packets_missing", "duration_missing",
+    "zero_total_bytes", "zero_total_packets", "zero_sent_packets", "zero_received_packets",
+]
 
 
 def rarity_counts(rows: DataFrame, reference: Column) -> DataFrame:
-    """(protocol, field, value) with its count and the protocol's, over reference rows, in one aggregation."""
-    r = rows.filter(reference)
-    long = unpivot(r, ["protocol_number"], list(RARE.values())).filter("value is not null").groupBy("protocol_number", "field", "value").agg(F.count("*").alias("cnt"))
-    return long.join(r.groupBy("protocol_number").agg(F.count("*").alias("total")), "protocol_number")
+    """(protocol, field, value) with its count and the protocol's number of values, over reference rows.
+
+    Written once: one aggregation serves every join. Null values count nowhere, so each field has totals of its own.
+    """
+    long = unpivot(rows.filter(reference), ["protocol_number"], list(RARE.values())).filter("value is not null")
+    counts = stored(long.groupBy("protocol_number", "field", "value").agg(F.count("*").alias("cnt")))
+    return counts.join(counts.groupBy("protocol_number", "field").agg(F.sum("cnt").alias("total")), ["protocol_number", "field"])
 
 
 def with_rarity(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """1 - count / denominator; 0 for null values, 1 where the protocol is unseen."""
-    totals = counts.select("protocol_number", "total").distinct()
-    out = rows.join(totals, "protocol_number", "left")
+    """1 - count / total; 0 for null values, 1 where the protocol has no value of the field.
+
+    Counts up to FEW_COUNTS rows are broadcast, more of them are joined by shuffles.
+    """
+    counts = stored(counts)
+    small = counts.count() <= FEW_COUNTS
+    put = F.broadcast if small else lambda df: df
+    out = rows
     for name, col in RARE.items():
-        c = counts.filter(F.col("field") == col).select("protocol_number", F.col("value").alias("_v"), F.col("cnt").alias("_c"))
-        out = out.withColumn("_v", F.col(col).cast("string")).join(c, ["protocol_number", "_v"], "left")
-        out = out.withColumn(name, F.when(F.col(col).isNull(), 0.0).when(F.col("total").isNull(), 1.0).otherwise(1 - F.coalesce("_c", F.lit(0)) / F.col("total"))).drop("_v", "_c")
-    return out.drop("total")
+        own = counts.filter(F.col("field") == col)
+        totals = own.groupBy(F.col("protocol_number").alias("_p")).agg(F.first("total").alias("_t"))
+        c = own.select(F.col("protocol_number").alias("_q"), F.col("value").alias("_v"), F.col("cnt").alias("_c"))
+        out = out.join(put(totals), F.col("protocol_number") == F.col("_p"), "left").join(put(c), (F.col("protocol_number") == F.col("_q")) & (F.col(col).cast("string") == F.col("_v")), "left")
+        out = out.withColumn(name, F.when(F.col(col).isNull(), 0.0).when(F.col("_t").isNull(), 1.0).otherwise(1 - F.coalesce("_c", F.lit(0)) / F.col("_t"))).drop("_p", "_t", "_q", "_v", "_c")
+    return out
+
+
+def both_filled(x: str, y: str) -> Column:
+    return F.col(x).isNotNull() & F.col(y).isNotNull()
 
 
 def traffic_features() -> dict[str, Column]:
-    """The features that need one row only, in their fixed order."""
+    """The features that need one row only; rarities come from ``with_rarity``."""
     p = F.col("protocol_number")
     out = {"protocol_icmp": p == 1, "protocol_tcp": p == 6, "protocol_udp": p == 17, "protocol_other": ~p.isin(1, 6, 17)}
     for side, col in (("src", "source_port"), ("dst", "destination_port")):
         out[f"{side}_port_present"] = F.col(col).isNotNull()
         for k in ("well_known", "registered", "dynamic"):
             out[f"{side}_port_{k}"] = F.coalesce(S.port_class(col) == k, F.lit(False))
-    out["service_missing"] = S.missing("service")
+    out["service_missing"] = F.col("service").isNull()
     out = {k: v.cast("double") for k, v in out.items()}
     b, r, sp, rp = "sent_bytes", "received_bytes", "sent_packets", "received_packets"
-    for x in (b, r, sp, rp):
+    for x in (b, r, sp, rp, "duration"):
         out[f"log_{x}"] = F.log1p(F.coalesce(F.col(x), F.lit(0)).cast("double"))
         out[f"{x}_missing"] = F.col(x).isNull().cast("double")
     for name, x, y in (("bytes", b, r), ("packets", sp, rp)):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
         total = F.col(x) + F.col(y)
-        out[f"log_total_{name}"] = F.when(both, F.log1p(total.cast("double"))).otherwise(0.0)
+        out[f"log_total_{name}"] = F.when(both_filled(x, y), F.log1p(total.cast("double"))).otherwise(0.0)
         out[f"sent_{name[:-1]}_share"] = S.share(x, y)
-        out[f"zero_total_{name}"] = (both & (total == 0)).cast("double")
+        out[f"zero_total_{name}"] = (both_filled(x, y) & (total == 0)).cast("double")
     out["log_sent_bytes_per_packet"] = S.log_ratio(b, sp)
     out["log_received_bytes_per_packet"] = S.log_ratio(r, rp)
     out["zero_sent_packets"] = F.coalesce(F.col(sp) == 0, F.lit(False)).cast("double")
@@ -56,6 +82,28 @@ def traffic_features() -> dict[str, Column]:
     return out
 
 
+def eligibility() -> dict[str, Column]:
+    """For every feature whether its value says something of the row (it enters the reference distribution)."""
+    out = {f: F.lit(True) for f in FEATURES}
+    for name, col in RARE.items():
+        out[name] = F.col(col).isNotNull()
+    for x in ("sent_bytes", "received_bytes", "sent_packets", "received_packets", "duration"):
+        out[f"log_{x}"] = F.col(x).isNotNull()
+    for name, x, y in (("bytes", "sent_bytes", "received_bytes"), ("packets", "sent_packets", "received_packets")):
+        out[f"log_total_{name}"] = out[f"zero_total_{name}"] = both_filled(x, y)
+        out[f"sent_{name[:-1]}_share"] = both_filled(x, y) & F.coalesce(F.col(x) + F.col(y) > 0, F.lit(False))
+    for side in ("sent", "received"):
+        out[f"log_{side}_bytes_per_packet"] = F.col(f"{side}_bytes").isNotNull() & F.coalesce(F.col(f"{side}_packets") > 0, F.lit(False))
+        out[f"zero_{side}_packets"] = F.col(f"{side}_packets").isNotNull()
+    return out
+
+
+def feature_rows(rows: DataFrame, reference: Column, *keep: str) -> DataFrame:
+    """The kept columns, all FEATURES in their order, and ``eligible``, a flag for each of them in the same order."""
+    f, e = traffic_features(), eligibility()
+    return with_rarity(rows, rarity_counts(rows, reference)).select(*keep, *[f.get(n, F.col(n)).alias(n) for n in FEATURES], F.array(*[e[n] for n in FEATURES]).alias("eligible"))
+
+
 def nearest_centroid(rows: DataFrame, centres: DataFrame, vector: str = "embedding", top: int = 3) -> DataFrame:
     """Squared distance to the nearest of few centres (id, centre), and the dimensions of the largest residuals.
 

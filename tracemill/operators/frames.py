@@ -110,6 +110,27 @@ def quantiles_by_group(df: DataFrame, group: str, value: str, key: str, shares:
     return ranked.join(wanted, F.col("_rk") == F.col("_at")).select(group, "q", value)
 
 
+def median(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row: the median of the values, the mean of the two in the middle where their number is even; null without values.
+
+    From the values' running counts, so that no task holds all distinct values.
+    """
+    at = running_by_value(df.filter(F.col(value).isNotNull()), value, {"_c": F.lit(1)}).select(value, "_c", "cum__c")
+    at = stored(at)
+    n = at.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
+    # A place k from 1 lies in the value whose counts reach it first: at most two rows are left.
+    held = at.crossJoin(F.broadcast(n)).filter(" or ".join(f"(cum__c >= {k} and cum__c - _c < {k})" for k in ("(_n + 1) div 2", "(_n + 2) div 2")))
+    return held.agg(((F.min(value) + F.max(value)) / 2).alias(name))
+
+
+def quantile_disc(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for every name the ceil(share * n)-th value, from running counts of the values."""
+    at = stored(running_by_value(df.filter(F.col(value).isNotNull()), value, {"_c": F.lit(1)}).select(value, "_c", "cum__c"))
+    n = at.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
+    held = at.crossJoin(F.broadcast(n))
+    return held.agg(*[F.min(F.when(F.col("cum__c") >= F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col(value))).alias(k) for k, q in shares.items()])
+
+
 def nested_names(schema) -> set[str]:
     """Names of all fields of a schema, those inside structs, arrays and maps included."""
     kind = schema.typeName()

@@ -8,9 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Settled labels.
+SETTLED = ("SUSPICIOUS", "NOT_SUSPICIOUS")
+
+
 def review_status(review_id, label) -> Column:
+    """Status of a record; an error for a label that is not known, or where a record that was not selected has one."""
     i, x = F.col(review_id), F.col(label)
-    return F.when(i.isNull(), "NOT_SELECTED").when(x.isNull(), "PENDING").when(x == "UNCERTAIN", "REVIEWED_UNCERTAIN").otherwise("REVIEWED_RESOLVED")
+    bad = F.raise_error(F.concat(F.lit("no such review: "), F.coalesce(i, F.lit("none")), F.lit(" "), F.coalesce(x, F.lit("none")))).cast("string")
+    status = F.when(i.isNull(), F.when(x.isNull(), "NOT_SELECTED").otherwise(bad)).when(x.isNull(), "PENDING").when(x == "UNCERTAIN", "REVIEWED_UNCERTAIN")
+    return status.when(x.isin(*SETTLED), "REVIEWED_RESOLVED").otherwise(bad)
+
+
+def paired_passes(decisions: DataFrame, key: str) -> DataFrame:
+    """key and outcome of two passes' decisions (key, pass_id, decision): one of each pass, equal or not."""
+    g = decisions.groupBy(key).agg(F.max(F.when(F.col("pass_id") == "PASS_A", F.col("decision"))).alias("a"), F.max(F.when(F.col("pass_id") == "PASS_B", F.col("decision"))).alias("b"))
+    return g.select(key, F.when(F.col("a").isNull() | F.col("b").isNull(), "REVIEW_INCOMPLETE").when(F.col("a") == F.col("b"), "AGREE").otherwise("DISAGREE").alias("outcome"))
 
 
 def review_matrix(df: DataFrame) -> DataFrame:

@@ -21,14 +21,69 @@ def pclass(x: str, k: str) -> str:
     return f"CASE WHEN {x} BETWEEN {low} AND {high} THEN 1.0 ELSE 0.0 END"
 
 
-@query("ml2_sf22_sf24_features", "flows", sql=f"SELECT record_number, CASE WHEN protocol_number = 6 THEN 1.0 ELSE 0.0 END AS protocol_tcp, {pclass('source_port', 'registered')} AS src_port_registered, {pclass('destination_port', 'well_known')} AS dst_port_well_known, CASE WHEN service IS NULL THEN 1.0 ELSE 0.0 END AS service_missing, round(ln(1 + coalesce(sent_bytes, 0)), 6) AS log_sent_bytes, round(CASE WHEN sent_bytes IS NOT NULL AND sent_bytes + received_bytes > 0 THEN CAST(sent_bytes AS DOUBLE) / (sent_bytes + received_bytes) ELSE 0.5 END, 6) AS sent_byte_share, round(CASE WHEN sent_bytes IS NOT NULL AND sent_packets > 0 THEN ln(1 + CAST(sent_bytes AS DOUBLE) / sent_packets) ELSE 0 END, 6) AS log_sent_bytes_per_packet, CASE WHEN sent_packets = 0 THEN 1.0 ELSE 0.0 END AS zero_sent_packets FROM flows")
+def rare(col: str) -> str:
+    """SQL of a rarity against reference rows of the protocol."""
+    return f"CASE WHEN f.{col} IS NULL THEN 0.0 WHEN t_{col}.n IS NULL THEN 1.0 ELSE 1 - coalesce(c_{col}.n, 0) / CAST(t_{col}.n AS DOUBLE) END"
+
+
+def rare_joins(col: str) -> str:
+    part = f"FROM flows WHERE {REF} AND {col} IS NOT NULL"
+    return f"LEFT JOIN (SELECT protocol_number, count(*) AS n {part} GROUP BY 1) t_{col} ON t_{col}.protocol_number = f.protocol_number LEFT JOIN (SELECT protocol_number, {col}, count(*) AS n {part} GROUP BY ALL) c_{col} ON c_{col}.protocol_number = f.protocol_number AND c_{col}.{col} = f.{col}"
+
+
+def flag(e: str) -> str:
+    return f"CASE WHEN {e} THEN 1.0 ELSE 0.0 END"
+
+
+def bits(*conditions: str) -> str:
+    return "concat(" + ", ".join(f"CASE WHEN {c} THEN '1' ELSE '0' END" for c in conditions) + ")"
+
+
+SB, RB, SP, RP_ = "f.sent_bytes", "f.received_bytes", "f.sent_packets", "f.received_packets"
+FEATURE_SQL = {
+    "protocol_icmp": flag("f.protocol_number = 1"), "protocol_tcp": flag("f.protocol_number = 6"), "protocol_udp": flag("f.protocol_number = 17"), "protocol_other": flag("f.protocol_number NOT IN (1, 6, 17)"),
+    "src_port_present": flag("f.source_port IS NOT NULL"), "dst_port_present": flag("f.destination_port IS NOT NULL"),
+    "src_port_well_known": pclass("f.source_port", "well_known"), "src_port_registered": pclass("f.source_port", "registered"), "src_port_dynamic": pclass("f.source_port", "dynamic"),
+    "dst_port_well_known": pclass("f.destination_port", "well_known"), "dst_port_registered": pclass("f.destination_port", "registered"), "dst_port_dynamic": pclass("f.destination_port", "dynamic"),
+    "src_port_rarity": rare("source_port"), "dst_port_rarity": rare("destination_port"), "service_rarity": rare("service"), "service_missing": flag("f.service IS NULL"),
+    "log_sent_bytes": f"ln(1 + coalesce({SB}, 0))", "log_received_bytes": f"ln(1 + coalesce({RB}, 0))", "log_sent_packets": f"ln(1 + coalesce({SP}, 0))", "log_received_packets": f"ln(1 + coalesce({RP_}, 0))", "log_duration": "ln(1 + coalesce(f.duration, 0))",
+    "log_total_bytes": f"coalesce(ln(1 + {SB} + {RB}), 0)", "log_total_packets": f"coalesce(ln(1 + {SP} + {RP_}), 0)",
+    "sent_byte_share": f"coalesce(CAST({SB} AS DOUBLE) / nullif({SB} + {RB}, 0), 0.5)", "sent_packet_share": f"coalesce(CAST({SP} AS DOUBLE) / nullif({SP} + {RP_}, 0), 0.5)",
+    "log_sent_bytes_per_packet": f"coalesce(ln(1 + CAST({SB} AS DOUBLE) / nullif({SP}, 0)), 0)", "log_received_bytes_per_packet": f"coalesce(ln(1 + CAST({RB} AS DOUBLE) / nullif({RP_}, 0)), 0)",
+    "sent_bytes_missing": flag(f"{SB} IS NULL"), "received_bytes_missing": flag(f"{RB} IS NULL"), "sent_packets_missing": flag(f"{SP} IS NULL"), "received_packets_missing": flag(f"{RP_} IS NULL"), "duration_missing": flag("f.duration IS NULL"),
+    "zero_total_bytes": flag(f"{SB} + {RB} = 0"), "zero_total_packets": flag(f"{SP} + {RP_} = 0"), "zero_sent_packets": flag(f"{SP} = 0"), "zero_received_packets": flag(f"{RP_} = 0"),
+}
+ELIGIBLE_SQL = bits(
+    *["true"] * 12, "f.source_port IS NOT NULL", "f.destination_port IS NOT NULL", "f.service IS NOT NULL", "true", f"{SB} IS NOT NULL", f"{RB} IS NOT NULL", f"{SP} IS NOT NULL", f"{RP_} IS NOT NULL", "f.duration IS NOT NULL",
+    f"{SB} + {RB} IS NOT NULL", f"{SP} + {RP_} IS NOT NULL", f"{SB} + {RB} > 0", f"{SP} + {RP_} > 0", f"{SB} IS NOT NULL AND {SP} > 0", f"{RB} IS NOT NULL AND {RP_} > 0", *["true"] * 5,
+    f"{SB} + {RB} IS NOT NULL", f"{SP} + {RP_} IS NOT NULL", f"{SP} IS NOT NULL", f"{RP_} IS NOT NULL",
+)
+JOINS = " ".join(rare_joins(c) for c in ("source_port", "destination_port", "service"))
+
+
+@query("ml2_sf22_sf24_features", "flows", sql="SELECT f.record_number, " + ", ".join(f"CAST(round(CAST({e} AS DOUBLE), 6) AS DOUBLE) AS {n}" for n, e in FEATURE_SQL.items()) + f", {ELIGIBLE_SQL} AS eligible FROM flows f {JOINS}")
 def ml2(flows):
+    """All 36 features in their order, and a sign for each whether it is eligible."""
+    f = features.feature_rows(flows, is_ref(), "record_number")
+    signs = F.array_join(F.transform("eligible", lambda x: x.cast("int").cast("string")), "")
+    return f.select("record_number", *[F.round(n, 6).alias(n) for n in features.FEATURES], signs.alias("eligible"))
+
+
+@query("sf38_audit_features", "flows", sql="SELECT f.record_number, " + ", ".join(f"CAST(round(CAST({FEATURE_SQL[n]} AS DOUBLE), 6) AS DOUBLE) AS {n}" for n in list(FEATURE_SQL)[16:]) + " FROM flows f")
+def sf38(flows):
+    """The 20 traffic features of a leakage audit: those that depend on volumes alone."""
     f = features.traffic_features()
-    names = ["protocol_tcp", "src_port_registered", "dst_port_well_known", "service_missing", "log_sent_bytes", "sent_byte_share", "log_sent_bytes_per_packet", "zero_sent_packets"]
-    return flows.select("record_number", *[F.round(f[n], 6).alias(n) for n in names])
+    return flows.select("record_number", *[F.round(f[n], 6).alias(n) for n in features.FEATURES[16:]])
+
 
+@query("ml1_observations", "flows", sql="SELECT record_number, protocol_number, source_port, destination_port, sent_bytes, concat_ws(',', CASE WHEN source_port > 60000 THEN 'PORT_RANGE' END, CASE WHEN sent_bytes IS NULL AND received_bytes IS NOT NULL THEN 'ONE_SIDED_BYTES' END, CASE WHEN sent_packets = 0 AND sent_bytes > 0 THEN 'BYTES_WITHOUT_PACKETS' END) AS faults FROM flows")
+def ml1(flows):
+    """The narrow observation of a row, with its violations instead of an error."""
+    faults = {"PORT_RANGE": F.col("source_port") > 60000, "ONE_SIDED_BYTES": F.col("sent_bytes").isNull() & F.col("received_bytes").isNotNull(), "BYTES_WITHOUT_PACKETS": (F.col("sent_packets") == 0) & (F.col("sent_bytes") > 0)}
+    return flows.select("record_number", "protocol_number", "source_port", "destination_port", "sent_bytes", F.concat_ws(",", *[F.when(e, n) for n, e in faults.items()]).alias("faults"))
 
-@query("ag29_j15_sf23_rarity", "flows", sql=f"SELECT f.record_number, round(CASE WHEN f.service IS NULL THEN 0.0 WHEN t.total IS NULL THEN 1.0 ELSE 1 - coalesce(c.cnt, 0) / CAST(t.total AS DOUBLE) END, 6) AS service_rarity FROM flows f LEFT JOIN (SELECT protocol_number, count(*) AS total FROM flows WHERE {REF} GROUP BY 1) t USING (protocol_number) LEFT JOIN (SELECT protocol_number, service, count(*) AS cnt FROM flows WHERE {REF} GROUP BY ALL) c ON c.protocol_number = f.protocol_number AND c.service = f.service")
+
+@query("ag29_j15_sf23_rarity", "flows", sql=f"SELECT f.record_number, round({rare('service')}, 6) AS service_rarity FROM flows f {rare_joins('service')}")
 def ag29(flows):
     return features.with_rarity(flows, features.rarity_counts(flows, is_ref())).select("record_number", F.round("service_rarity", 6).alias("service_rarity"))
 
@@ -46,14 +101,15 @@ def ag32(flows):
 @query("ag57_ag58_fit_statistics", "flows", sql=f"SELECT round(quantile_cont(ln(1 + sent_bytes), 0.5), 6) AS mid, round(avg(ln(1 + received_bytes)), 6) AS mean, round(stddev_pop(ln(1 + received_bytes)), 6) AS std FROM flows WHERE {REF}")
 def ag57(flows):
     r = flows.filter(is_ref())
-    return r.agg(F.round(F.percentile(F.log1p(F.col("sent_bytes").cast("double")), F.lit(0.5)), 6).alias("mid"), F.round(F.avg(F.log1p(F.col("received_bytes").cast("double"))), 6).alias("mean"), F.round(F.stddev_pop(F.log1p(F.col("received_bytes").cast("double"))), 6).alias("std"))
+    mid = frames.median(r.select(F.log1p(F.col("sent_bytes").cast("double")).alias("x")), "x", "mid")
+    return r.agg(F.round(F.avg(F.log1p(F.col("received_bytes").cast("double"))), 6).alias("mean"), F.round(F.stddev_pop(F.log1p(F.col("received_bytes").cast("double"))), 6).alias("std")).crossJoin(F.broadcast(mid.select(F.round("mid", 6).alias("mid"))))
 
 
 @query("ml8_transform", "flows", sql=f"SELECT record_number, round((coalesce(ln(1 + sent_bytes), mid) - mean) / std, 5) AS z, CASE WHEN sent_bytes IS NULL THEN 1 ELSE 0 END AS was_missing FROM flows, (SELECT mid, avg(coalesce(x, mid)) AS mean, stddev_pop(coalesce(x, mid)) AS std FROM (SELECT ln(1 + sent_bytes) AS x FROM flows WHERE {REF}), (SELECT quantile_cont(ln(1 + sent_bytes), 0.5) AS mid FROM flows WHERE {REF}) GROUP BY mid)")
 def ml8(flows):
     x = F.log1p(F.col("sent_bytes").cast("double"))
     r = flows.filter(is_ref()).select(x.alias("x"))
-    mid = r.agg(F.coalesce(F.percentile("x", F.lit(0.5)), F.lit(0.0)).alias("mid"))
+    mid = frames.median(r, "x", "mid").select(F.coalesce("mid", F.lit(0.0)).alias("mid"))
     state = r.crossJoin(F.broadcast(mid)).groupBy("mid").agg(F.avg(F.coalesce("x", "mid")).alias("mean"), F.stddev_pop(F.coalesce("x", "mid")).alias("std"))
     z = (F.coalesce(x, F.col("mid")) - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
     return flows.crossJoin(F.broadcast(state)).select("record_number", F.round(z, 5).alias("z"), F.col("sent_bytes").isNull().cast("int").alias("was_missing"))
@@ -86,9 +142,6 @@ def keys(d):
     return out
 
 
-COMPONENTS = "WITH RECURSIVE e AS (SELECT a.row_key AS a, b.row_key AS b FROM doc_keys a JOIN doc_keys b ON a.exact_key = b.exact_key OR a.near_key = b.near_key), r(a, root) AS (SELECT row_key, row_key FROM doc_keys UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a WHERE r.root < e.b), c AS (SELECT a AS row_key, min(root) AS root FROM r GROUP BY 1)"
-
-
 def rooted(d):
     g = graph.components(keys(d))
     return d.select("row_key").join(g, F.col("row_key") == F.col("node"), "left").select("row_key", F.coalesce("root", "row_key").alias("root"))
@@ -164,8 +217,3 @@ def w7(flows):
     return flows.groupBy("session_id").agg(F.count("*").alias("versions"), F.max_by("record_id", "record_number").alias("latest"))
 
 
-@query("j21_two_passes", "flows", sql="SELECT session_id, CASE WHEN a IS NULL OR b IS NULL THEN 'REVIEW_INCOMPLETE' WHEN a = b THEN 'AGREE' ELSE 'UNCERTAIN' END AS outcome FROM (SELECT session_id, max(CASE WHEN protocol_number = 6 THEN service END) AS a, max(CASE WHEN protocol_number = 17 THEN service END) AS b FROM flows GROUP BY 1)")
-def j21(flows):
-    p = F.col("protocol_number")
-    g = flows.groupBy("session_id").agg(F.max(F.when(p == 6, F.col("service"))).alias("a"), F.max(F.when(p == 17, F.col("service"))).alias("b"))
-    return g.select("session_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "REVIEW_INCOMPLETE").when(F.col("a") == F.col("b"), "AGREE").otherwise("UNCERTAIN").alias("outcome"))

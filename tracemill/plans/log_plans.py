@@ -59,9 +59,12 @@ def pf9(logs):
     return normalize.normalize(logs).select("record_number", F.size("unmapped_fields").cast("bigint").alias("unmapped"), F.size("source_record").cast("bigint").alias("raw_fields"))
 
 
-@query("pf10_pf17_event_violations", "logs", sql="SELECT 'x' AS \"check\", 'x' AS key FROM logs WHERE false")
+@query("pf10_pf17_event_violations", "logs", sql="SELECT 'no_provenance' AS \"check\", CAST(record_number AS STRING) AS key FROM logs WHERE record_number % 9 = 0 UNION ALL SELECT 'double_path', CAST(record_number AS STRING) FROM logs WHERE record_number % 11 = 0 AND record_number % 9 <> 0 UNION ALL SELECT 'lost_record', CAST(record_number AS STRING) FROM logs WHERE record_number % 13 = 0")
 def pf10(logs):
-    e = normalize.normalize(logs)
+    """Contract violations of events, with planted ones: provenance lost, a path twice, the source record lost."""
+    n = F.col("record_number")
+    e = normalize.normalize(logs).withColumn("provenance", F.when(n % 9 == 0, F.slice("provenance", 1, 0)).when(n % 11 == 0, F.concat("provenance", "provenance")).otherwise(F.col("provenance")))
+    e = e.withColumn("source_record", F.when(n % 13 == 0, F.create_map().cast("map<string,string>")).otherwise(F.col("source_record")))
     return frames.violations(e, "record_number", no_provenance=F.size("provenance") == 0, double_path=F.size("provenance") != F.size(F.array_distinct(F.transform("provenance", lambda p: p["path"]))), lost_record=F.size("source_record") == 0)
 
 
@@ -105,9 +108,11 @@ def j3(logs):
     return logs.select("record_number").join(sets, "record_number", "left").select("record_number", F.coalesce("rules", F.lit("")).alias("rules"))
 
 
-@query("j4_unmatched_findings", "logs", sql="SELECT record_number FROM logs WHERE false")
+@query("j4_unmatched_findings", "logs", sql=f"SELECT record_number FROM {RULES} WHERE record_number % 10 = 3")
 def j4(logs):
-    return detect.findings(normalize.normalize(logs)).join(logs, "record_number", "left_anti").select("record_number")
+    """Findings whose record is gone: every tenth record is left out of the records' side."""
+    kept = logs.filter("record_number % 10 <> 3").select("record_number")
+    return detect.findings(normalize.normalize(logs)).join(kept, "record_number", "left_anti").select("record_number")
 
 
 @query("j5_with_evidence_path", "logs", sql=f"SELECT record_number, rule_id FROM {RULES} WHERE rule_id = 'RULE_SOURCE_THREAT'")
@@ -187,7 +192,7 @@ def ag13(logs):
 @query("ag14_service_alignment", "logs", sql=f"SELECT CASE WHEN NOT regexp_matches(app_service, '(?i)^\\s*(tcp|udp)/[0-9]+\\s*$') THEN 'NO_HINT' WHEN upper(split_part(app_service, '/', 1)) <> coalesce(CASE {i('net_proto')} WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' END, '') THEN 'PROTOCOL_DIFFERS' WHEN {i('dst_port')} IS NULL THEN 'NO_PORT' WHEN CAST(split_part(app_service, '/', 2) AS BIGINT) = {i('dst_port')} THEN 'ALIGNED' ELSE 'PORT_DIFFERS' END AS outcome, count(*) AS n FROM logs GROUP BY 1")
 def ag14(logs):
     proto, port = S.service_hint("app_service", 1), S.service_hint("app_service", 2).cast("bigint")
-    actual, dst = F.coalesce(S.protocol_name(S.integer("net_proto")), F.lit("")), S.integer("dst_port")
+    actual, dst = F.lower(F.coalesce(S.protocol_name(S.integer("net_proto")), F.lit(""))), S.integer("dst_port")
     outcome = F.when(proto.isNull(), "NO_HINT").when(proto != actual, "PROTOCOL_DIFFERS").when(dst.isNull(), "NO_PORT").when(port == dst, "ALIGNED").otherwise("PORT_DIFFERS")
     return logs.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
@@ -270,7 +275,8 @@ def ag27(logs):
 @query("ag28_numeric_semantics", "logs", sql=f"SELECT count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x <> 0) AS others, CAST(median(x) AS DOUBLE) AS mid, CAST(quantile_disc(x, 0.99) AS BIGINT) AS p99 FROM (SELECT {i('net_sentbytes')} AS x FROM logs) WHERE x IS NOT NULL")
 def ag28(logs):
     x = logs.select(S.integer("net_sentbytes").alias("x")).filter("x is not null")
-    return x.agg(F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") != 0).alias("others"), F.median("x").cast("double").alias("mid"), F.expr("cast(percentile_disc(0.99) within group (order by x) as bigint)").alias("p99"))
+    counts = x.agg(F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") != 0).alias("others"))
+    return counts.crossJoin(F.broadcast(frames.median(x, "x", "mid"))).crossJoin(F.broadcast(frames.quantile_disc(x, "x", {"p99": 0.99})))
 
 
 @query("ag64_issue_coverage", "logs", sql=f"SELECT field, code, count(*) AS n FROM ({ISSUES}) GROUP BY ALL")
@@ -290,11 +296,16 @@ def w4(logs, block: int = 100_000):
 
 @query("j7_context_as_of", "logs", sql=f"SELECT record_number, coalesce(string_agg(CAST(other AS STRING), ',' ORDER BY rn), '') AS context FROM (SELECT a.record_number, b.record_number AS other, row_number() OVER (PARTITION BY a.record_number ORDER BY {i('b.itime')} DESC, b.record_number DESC) AS rn FROM logs a LEFT JOIN logs b ON a.net_sessionid = b.net_sessionid AND {i('b.itime')} < {i('a.itime')} WHERE {i('a.itime')} IS NOT NULL) WHERE rn <= 2 GROUP BY 1")
 def j7(logs):
-    # The two latest earlier rows of the session: state of a window, never pairs of rows.
+    # The two latest rows of earlier times: of rows of one time all share what came before the first of them, which is
+    # at most two rows. So per (session, time) its last two rows, then two lags over times; no frame grows.
     x = logs.select("record_number", "net_sessionid", S.integer("itime").alias("t")).filter("t is not null")
-    w = Window.partitionBy("net_sessionid").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    two = F.slice(F.sort_array(F.collect_list(F.struct("t", "record_number")).over(w), asc=False), 1, 2)
-    return x.select("record_number", F.array_join(F.transform(two, lambda s: s["record_number"].cast("string")), ",").alias("context"))
+    w = Window.partitionBy("net_sessionid").orderBy("t")
+    times = x.groupBy("net_sessionid", "t").agg(F.max("record_number").alias("r1"), F.count("*").alias("n"))
+    second = frames.top_per_group(x, ["net_sessionid", "t"], [F.desc("record_number")], 2).filter("rn = 2").select("net_sessionid", "t", F.col("record_number").alias("r2"))
+    own = times.join(second, ["net_sessionid", "t"], "left").withColumn("own", F.array_compact(F.array("r1", "r2")))
+    before = own.withColumn("before", F.slice(F.concat(F.coalesce(F.lag("own", 1).over(w), F.array().cast("array<bigint>")), F.coalesce(F.lag("own", 2).over(w), F.array().cast("array<bigint>"))), 1, 2))
+    joined = x.join(before.select("net_sessionid", "t", "before"), ["net_sessionid", "t"])
+    return joined.select("record_number", F.array_join(F.transform("before", lambda r: r.cast("string")), ",").alias("context"))
 
 
 @query("sr4_group_sort", "logs", sql=f"SELECT dst_port, row_number() OVER (ORDER BY {i('dst_port')} IS NULL, {i('dst_port')}, dst_port) AS place FROM (SELECT DISTINCT dst_port FROM logs)")
@@ -328,9 +339,14 @@ def au3(logs):
     return frames.full_compare(f, changed, ["record_number", "rule_id"], "severity").drop("rule_id")
 
 
-@query("au15_session_partition", "logs", sql="SELECT net_sessionid FROM logs GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+@query("au15_session_partition", "logs", sql="SELECT 'session' AS fault, net_sessionid AS key FROM (SELECT *, CASE WHEN record_number % 29 = 0 THEN 'HOLDOUT' WHEN (('0x' || substr(sha256(concat('session', net_sessionid)), 1, 16))::UBIGINT % 10) < 8 THEN 'REFERENCE' ELSE 'HOLDOUT' END AS part FROM logs) GROUP BY 2 HAVING count(DISTINCT part) > 1 UNION ALL SELECT 'record', CAST(record_number - record_number % 31 % 2 AS STRING) FROM logs GROUP BY record_number - record_number % 31 % 2 HAVING count(*) > 1")
 def au15(logs):
-    return logs.groupBy("net_sessionid").agg(F.countDistinct("event_type").alias("c")).filter("c > 1").select("net_sessionid")
+    """Sessions in two partitions and repeated record numbers, in rows with planted faults of both kinds."""
+    part = F.when((F.col("record_number") % 29 == 0) | (S.hash_bucket(F.concat(F.lit("session"), "net_sessionid"), 10) >= 8), "HOLDOUT").otherwise("REFERENCE")
+    x = logs.select("net_sessionid", part.alias("part"), (F.col("record_number") - F.col("record_number") % 31 % 2).alias("number"))
+    apart = x.groupBy(F.col("net_sessionid").alias("key")).agg(F.countDistinct("part").alias("c")).filter("c > 1").select(F.lit("session").alias("fault"), "key")
+    twice = x.groupBy("number").agg(F.count("*").alias("c")).filter("c > 1").select(F.lit("record").alias("fault"), F.col("number").cast("string").alias("key"))
+    return apart.unionByName(twice)
 
 
 @query("sc11_csv_cells", "logs", sql="SELECT record_number, CASE WHEN regexp_matches(event_action, '^[=+\\-@]') THEN concat('''', event_action) ELSE event_action END AS action, CASE WHEN record_number % 3 = 0 THEN concat('''=', loguid) ELSE loguid END AS cell FROM logs")

@@ -96,13 +96,27 @@ def sr5(x):
     return top.unionByName(frames.top_per_group(rest, ["band"], ["h"], 10).select("row_key", F.lit("COMPARISON").alias("role")))
 
 
-@query("ag65_au20_rank_diagnostics", "reviewed", sql="SELECT count(*) AS n, count(*) AS ranks, CAST(1 AS BIGINT) AS low, count(*) AS high, true AS contiguous FROM reviewed")
+RANKED = "(SELECT row_key, r, CASE WHEN row_key % 37 = 0 THEN r + 1 ELSE r END AS kept FROM (SELECT row_key, row_number() OVER (ORDER BY score DESC, row_key) AS r FROM reviewed))"
+
+
+@query("ag65_au20_rank_diagnostics", "reviewed", sql=f"SELECT count(*) AS n, count(DISTINCT kept) AS ranks, CAST(min(kept) AS BIGINT) AS low, CAST(max(kept) AS BIGINT) AS high, min(kept) = 1 AND max(kept) = count(*) AND count(DISTINCT kept) = count(*) AS contiguous, count(*) FILTER (WHERE kept <> r) AS differing FROM {RANKED}")
 def ag65(x):
-    r = frames.global_rank(x, [F.desc("score"), "row_key"], "rk")
-    d = r.agg(F.count("*").alias("n"), F.countDistinct("rk").alias("ranks"), F.min("rk").cast("bigint").alias("low"), F.max("rk").cast("bigint").alias("high"))
+    """Diagnostics of kept ranks, some of which are planted faults, and how many differ from the recomputed ones."""
+    r = frames.global_rank(x, [F.desc("score"), "row_key"], "rk").withColumn("kept", F.when(F.col("row_key") % 37 == 0, F.col("rk") + 1).otherwise(F.col("rk")))
+    d = r.agg(F.count("*").alias("n"), F.countDistinct("kept").alias("ranks"), F.min("kept").cast("bigint").alias("low"), F.max("kept").cast("bigint").alias("high"), F.count_if(F.col("kept") != F.col("rk")).alias("differing"))
     return d.withColumn("contiguous", (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("ranks") == F.col("n")))
 
 
+@query("j21_two_passes", "reviewed", sql="SELECT row_key, CASE WHEN a IS NULL OR b IS NULL THEN 'REVIEW_INCOMPLETE' WHEN a = b THEN 'AGREE' ELSE 'DISAGREE' END AS outcome FROM (SELECT row_key, blind_label AS a, CASE WHEN row_key % 6 = 0 THEN 'UNCERTAIN' WHEN row_key % 8 = 0 THEN NULL ELSE blind_label END AS b FROM reviewed WHERE review_id IS NOT NULL)")
+def j21(x):
+    """Decisions of two passes, one row a pass and record, paired by one pivot."""
+    due = x.filter("review_id is not null")
+    first = due.select("row_key", F.lit("PASS_A").alias("pass_id"), F.col("blind_label").alias("decision"))
+    again = F.when(F.col("row_key") % 6 == 0, "UNCERTAIN").when(F.col("row_key") % 8 == 0, None).otherwise(F.col("blind_label"))
+    decisions = first.unionByName(due.select("row_key", F.lit("PASS_B").alias("pass_id"), again.alias("decision")))
+    return review.paired_passes(decisions, "row_key")
+
+
 @query("au14_so4_label_set", "reviewed", "labels", sql="SELECT 'unknown' AS fault, doc_id AS key FROM labels WHERE doc_id NOT IN (SELECT row_key FROM reviewed WHERE review_id IS NOT NULL) UNION ALL SELECT 'pending', row_key FROM reviewed WHERE review_id IS NOT NULL AND blind_label IS NULL UNION ALL SELECT 'repeated', doc_id FROM labels GROUP BY 2 HAVING count(*) > 1")
 def au14(x, labels):
     due = x.filter("review_id is not null")

@@ -68,7 +68,7 @@ def ag38(x):
     return r.select("tp", "fp", "fn", "tn", *[F.round(k, 6).alias(k) for k in ("accuracy", "precision", "recall", "f1")])
 
 
-@query("ag39_supervised_zero", "labelled_scores", sql="SELECT 0.0 AS precision, 0.0 AS recall")
+@query("ag39_supervised_zero", "labelled_scores", sql="SELECT CAST(coalesce(count(*) FILTER (WHERE score > 1e12 AND label = 1) / nullif(count(*) FILTER (WHERE score > 1e12), 0), 0) AS DOUBLE) AS precision, CAST(coalesce(count(*) FILTER (WHERE score > 1e12 AND label = 1) / nullif(count(*) FILTER (WHERE label = 1), 0), 0) AS DOUBLE) AS recall FROM labelled_scores")
 def ag39(x):
     return metrics.rates(metrics.confusion(x, F.col("score") > 1e12), 0.0).select("precision", "recall")
 
@@ -140,11 +140,12 @@ def sr8(x):
     return s.withColumn("base", F.floor(60 * (0.5 * F.col("n") / F.sum("n").over(every) + 0.5 / F.count("*").over(every))).cast("bigint"))
 
 
-@query("so1_so2_so3_sets", "labelled_scores", sql="SELECT CAST(0 AS BIGINT) AS overlap, CAST(0 AS BIGINT) AS uncovered")
+@query("so1_so2_so3_sets", "labelled_scores", sql="SELECT count(*) FILTER (WHERE row_key % 17 = 0 AND row_key % 5 = 1) AS overlap, count(*) FILTER (WHERE row_key % 17 <> 0 AND row_key % 5 <> 1 AND row_key % 3 <> 0) AS uncovered FROM labelled_scores")
 def so1(x):
-    fit, held = x.filter(is_ref()).select("row_key"), x.filter(~is_ref()).select("row_key")
+    """Two sets that overlap and leave rows uncovered, by planted membership."""
+    fit, held = x.filter("row_key % 17 = 0 or row_key % 3 = 0 and row_key % 5 <> 1").select("row_key"), x.filter("row_key % 5 = 1").select("row_key")
     both = fit.join(held, "row_key", "left_semi").agg(F.count("*").alias("overlap"))
-    return both.crossJoin(x.select("row_key").exceptAll(fit.unionByName(held)).agg(F.count("*").alias("uncovered")))
+    return both.crossJoin(x.select("row_key").exceptAll(fit.unionByName(held).distinct()).agg(F.count("*").alias("uncovered")))
 
 
 @query("au23_au16_row_violations", "labelled_scores", sql="SELECT 'bad_label' AS \"check\", CAST(row_key AS STRING) AS key FROM labelled_scores WHERE label NOT IN (0, 1) UNION ALL SELECT 'short', CAST(row_key AS STRING) FROM labelled_scores WHERE score < 300")

@@ -26,7 +26,8 @@ SELECT l_orderkey * 8 + l_linenumber AS record_number, concat('L_', CAST(l_order
   CASE WHEN max(l_suppkey) % 20 = 0 THEN NULL ELSE concat('SVC', CAST(max(l_suppkey) % 20 AS STRING)) END AS service,
   CASE WHEN max(l_discount) = 0 THEN NULL ELSE CAST(floor(max(l_extendedprice)) AS BIGINT) END AS sent_bytes,
   CAST(floor(max(l_extendedprice) * max(l_tax)) AS BIGINT) AS received_bytes, CAST(max(l_quantity) AS BIGINT) - 1 AS sent_packets,
-  CASE WHEN max(l_tax) = 0 THEN NULL ELSE CAST(floor(max(l_tax) * 100) AS BIGINT) END AS received_packets, max(l_quantity) * max(l_discount) AS raw_score
+  CASE WHEN max(l_tax) = 0 THEN NULL ELSE CAST(floor(max(l_tax) * 100) AS BIGINT) END AS received_packets, max(l_quantity) * max(l_discount) AS raw_score,
+  CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE CAST(max(l_partkey) % 3600 AS BIGINT) END AS duration
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""),
     "labelled_scores": ("documents labels", """
 SELECT d.doc_id AS row_key, d.source AS group_id, CAST(d.n_chars AS DOUBLE) AS score, l.toxic AS label, l.quality AS label2
