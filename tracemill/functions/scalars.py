@@ -117,3 +117,12 @@ def anomaly_band(percentile) -> Column:
 
 def priority(score, flag) -> Column:
     return F.bround(F.least(F.lit(100.0), 0.9 * c(score) + 10.0 * c(flag).cast("int")), 6)
+
+
+def offset_time(text) -> Column:
+    """Time of an ISO-8601 text that carries an offset; null for texts without one or that cannot be read."""
+    return F.when(c(text).rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$"), F.try_to_timestamp(c(text)))
+
+
+def sorted_unique(items) -> Column:
+    return F.array_sort(F.array_distinct(items))

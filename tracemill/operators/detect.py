@@ -48,3 +48,10 @@ def findings(events: DataFrame, registry: list[Rule] | None = None) -> DataFrame
 
 def evidence(found: DataFrame) -> DataFrame:
     return found.select("finding_id", F.posexplode("evidence").alias("ordinal", "e")).select("finding_id", F.col("ordinal").cast("bigint").alias("ordinal"), "e.path", "e.value")
+
+
+def evidence_of(found: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """record_number, ordinal (from 1), path and value of the findings in ``ids`` (finding_id, few rows), in order, the first
+    ``limit`` of them."""
+    own = found.join(F.broadcast(ids), "finding_id").select("record_number", F.posexplode("evidence").alias("ordinal", "e"))
+    return own.select("record_number", (F.col("ordinal") + 1).alias("ordinal"), "e.path", "e.value").orderBy("record_number", "ordinal").limit(limit)

@@ -54,11 +54,6 @@ def pf8(logs):
     return p.filter(F.col("path").isin("event.type", "threat.name", "network.source_port")).groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("pf9_unmapped", "logs", sql="SELECT record_number, CAST(0 AS BIGINT) AS unmapped, CAST(13 AS BIGINT) AS raw_fields FROM logs")
-def pf9(logs):
-    return normalize.normalize(logs).select("record_number", F.size("unmapped_fields").cast("bigint").alias("unmapped"), F.size("source_record").cast("bigint").alias("raw_fields"))
-
-
 @query("pf10_pf17_event_violations", "logs", sql="SELECT 'no_provenance' AS \"check\", CAST(record_number AS STRING) AS key FROM logs WHERE record_number % 9 = 0 UNION ALL SELECT 'double_path', CAST(record_number AS STRING) FROM logs WHERE record_number % 11 = 0 AND record_number % 9 <> 0 UNION ALL SELECT 'lost_record', CAST(record_number AS STRING) FROM logs WHERE record_number % 13 = 0")
 def pf10(logs):
     """Contract violations of events, with planted ones: provenance lost, a path twice, the source record lost."""

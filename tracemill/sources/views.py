@@ -53,6 +53,25 @@ FROM (SELECT d.doc_id AS row_key, d.source AS group_id, CAST(d.n_chars AS DOUBLE
 }
 
 
+#: Field names of a full record whose values need no form of their own; filled or blank by turns.
+PLAIN_FIELDS = "adom_oid app_cat app_service data_parsername data_sourceid data_sourcename data_sourcetype data_timestamp dst_geo dst_intf dst_ip dst_mac epid euid event_action event_id event_severity event_subtype event_type host_ip host_location host_mac host_type loguid net_sessionid src_geo src_intf src_ip src_mac event_profile host_osver src_natip src_natport host_hwvendor host_hwver host_osfamily host_osname host_name src_domain threat_action threat_name threat_severity threat_type app_id app_name threat_pattern event_message threat_id threat_ref extra_cell".split()
+
+
+def _records() -> str:
+    plain = ", ".join(f"CASE WHEN (n + {i}) % {5 + i % 7} = 0 THEN ' ' ELSE concat('{f}:', CAST(n % {13 + i} AS STRING)) END AS {f}" for i, f in enumerate(PLAIN_FIELDS))
+    numbers = ", ".join(f"CASE WHEN n % 10 = 4 OR n % {6 + i} = 2 THEN '' WHEN n % {41 + i} = 3 THEN 'x' WHEN n % {53 + i} = 5 THEN '-7' ELSE CAST(n * {3 + i} AS STRING) END AS {f}" for i, f in enumerate(("net_rcvdpkts", "net_recvbytes", "net_sentbytes", "net_sentpkts", "net_sessionduration")))
+    return f"""
+SELECT n + 1 AS record_number, {plain}, {numbers},
+  CASE WHEN n % 97 = 0 THEN '' WHEN n % 89 = 1 THEN 'soon' WHEN n % 83 = 2 THEN '999999999999999' ELSE CAST(1700000000 + n * 7 AS STRING) END AS itime,
+  CASE n % 7 WHEN 0 THEN '1' WHEN 1 THEN '6' WHEN 2 THEN ' 17 ' WHEN 3 THEN '47' WHEN 4 THEN '' WHEN 5 THEN 'tcp' ELSE '6' END AS net_proto,
+  CASE WHEN n % 7 = 0 OR n % 5 = 1 THEN '' ELSE CAST(n * 31 % 70000 AS STRING) END AS src_port,
+  CASE WHEN n % 7 = 0 THEN ' ' WHEN n % 19 = 4 THEN '-1' ELSE CAST(n * 17 % 1024 AS STRING) END AS dst_port
+FROM (SELECT event_id AS n FROM {{events}}) e"""
+
+
+VIEWS["records"] = ("events", _records())
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS, or a given table."""
     if name not in VIEWS:
