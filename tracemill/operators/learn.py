@@ -56,3 +56,17 @@ def choose(results: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     mean = results.groupBy("candidate").agg(F.avg("ap").alias("mean_ap"))
     best = mean.agg(F.max("mean_ap").alias("_b"))
     return mean.crossJoin(F.broadcast(best)).filter(F.col("mean_ap") >= F.col("_b") - tolerance).agg(F.min("candidate").alias("candidate"))
+
+
+def save_pipeline(rows: DataFrame, features: list[str], label: str, path: str, c: float = 1.0) -> None:
+    """Fit vectors and logistic regression as one pipeline and write it to ``path``."""
+    from pyspark.ml import PipelineModel
+
+    PipelineModel(stages=[VectorAssembler(inputCols=features, outputCol="features"), logistic(rows, features, label, c)]).write().save(path)
+
+
+def score_saved(path: str, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep columns with p_attack by a saved pipeline, which is not fitted again."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path).transform(rows).select(*keep, vector_to_array("probability")[1].alias("p_attack"))

@@ -5,8 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import filled
 from ..sources.shared import stored
 from .frames import global_rank, running_by_value
+from .graph import components, with_group
+
+HARD_KEYS = ["exact_key", "near_key"]
+#: Tiers of entity keys beside the hard keys, the coarsest first.
+TIERS = {
+    "ENTITY_ALL_ENDPOINTS": ["entity_source", "entity_destination", "entity_host"],
+    "ENTITY_SOURCE_HOST": ["entity_source", "entity_host"],
+    "HARD_GROUP_ONLY": [],
+}
+PARTS = {"TRAIN": 0.7, "VALIDATION": 0.15, "TEST": 0.15}
+
+
+def star_edges(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
+    """(a, b): each row and the smallest row of its key, for every key; blank keys link nothing.
+
+    Keys are told apart by name, so that equal texts of two keys do not meet. A hot key's rows are dealt over tasks.
+    """
+    pairs = F.array_compact(F.array(*[F.when(filled(k), F.sha2(F.concat(F.lit(f"{k}:"), F.col(k)), 256)) for k in keys]))
+    long = rows.select(F.col(row).alias("a"), F.explode(pairs).alias("k"))
+    return with_group(long, "k", "a", {"_b": F.min("a")}, {"b": F.min("_b")}).select("a", "b")
+
+
+def tier_groups(rows: DataFrame, row: str, tier: str) -> DataFrame:
+    """rows with ``root``, the smallest row of their group, by hard keys and the tier's entity keys."""
+    g = components(star_edges(rows, row, HARD_KEYS + TIERS[tier]))
+    return rows.join(g, F.col(row) == F.col("node"), "left").withColumn("root", F.coalesce("root", row)).drop("node")
+
+
+def staged(rows: DataFrame, row: str, groups_least: int = 50, rows_least: int = 10) -> DataFrame:
+    """tier, check, actual, passed, chosen: tiers are tried from the coarsest; the first whose split by whole groups passes
+    all checks is chosen, and no finer one is tried. Where none passes, none is chosen."""
+    out = None
+    for tier in TIERS:
+        g = stored(tier_groups(rows, row, tier).select("root"))
+        b = F.pmod(F.xxhash64("root"), F.lit(10000))
+        part = F.when(b < 7000, "TRAIN").when(b < 8500, "VALIDATION").otherwise("TEST")
+        checks = stored(feasibility(g.withColumn("part", part), "root", "part", PARTS, groups_least, rows_least, 0.1, 0.25))
+        passed = checks.filter(~F.coalesce("passed", F.lit(False))).limit(1).count() == 0
+        mine = checks.select(F.lit(tier).alias("tier"), "check", F.round("actual", 6).alias("actual"), "passed", F.lit(passed).alias("chosen"))
+        out = mine if out is None else out.unionByName(mine)
+        if passed:
+            break
+    return out
 
 
 def contiguous_split(groups: DataFrame, group: str, size: str, shares=(80, 10, 10), names=("TRAIN", "CALIBRATION", "COMPARISON")) -> DataFrame:

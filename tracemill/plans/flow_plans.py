@@ -206,14 +206,6 @@ def au5(li):
     return li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("au8_ranks_recomputed", "flows", sql="SELECT count(*) AS n, count(*) AS distinct_ranks, CAST(1 AS BIGINT) AS low, count(*) AS high FROM flows")
-def au8(flows):
-    r = frames.global_rank(flows, [F.desc("raw_score"), "record_number"], "rk")
-    return r.agg(F.count("*").alias("n"), F.countDistinct("rk").alias("distinct_ranks"), F.min("rk").cast("bigint").alias("low"), F.max("rk").cast("bigint").alias("high"))
-
-
 @query("w7_w13_versions", "flows", sql="SELECT session_id, count(*) AS versions, arg_max(record_id, record_number) AS latest FROM flows GROUP BY 1")
 def w7(flows):
     return flows.groupBy("session_id").agg(F.count("*").alias("versions"), F.max_by("record_id", "record_number").alias("latest"))
-
-

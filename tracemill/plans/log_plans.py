@@ -348,10 +348,3 @@ def au15(logs):
 def sc11(logs):
     cell = F.when(F.col("record_number") % 3 == 0, F.concat(F.lit("="), "loguid")).otherwise(F.col("loguid"))
     return logs.select("record_number", S.formula_safe("event_action").alias("action"), S.formula_safe(cell).alias("cell"))
-
-
-@query("sc14_stored_tables", "logs", sql=f"SELECT 'findings' AS table_name, count(*) AS n FROM {RULES} UNION ALL SELECT 'finding_evidence', count(*) FROM (SELECT unnest(CASE WHEN rule_id = 'RULE_ANOMALY_SUBTYPE' THEN [1, 2] ELSE [1, 2, 3] END) FROM {RULES})")
-def sc14(logs):
-    f = detect.findings(normalize.normalize(logs))
-    e = detect.evidence(f)
-    return f.agg(F.count("*").alias("n")).select(F.lit("findings").alias("table_name"), "n").unionByName(e.agg(F.count("*").alias("n")).select(F.lit("finding_evidence").alias("table_name"), "n"))

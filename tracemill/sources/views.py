@@ -34,6 +34,11 @@ SELECT d.doc_id AS row_key, d.source AS group_id, CAST(d.n_chars AS DOUBLE) AS s
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""),
     "doc_keys": ("documents", """
 SELECT doc_id AS row_key, text AS exact_key, concat(lang, ':', source, ':', CAST(n_chars % 97 AS STRING)) AS near_key FROM {documents}"""),
+    "entity_keys": ("documents", """
+SELECT doc_id AS row_key, text AS exact_key, concat(lang, ':', CAST(n_chars AS STRING)) AS near_key,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('s', CAST(doc_id * 7 % 409 AS STRING)) END AS entity_source,
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('s', CAST(doc_id * 11 % 53 AS STRING)) END AS entity_destination,
+  CASE WHEN doc_id % 5 > 0 THEN NULL ELSE concat('h', CAST(doc_id % 307 AS STRING)) END AS entity_host FROM {documents}"""),
     "alerts": ("events", """
 SELECT event_id + 1 AS record_number, CAST(user_id AS STRING) AS session, 1700000000 + event_id * 7 AS itime,
   CASE WHEN event_type = 'error' THEN 'utm' ELSE 'traffic' END AS event_type, CASE WHEN event_type = 'error' THEN 'anomaly' ELSE 'forward' END AS event_subtype,
