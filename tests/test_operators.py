@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -175,3 +176,62 @@ def test_split_manifest_keeps_components_whole(spark):
     assert got[300][0] == "300" and got[301][0] == "301"
     sizes = [sum(p == n for _, p in got.values()) for n in ("TRAIN", "CALIBRATION", "COMPARISON")]
     assert abs(sizes[0] - 242) <= 6 and abs(sizes[1] - 30) <= 12
+
+
+def test_features_keep_their_order_and_flags(spark):
+    from tracemill.operators import features
+
+    cols = "record_number long, protocol_number int, source_port long, destination_port long, service string, sent_bytes long, received_bytes long, sent_packets long, received_packets long, duration long"
+    rows = [(1, 6, 80, None, "A", 10, 30, 0, 5, None), (2, 6, None, 443, None, None, 7, 3, None, 9), (3, 17, 60000, 5, "B", 0, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, cols)
+    out = features.feature_rows(df, F.col("record_number") < 3, "record_number").orderBy("record_number").collect()
+    assert len(features.FEATURES) == 36 == len(set(features.FEATURES)) and list(out[0].asDict())[1:-1] == features.FEATURES
+    a, b, c = out
+    assert (a.service_rarity, b.service_rarity, c.service_rarity) == (0.0, 0.0, 1.0)  # the only value, null, unseen protocol
+    assert (a.sent_byte_share, b.sent_byte_share, c.zero_total_bytes) == (0.25, 0.5, 1.0)
+    flags = [dict(zip(features.FEATURES, r.eligible, strict=True)) for r in out]
+    assert not flags[0]["dst_port_rarity"] and not flags[0]["log_duration"] and flags[0]["sent_byte_share"] and not flags[0]["log_sent_bytes_per_packet"]
+    assert not flags[1]["log_total_bytes"] and not flags[1]["zero_total_bytes"] and not flags[2]["sent_byte_share"] and flags[2]["zero_total_bytes"]
+
+
+def test_tiers_equal_joined_sets(spark):
+    from tracemill.operators import splits
+
+    r = random.Random(6)
+    pick = lambda p, n: r.choice([None, "", *[f"{p}{i}" for i in range(n)]])
+    rows = [(i, pick("e", 60), pick("n", 50), pick("s", 30), pick("d", 9), pick("h", 40)) for i in range(90)]
+    names = ["row_key", "exact_key", "near_key", "entity_source", "entity_destination", "entity_host"]
+    df = spark.createDataFrame(rows, "row_key long, exact_key string, near_key string, entity_source string, entity_destination string, entity_host string")
+    for tier, extra in splits.TIERS.items():
+        root = {i: i for i, *_ in rows}
+        for _ in rows:  # as often as the longest path may need
+            for k in [*splits.HARD_KEYS, *extra]:
+                at = names.index(k)
+                for a in rows:
+                    for b in rows:
+                        if a[at] and a[at] == b[at]:
+                            root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
+        assert {x.row_key: x.root for x in splits.tier_groups(df, "row_key", tier).collect()} == root
+    staged = splits.staged(df, "row_key", groups_least=2, rows_least=1).collect()
+    assert [x.tier for x in staged if x.chosen][:1] in ([], [staged[-1].tier])
+
+
+def test_saved_model_scores_as_the_fitted_one(spark, tmp_path):
+    from tracemill.operators import learn
+
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, r.random(), r.random(), int(i % 3 == 0)) for i in range(200)], "i long, a double, b double, label int")
+    learn.save_pipeline(df, ["a", "b"], "label", f"file://{tmp_path}/m")
+    fitted = learn.probability(learn.logistic(df, ["a", "b"], "label"), df, ["a", "b"], ["i"])
+    saved = learn.score_saved(f"file://{tmp_path}/m", df, ["i"])
+    assert sorted((x.i, round(x.p_attack, 9)) for x in saved.collect()) == sorted((x.i, round(x.p_attack, 9)) for x in fitted.collect())
+
+
+def test_median_and_quantiles_by_running_counts(spark):
+    for values in ([], [4.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0], [3.0, 3.0, 3.0, 8.0, None]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        known = sorted(v for v in values if v is not None)
+        want = None if not known else (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
+        assert frames.median(df, "x", "m").first().m == want
+        q = frames.quantile_disc(df, "x", {"low": 0.25, "top": 1.0}).first()
+        assert (q.low, q.top) == ((known[max(1, math.ceil(0.25 * len(known))) - 1], known[-1]) if known else (None, None))
