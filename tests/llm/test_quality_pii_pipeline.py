@@ -149,3 +149,71 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
         out = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}")
         assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns)
         assert (out.count() > 0) == (name == "some")
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept, against plain Python with the same fitted weights and trees."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tracemill.llm.common import table
+
+    def prose(i):
+        return [f"w{i * 37 % 83}{k * 11 % 61}x" for k in range(70)]
+
+    rows = [(i, "\n".join(" ".join(prose(i)[k : k + 14]) for k in range(0, 70, 14)) + f" mail u{i}@host.example.org end", "en", f"s{i % 3}", 400) for i in range(60)]
+    rows += [(100 + i, rows[i][1], "en", "s1", 400) for i in range(10)]  # exact copies
+    rows += [(200 + i, rows[i][1] + " and one", "en", "s2", 400) for i in range(10)]  # near ones
+    rows += [(300 + i, " ".join(x.upper() + "!! ###" for x in prose(i)), "en", "s0", 400) for i in range(30)]
+    rows += [(400, None, None, None, None), (401, "", "en", "s0", 0), (402, "short one", "en", "s0", 9)]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 300), 0) for i, *_ in rows if i < 400], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = table(spark, folder, "documents")
+    w = op4_quality.train(docs, table(spark, folder, "labels"))
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.stored(stage(spark, docs, folder))
+        after[name] = before.collect(), docs.collect()
+
+    def kept(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        stats, x, visible, first = op4_quality.measure(data, np.array([0, len(data)]))
+        y = op4_quality.viterbi(x, first, w)
+        return not plain_quality(text)[-1] and (visible * y).sum() >= 0.5 * visible.sum()
+
+    start, good = after["quality rules"]
+    assert {r.doc_id for r in good} == {r.doc_id for r in start if kept(r.text)} == {*range(60), *range(100, 110), *range(200, 210)}
+
+    def shingles(text):
+        t = [x.lower() for x in WORDS.findall(text)]
+        return {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+
+    start, one = after["near-duplicates"]
+    sets = {r.doc_id: shingles(r.text) for r in start}
+    linked = {i: min(j for j in sets if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in sets}
+    assert {r.doc_id for r in one} == set(linked.values()) == set(range(60))
+
+    start, hidden = after["personal data"]
+    model = op9_pii.train(spark.createDataFrame([tuple(r) for r in start], docs_schema(spark, folder)))
+    texts = {r.doc_id: op9_pii.redact(r.text, (b := op9_pii.base_spans(r.text)) + op9_pii.added_spans(r.text, b, model)) for r in start}
+    assert {r.doc_id: r.text for r in hidden} == texts and all("[EMAIL]" in t for t in texts.values())
+
+    start, mixed = after["mixing"]
+    size = {s: sum(len(r.text.split()) for r in start if r.source == s) for s in ("s0", "s1", "s2")}
+    words = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in size}
+    assert abs(sum(words.values()) - 1.5 * sum(size.values())) <= 3 and all(words[s] <= 2 * size[s] for s in size)
+    assert all(r.text in texts[r.doc_id] or set(r.text.split()) <= set(texts[r.doc_id].split()) for r in mixed)
+
+    start, coded = after["encoding"]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    ids = [(r.doc_id, t.encode(r.text, add_special_tokens=False).ids) for r in start]
+    want = sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in ids)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in coded) == want
+
+
+def docs_schema(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet").schema

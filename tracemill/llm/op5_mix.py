@@ -153,7 +153,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     cut = cut.join(starts.filter("size > 0").select("skey", "start", "size", "row_key"), ["skey", "start"]).select("row_key", "taken", "size", "parts")
     full = docs.select("row_key", "row", F.col("row.text").alias("text")).join(cut, "row_key")
     # Words with the blanks behind them; what stands before the first word is dropped.
-    words = F.filter(F.split("text", rf"(?<=[\x20\x09-\x0D])(?={WORD})"), lambda x: x.rlike(WORD))
+    words = F.expr(rf"regexp_extract_all(text, r'{WORD}[\x20\x09-\x0D]*', 0)")
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["word_from"] + 1).cast("int"), p["n_words"].cast("int")))), "")
     full = full.withColumn("text", F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(F.regexp_replace(some, r"[\x20\x09-\x0D]+$", "")))
     out = {c: F.col("row")[c] for c in names} | {"text": F.col("text")}
