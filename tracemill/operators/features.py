@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.shared import stored
-from .frames import unpivot
+from .frames import median, unpivot
 
 RARE = {"src_port_rarity": "source_port", "dst_port_rarity": "destination_port", "service_rarity": "service"}
 FEW_COUNTS = 200_000  # rows of rarity counts up to which they are broadcast
@@ -104,6 +104,58 @@ def feature_rows(rows: DataFrame, reference: Column, *keep: str) -> DataFrame:
     return with_rarity(rows, rarity_counts(rows, reference)).select(*keep, *[f.get(n, F.col(n)).alias(n) for n in FEATURES], F.array(*[e[n] for n in FEATURES]).alias("eligible"))
 
 
+def observed_log(col: str) -> Column:
+    """log(1 + x), null for missing values; an error for negative and infinite values and NaN."""
+    x = F.col(col).cast("double")
+    bad = F.raise_error(F.concat(F.lit(f"{col} is not a finite number from 0: "), x.cast("string"))).cast("double")
+    return F.when(x.isNull(), F.lit(None).cast("double")).when((x < 0) | F.isnan(x) | (x == float("inf")), bad).otherwise(F.log1p(x))
+
+
+def category(col: str) -> Column:
+    """Trimmed text, null where blank."""
+    return F.nullif(F.trim(F.col(col).cast("string")), F.lit(""))
+
+
+def column_state(rows: DataFrame, numbers: list[str], categories: list[str], most: int = 512) -> DataFrame:
+    """One row, fitted on ``rows``: mid_, mean_ and scale_ of every number's logs (missing ones filled with the median),
+    voc_ with the sorted values of every category. An error where the encoded columns would be more than ``most``."""
+    logs = stored(rows.select(*[observed_log(c).alias(c) for c in numbers], *[category(c).alias(f"c_{c}") for c in categories]))
+    words = stored(unpivot(logs, [], [f"c_{c}" for c in categories]).filter("value is not null").distinct())
+    width = 2 * len(numbers) + 2 * len(categories) + words.count()
+    if width > most:
+        raise ValueError(f"{width} encoded columns, of {most} allowed")
+    one = words.agg(*[F.array_sort(F.collect_set(F.when(F.col("field") == f"c_{c}", F.col("value")))).alias(f"voc_{c}") for c in categories])
+    mids = [median(logs, c, f"mid_{c}").select(F.coalesce(f"mid_{c}", F.lit(0.0)).alias(f"mid_{c}")) for c in numbers]
+    for m in mids:
+        one = one.crossJoin(F.broadcast(m))
+        logs = logs.crossJoin(F.broadcast(m))
+    sums = []
+    for c in numbers:
+        x = F.coalesce(c, f"mid_{c}")
+        spread = F.stddev_pop(x)
+        sums += [F.coalesce(F.avg(x), F.lit(0.0)).alias(f"mean_{c}"), F.when(spread > 0, spread).otherwise(1.0).alias(f"scale_{c}")]
+    return stored(one.crossJoin(F.broadcast(logs.agg(*sums))))
+
+
+def one_hot(value: Column, known: Column) -> Column:
+    """A flag for each known value, for a missing value and for one that is not known."""
+    own = F.transform(known, lambda w: F.coalesce(w == value, F.lit(False)))
+    unknown = value.isNotNull() & ~F.coalesce(F.array_contains(known, value), F.lit(False))
+    return F.concat(own, F.array(value.isNull(), unknown)).cast("array<double>")
+
+
+def encoded(rows: DataFrame, state: DataFrame, numbers: list[str], categories: list[str], *keep: str) -> DataFrame:
+    """keep columns; of every number <name>_scaled and <name>_missing; of every category <name>_hot, one flag for each value of
+    the state, then one for missing and one for values that the state does not know."""
+    out = []
+    for c in numbers:
+        x = observed_log(c)
+        out += [((F.coalesce(x, F.col(f"mid_{c}")) - F.col(f"mean_{c}")) / F.col(f"scale_{c}")).alias(f"{c}_scaled"), F.col(c).isNull().cast("double").alias(f"{c}_missing")]
+    for c in categories:
+        out.append(one_hot(category(c), F.col(f"voc_{c}")).alias(f"{c}_hot"))
+    return rows.crossJoin(F.broadcast(state)).select(*keep, *out)
+
+
 def nearest_centroid(rows: DataFrame, centres: DataFrame, vector: str = "embedding", top: int = 3) -> DataFrame:
     """Squared distance to the nearest of few centres (id, centre), and the dimensions of the largest residuals.
 

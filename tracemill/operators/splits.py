@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import filled
+from ..functions.scalars import filled, hash_bucket
 from ..sources.shared import stored
 from .frames import global_rank, running_by_value
 from .graph import components, with_group
@@ -158,3 +158,20 @@ def leaked_rows(df: DataFrame, group: str, fold: Column, folds: int) -> DataFram
     wide = df.groupBy(group).agg(*[F.count_if(fold == k).alias(f"f{k}") for k in range(folds)])
     cells = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.col(f"f{k}").alias("n")) for k in range(folds)])).alias("c"), sum((F.col(f"f{k}") for k in range(1, folds)), F.col("f0")).alias("all"))
     return cells.groupBy("c.fold").agg(F.sum("c.n").alias("n"), F.sum(F.when(F.col("all") > F.col("c.n"), F.col("c.n")).otherwise(0)).alias("leaked"))
+
+
+def context_roles(group: str, outer: int = 3, inner: int = 2) -> Column:
+    """Map of context to FIT or SCORE for a row of the group.
+
+    OUTER_o scores fold o and fits on the other folds; INNER_o_i scores a part of the rows that OUTER_o fits on and fits on
+    the rest of them; FINAL fits on all rows. The group alone decides, so that none is on both sides of a context.
+    """
+    fold = hash_bucket(group, outer)
+    roles = {"FINAL": F.lit("FIT")}
+    for o in range(outer):
+        part = hash_bucket(F.concat(F.lit(f"inner:{o}:"), group), inner)
+        roles[f"OUTER_{o}"] = F.when(fold == o, "SCORE").otherwise("FIT")
+        for i in range(inner):
+            roles[f"INNER_{o}_{i}"] = F.when(fold != o, F.when(part == i, "SCORE").otherwise("FIT"))
+    cells = F.array(*[F.struct(F.lit(c).alias("context_id"), r.alias("role")) for c, r in roles.items()])
+    return F.map_from_entries(F.filter(cells, lambda x: x["role"].isNotNull()))

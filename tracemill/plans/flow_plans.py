@@ -105,14 +105,24 @@ def ag57(flows):
     return r.agg(F.round(F.avg(F.log1p(F.col("received_bytes").cast("double"))), 6).alias("mean"), F.round(F.stddev_pop(F.log1p(F.col("received_bytes").cast("double"))), 6).alias("std")).crossJoin(F.broadcast(mid.select(F.round("mid", 6).alias("mid"))))
 
 
-@query("ml8_transform", "flows", sql=f"SELECT record_number, round((coalesce(ln(1 + sent_bytes), mid) - mean) / std, 5) AS z, CASE WHEN sent_bytes IS NULL THEN 1 ELSE 0 END AS was_missing FROM flows, (SELECT mid, avg(coalesce(x, mid)) AS mean, stddev_pop(coalesce(x, mid)) AS std FROM (SELECT ln(1 + sent_bytes) AS x FROM flows WHERE {REF}), (SELECT quantile_cont(ln(1 + sent_bytes), 0.5) AS mid FROM flows WHERE {REF}) GROUP BY mid)")
+NUMBERS, CATEGORIES = ["sent_bytes", "received_bytes", "sent_packets", "received_packets", "duration"], ["service", "protocol_number"]
+ML8_SQL = (
+    "WITH m AS (SELECT " + ", ".join(f"coalesce(quantile_cont(ln(1 + {c}), 0.5), 0) AS mid_{c}" for c in NUMBERS) + f" FROM flows WHERE {REF}), "
+    "s AS (SELECT " + ", ".join(f"max(mid_{c}) AS mid_{c}, avg(coalesce(ln(1 + {c}), mid_{c})) AS mean_{c}, coalesce(nullif(stddev_pop(coalesce(ln(1 + {c}), mid_{c})), 0), 1) AS scale_{c}" for c in NUMBERS) + f" FROM flows, m WHERE {REF}), "
+    "v AS (SELECT " + ", ".join(f"list_sort(list(DISTINCT CAST({c} AS STRING)) FILTER ({c} IS NOT NULL)) AS voc_{c}" for c in CATEGORIES) + f" FROM flows WHERE {REF}) "
+    "SELECT record_number, " + ", ".join(f"round((coalesce(ln(1 + {c}), mid_{c}) - mean_{c}) / scale_{c}, 5) AS {c}_scaled, CASE WHEN {c} IS NULL THEN 1::DOUBLE ELSE 0::DOUBLE END AS {c}_missing" for c in NUMBERS)
+    + ", " + ", ".join(f"concat(array_to_string(list_transform(voc_{c}, lambda x: CASE WHEN x = CAST({c} AS STRING) THEN '1' ELSE '0' END), ''), CASE WHEN {c} IS NULL THEN '10' WHEN list_contains(voc_{c}, CAST({c} AS STRING)) THEN '00' ELSE '01' END) AS {c}_hot" for c in CATEGORIES)
+    + " FROM flows, s, v"
+)
+
+
+@query("ml8_transform", "flows", sql=ML8_SQL)
 def ml8(flows):
-    x = F.log1p(F.col("sent_bytes").cast("double"))
-    r = flows.filter(is_ref()).select(x.alias("x"))
-    mid = frames.median(r, "x", "mid").select(F.coalesce("mid", F.lit(0.0)).alias("mid"))
-    state = r.crossJoin(F.broadcast(mid)).groupBy("mid").agg(F.avg(F.coalesce("x", "mid")).alias("mean"), F.stddev_pop(F.coalesce("x", "mid")).alias("std"))
-    z = (F.coalesce(x, F.col("mid")) - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
-    return flows.crossJoin(F.broadcast(state)).select("record_number", F.round(z, 5).alias("z"), F.col("sent_bytes").isNull().cast("int").alias("was_missing"))
+    """Scaled logs with missing flags, and one-hot signs in the order of the reference rows' values, MISSING, UNKNOWN."""
+    state = features.column_state(flows.filter(is_ref()), NUMBERS, CATEGORIES)
+    x = features.encoded(flows, state, NUMBERS, CATEGORIES, "record_number")
+    hot = [F.array_join(F.transform(f"{c}_hot", lambda y: y.cast("int").cast("string")), "").alias(f"{c}_hot") for c in CATEGORIES]
+    return x.select("record_number", *[F.round(f"{c}_scaled", 5).alias(f"{c}_scaled") for c in NUMBERS], *[f"{c}_missing" for c in NUMBERS], *hot)
 
 
 @query("w6_sf26_midrank", "flows", sql=f"SELECT record_number, round(abs(2 * (less + 0.5 * equal) / total - 1), 6) AS extremeness FROM (SELECT f.record_number, (SELECT count(*) FROM flows r WHERE {REF.replace('session_id', 'r.session_id')} AND r.sent_packets < f.sent_packets) AS less, (SELECT count(*) FROM flows r WHERE {REF.replace('session_id', 'r.session_id')} AND r.sent_packets = f.sent_packets) AS equal, (SELECT count(*) FROM flows WHERE {REF}) AS total FROM flows f)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import frames, labels
+from ..operators import frames, labels, splits
 from ..registry import query
 
 CONTROL = {"event_type": "utm", "event_subtype": "anomaly", "event_action": "clear_session"}
@@ -185,12 +185,20 @@ def ag59(flows):
     return flows.crossJoin(F.broadcast(st)).select("record_number", z(F.col("raw_score"), 1), z(b, 2))
 
 
-@query("ml15_contexts", "flows", sql="WITH g AS (SELECT record_number, CAST(('0x' || substr(sha256(session_id), 1, 16))::UBIGINT % 3 AS INTEGER) AS fold FROM flows) SELECT c AS context_id, CASE WHEN fold = c THEN 'SCORE' ELSE 'FIT' END AS role, count(*) AS n FROM g, range(0, 3) r(c) GROUP BY ALL UNION ALL SELECT 3, 'FIT', count(*) FROM g")
+BUCKET = "CAST(('0x' || substr(sha256({0}), 1, 16))::UBIGINT % {1} AS INTEGER)"
+FOLD = BUCKET.format("session_id", 3)
+CONTEXT_SQL = ["SELECT 'FINAL' AS context_id, 'FIT' AS role, session_id FROM flows"]
+CONTEXT_SQL += [f"SELECT 'OUTER_{o}', CASE WHEN {FOLD} = {o} THEN 'SCORE' ELSE 'FIT' END, session_id FROM flows" for o in range(3)]
+CONTEXT_SQL += [f"SELECT 'INNER_{o}_{i}', CASE WHEN {BUCKET.format(f"concat('inner:{o}:', session_id)", 2)} = {i} THEN 'SCORE' ELSE 'FIT' END, session_id FROM flows WHERE {FOLD} <> {o}" for o in range(3) for i in range(2)]
+
+
+@query("ml15_contexts", "flows", sql=f"SELECT context_id, role, count(*) AS n, count(DISTINCT session_id) AS n_groups FROM ({' UNION ALL '.join(CONTEXT_SQL)}) GROUP BY ALL")
 def ml15(flows):
-    f = S.hash_bucket("session_id", 3)
-    outer = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.struct(c.cast("bigint").alias("context_id"), F.when(f == c, "SCORE").otherwise("FIT").alias("role")))
-    every = F.concat(outer, F.array(F.struct(F.lit(3).cast("bigint").alias("context_id"), F.lit("FIT").alias("role"))))
-    return flows.select(F.explode(every).alias("x")).select("x.*").groupBy("context_id", "role").agg(F.count("*").alias("n"))
+    """Rows and groups that each of the six inner, three outer and the final context fit on and score."""
+    # Groups are counted before the contexts multiply them.
+    g = flows.groupBy("session_id").agg(F.count("*").alias("rows"))
+    x = g.select("rows", F.explode(splits.context_roles("session_id")).alias("context_id", "role"))
+    return x.groupBy("context_id", "role").agg(F.sum("rows").alias("n"), F.count("*").alias("n_groups"))
 
 
 @query("g1_sf19_sf21_group_tokens", "alerts", sql="SELECT record_number, sha256(concat('session:', session)) AS session_token, sha256(concat_ws('|', event_type, event_subtype, event_action, threat_name)) AS near_id FROM alerts")
