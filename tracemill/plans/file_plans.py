@@ -140,10 +140,10 @@ def ml10(flows):
 
 @query("ml12_ml13_nested_choice", "flows")
 def ml12(flows):
-    """candidate, fold, ap and whether the candidate is chosen."""
+    """Logistic regression (S1) of two strengths over nested folds of whole sessions: every ap, and what is chosen."""
     rows, names = model_rows(flows)
-    r = learn.cross_validate(rows.filter(is_ref()), names, "label", S.hash_bucket("session_id", 3), 3, (0.1, 1.0))
-    return r.crossJoin(learn.choose(r).select(F.col("candidate").alias("best"))).select("candidate", "fold", F.round("ap", 6).alias("ap"), (F.col("candidate") == F.col("best")).alias("chosen"))
+    r = learn.nested_choice(rows.filter(is_ref()), rows.filter(~is_ref()), names, "label", "session_id", {"S1": (learn.logistic, (0.1, 1.0))})
+    return r.withColumn("ap", F.round("ap", 6))
 
 
 @query("ml16_ml18_chained_scores", "flows")
