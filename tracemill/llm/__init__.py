@@ -1 +1 @@
-"""Training-data operators: ten operators over text and vector tables, one module each."""
+"""Training-data operators: thirteen operators over text and vector tables, one module each."""

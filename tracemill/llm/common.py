@@ -55,6 +55,16 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def dealt_join(rows: DataFrame, per: DataFrame, key: str, spread: str, parts: int = 64) -> DataFrame:
+    """rows with the row of their key (left join), a hot key's rows dealt over ``parts`` tasks by a hash of ``spread``.
+
+    ``per`` has one row a key; it is repeated once for every part.
+    """
+    copies = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    dealt = rows.withColumn("_p", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    return dealt.join(copies, [key, "_p"], "left").drop("_p")
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra or clashing columns of the caller never reach a join."""
     return df.select(*[F.col(f"`{n}`") for n in names])

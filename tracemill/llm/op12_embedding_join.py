@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, with_group
-from .common import batch, only, stored, table
+from .common import batch, dealt_join, only, stored, table
 
 ROW = "_row"
 CELL = 2048  # points of a cell that is not parted
@@ -75,13 +75,6 @@ def _runs(keys: list) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True)) if keys else []
 
 
-def _with_cell(points: DataFrame, per_cell: DataFrame) -> DataFrame:
-    """points with the row of their cell (left), a large cell's points dealt over tasks by ``cls``."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_p")
-    dealt = points.withColumn("_p", F.pmod(F.xxhash64("cls"), F.lit(DEALT)).cast("int"))
-    return dealt.join(per_cell.select("*", parts), ["cell", "_p"], "left").drop("_p")
-
-
 def parted(points: DataFrame, threshold: float, levels: int = 8) -> DataFrame:
     """points (cls, n, cell, home, embedding) in their last cells, with the copies that a partner may need.
 
@@ -123,7 +116,7 @@ def parted(points: DataFrame, threshold: float, levels: int = 8) -> DataFrame:
         some = points.filter("home").groupBy("cell", F.pmod(h, F.lit(FAN)).alias("k")).agg(F.min(F.struct(h.alias("h"), "embedding")).alias("p"))
         chosen = some.groupBy("cell").agg(F.sort_array(F.collect_list("p")).alias("p"))
         pivots = chosen.join(large, "cell").select("cell", "homes", F.expr(f"slice(p.embedding, 1, cast(least({FAN}, (homes + {CELL - 1}) div {CELL}) as int))").alias("pivots"))
-        joined = _with_cell(points, pivots).select("cls", "n", "cell", "home", "before", "embedding", "homes", "pivots")
+        joined = dealt_join(points, pivots, "cell", "cls", DEALT).select("cls", "n", "cell", "home", "before", "embedding", "homes", "pivots")
         points = stored(joined.mapInArrow(deal, f"cls long, n long, cell string, home boolean, before long, embedding {vector}"))
     return points
 
@@ -201,7 +194,7 @@ def cell_links(points: DataFrame, threshold: float) -> DataFrame:
     sizes = points.groupBy("cell").agg(F.count_if("home").alias("h"), F.count("*").alias("all"))
     sizes = sizes.select("cell", F.expr(f"cast((h + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"), F.expr(f"cast((all + {4 * BLOCK - 1}) div {4 * BLOCK} as int)").alias("parts"))
     hashed = lambda of, salt: f"cast(pmod(xxhash64(cls, '{salt}'), {of}) as int)"
-    rows = _with_cell(points, sizes).filter("blocks > 0").withColumn("own", F.expr(hashed("blocks", "block"))).withColumn("mine", F.expr(hashed("parts", "part")))
+    rows = dealt_join(points, sizes, "cell", "cls", DEALT).filter("blocks > 0").withColumn("own", F.expr(hashed("blocks", "block"))).withColumn("mine", F.expr(hashed("parts", "part")))
     # A home point stands in every part of its block, and meets the earlier blocks as the cell's copies do.
     stands = "transform(sequence(0, parts - 1), p -> named_struct('block', own, 'part', p, 'home', true))"
     visits = "transform(sequence(0, blocks - 1), b -> named_struct('block', b, 'part', mine, 'home', false))"
