@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import features, learn, splits
+from tracemill.operators import features, splits
 
 
 def test_encoded_columns(spark):
@@ -46,23 +46,3 @@ def test_contexts_keep_groups_whole(spark):
         for o in range(3):
             inner = sorted(r[c] for c in r if c.startswith(f"INNER_{o}"))
             assert inner == ([] if r[f"OUTER_{o}"] == "SCORE" else ["FIT", "SCORE"])
-
-
-def test_nested_choice(spark):
-    rows = spark.range(600).select(F.concat(F.lit("g"), (F.col("id") % 60).cast("string")).alias("g"), (F.col("id") % 17).cast("double").alias("x"), (F.rand(3) * 4).alias("y"), (F.col("id") % 17 > 11).cast("int").alias("label"))
-    fits = []
-
-    def fit(r, names, label, c):
-        fits.append((r.count(), c))
-        return learn.logistic(r, names if c else ["y"], label, c)
-
-    got = learn.nested_choice(rows, rows, ["x", "y"], "label", "g", {"S1": (fit, (0.1, 1.0)), "S2": (fit, (1.0,))}, outer=2).collect()
-    kinds = sorted((r["model"], r["kind"]) for r in got)
-    assert kinds == sorted([("S1", "INNER")] * 8 + [("S1", "OUTER")] * 4 + [("S1", "FINAL")] + [("S2", "OUTER")] * 2 + [("S2", "FINAL")])
-    assert len(fits) == 8 + 4 + 1 + 2 + 1 and max(fits)[0] == 600
-    inner = [r for r in got if r["kind"] == "INNER"]
-    for o in range(2):
-        mean = {c: sum(r["ap"] for r in inner if r["outer"] == o and r["candidate"] == c) / 2 for c in (0.1, 1.0)}
-        want = 1.0 if mean[1.0] > mean[0.1] + 1e-6 else 0.1
-        assert {r["candidate"] for r in got if r["model"] == "S1" and r["outer"] == o and r["chosen"]} == {want}
-    assert all(r["ap"] > 0.9 for r in got)

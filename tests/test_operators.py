@@ -212,8 +212,6 @@ def test_tiers_equal_joined_sets(spark):
                         if a[at] and a[at] == b[at]:
                             root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
         assert {x.row_key: x.root for x in splits.tier_groups(df, "row_key", tier).collect()} == root
-    staged = splits.staged(df, "row_key", groups_least=2, rows_least=1).collect()
-    assert [x.tier for x in staged if x.chosen][:1] in ([], [staged[-1].tier])
 
 
 def test_saved_model_scores_as_the_fitted_one(spark, tmp_path):
@@ -235,3 +233,104 @@ def test_median_and_quantiles_by_running_counts(spark):
         assert frames.median(df, "x", "m").first().m == want
         q = frames.quantile_disc(df, "x", {"low": 0.25, "top": 1.0}).first()
         assert (q.low, q.top) == ((known[max(1, math.ceil(0.25 * len(known))) - 1], known[-1]) if known else (None, None))
+
+
+def test_next_at_or_after(spark):
+    from tracemill.operators import frames as f
+
+    left = spark.createDataFrame([(i, v) for i, v in enumerate([0, 3, 3, 7, 50, 99, 100, 101, None])], "i int, v int").repartition(3)
+    right = spark.createDataFrame([(v,) for v in (3, 5, 60, 60, 100, None)], "w int").repartition(2)
+    got = {r["i"]: r["n"] for r in f.next_at_or_after(left, "v", right, "w", "n").collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 3: 60, 4: 60, 5: 100, 6: 100, 7: None, 8: None}
+    assert {r["n"] for r in f.next_at_or_after(left, "v", right.limit(0), "w", "n").collect()} == {None}
+
+
+def test_boundary_split_is_the_best_pair(spark):
+    import random
+
+    from tracemill.operators import splits
+
+    r = random.Random(4)
+    for off, least in ((2, 0), (6, 0), (2, 700)):
+        sizes = {f"g{i}": r.choice((1, 2, 3, 9)) for i in range(260)}
+        order = sorted(sizes, key=lambda g: __import__("hashlib").sha256(f"split:{g}".encode()).hexdigest())
+        cum, total = [0], sum(sizes.values())
+        for g in order:
+            cum.append(cum[-1] + sizes[g])
+        ok = lambda n, s: abs(100 * n - s * total) <= off * total
+        pairs = [(abs(100 * cum[a] - 80 * total), abs(100 * (cum[b] - cum[a]) - 10 * total), abs(100 * (total - cum[b]) - 10 * total), a, b) for a in range(1, len(order) - 1) for b in range(a + 1, len(order)) if cum[a] >= least and ok(cum[a], 80) and ok(cum[b] - cum[a], 10) and ok(total - cum[b], 10)]
+        *_, a, b = min(pairs)
+        got = {x["g"]: x["part"] for x in splits.boundary_split(spark.createDataFrame(list(sizes.items()), "g string, n long").repartition(3), "g", "n", off=off, least=least).collect()}
+        assert got == {g: "TRAIN" if i < a else "CALIBRATION" if i < b else "COMPARISON" for i, g in enumerate(order)}
+
+
+def test_boundary_split_without_a_feasible_pair(spark):
+    from tracemill.operators import splits
+
+    for sizes, least in (([100, 1, 1], 0), ([10] * 100, 3072), ([5, 5], 0)):
+        with pytest.raises(ValueError, match="no feasible pair"):
+            splits.boundary_split(spark.createDataFrame([(f"g{i}", n) for i, n in enumerate(sizes)], "g string, n long"), "g", "n", least=least)
+
+
+def test_nested_folds_are_whole_and_even(spark):
+    from tracemill.operators import splits
+
+    groups = spark.createDataFrame([(f"g{i}", 1 + i % 9) for i in range(120)], "g string, n long")
+    got = splits.nested_folds(groups, "g", "n").collect()
+    assert len(got) == 120 and all(set(r["inner_folds"]) == {0, 1, 2} - {r["outer_fold"]} for r in got)
+    rows = [sum(r["n"] for r in got if r["outer_fold"] == o) for o in range(3)]
+    assert max(rows) - min(rows) <= 9
+    for o in range(3):
+        inner = [sum(r["n"] for r in got if r["inner_folds"].get(o) == i) for i in range(2)]
+        assert max(inner) - min(inner) <= 9 and sum(inner) == sum(rows) - rows[o]
+    x = spark.createDataFrame([(f"g{i}", int(i % 4 == 0)) for i in range(120) for _ in range(1 + i % 9)], "g string, label int")
+    support = {r["context_id"]: r for r in splits.fold_support(x, "g", "label", splits.nested_folds(groups, "g", "n"), least=150).collect()}
+    assert len(support) == 9 and support["OUTER_1"]["rows"] == rows[1] and support["OUTER_1"]["passed"] and support["OUTER_1"]["rows"] + support["OUTER_1"]["train_rows"] == sum(rows)
+    none = splits.fold_support(x.withColumn("label", F.lit(0)), "g", "label", splits.nested_folds(groups, "g", "n"), least=1).collect()
+    assert not any(r["passed"] for r in none)
+
+
+def staging_rows(spark, linked):
+    """240 groups of 1 to 6 rows by their text, in three strata; ``linked`` joins all rows by one host."""
+    rows = [(g * 10 + i, f"text{g}", f"near{g}", None, None, "h" if linked else None, ("A", "B", "C")[(g + i // 5) % 3]) for g in range(240) for i in range(1 + g % 6)]
+    return spark.createDataFrame(rows, "row_key long, exact_key string, near_key string, entity_source string, entity_destination string, entity_host string, stratum string")
+
+
+def test_allocation_keeps_groups_whole_and_strata_near(spark):
+    from tracemill.operators import splits
+
+    x = staging_rows(spark, False)
+    parts = splits.allocate_groups(x, "exact_key", "stratum")
+    assert parts.count() == 240 and parts.select("exact_key").distinct().count() == 240
+    y = x.join(parts.select("exact_key", "part"), "exact_key")
+    n = y.count()
+    for p, s in splits.PARTS.items():
+        assert abs(y.filter(F.col("part") == p).count() / n - s) <= 0.02
+    assert all(r["passed"] for r in splits.stratum_checks(y, "stratum", "part", splits.PARTS).collect())
+
+
+def test_repairs_mend_a_bad_cut(spark):
+    """Two groups a size class fall to TRAIN and VALIDATION alone; the repairs fill the third part."""
+    from tracemill.operators import splits
+
+    sizes = [60, 60, 31, 31, 15, 15, 7, 7, 3, 3, 1, 1]
+    x = spark.createDataFrame([(f"g{i}", "A") for i, n in enumerate(sizes) for _ in range(n)], "g string, s string")
+    raw, mended = ({p: sum(r["size"] for r in splits.allocate_groups(x, "g", "s", rounds=k).collect() if r["part"] == p) for p in splits.PARTS} for k in (0, 8))
+    off = lambda got: max(abs(got[p] - s * sum(sizes)) for p, s in splits.PARTS.items())
+    assert raw["TEST"] == 0 and sum(mended.values()) == sum(sizes) and off(mended) < off(raw) and mended["TEST"] > 0
+
+
+def test_staging_takes_the_selected_tier_first_and_falls_back_only_where_approved(spark):
+    from tracemill.operators import splits
+
+    least = {"groups_least": 50, "rows_least": 50, "off": 0.08, "stratum_off": 0.12}
+    got = splits.staged(staging_rows(spark, False), "row_key", "stratum", **least).collect()
+    assert {r["tier"] for r in got} == {"ENTITY_ALL_ENDPOINTS"} and all(r["chosen"] and r["passed"] for r in got)
+    linked = staging_rows(spark, True)
+    with pytest.raises(ValueError, match="ENTITY_ALL_ENDPOINTS failed and no fallback is approved: .*LARGEST_GROUP"):
+        splits.staged(linked, "row_key", "stratum", **least)
+    with pytest.raises(ValueError, match="approved fallback ENTITY_SOURCE_HOST failed"):
+        splits.staged(linked, "row_key", "stratum", approved="ENTITY_SOURCE_HOST", **least)
+    got = splits.staged(linked, "row_key", "stratum", approved="HARD_GROUP_ONLY", **least).collect()
+    assert {r["tier"] for r in got if r["chosen"]} == {"HARD_GROUP_ONLY"} and all(r["passed"] for r in got if r["chosen"])
+    assert {r["check"] for r in got if not r["chosen"] and not r["passed"]} >= {"GROUPS", "LARGEST_GROUP"}

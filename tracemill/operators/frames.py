@@ -62,6 +62,24 @@ def running_by_value(df: DataFrame, value: str, sums: dict[str, Column], descend
     return out.select(value, *sums, *[(F.col(f"_b_{n}") + F.sum(n).over(own)).alias(f"cum_{n}") for n in sums])
 
 
+def next_at_or_after(left: DataFrame, at: str, right: DataFrame, value: str, name: str) -> DataFrame:
+    """left with ``name``: the smallest value of ``right`` at or after the row's own; null where there is none.
+
+    Both sides go in one order, once. Inside a range of it the next value is seen by a window; a range's last rows take the
+    first value of the ranges behind it, of which one row each is kept. No pairs are formed.
+    """
+    kind = right.schema[value].dataType
+    rows = left.select(F.col(at).alias("_v"), F.lit(0).alias("_k"), F.lit(None).cast(kind).alias("_r"), F.struct(*left.columns).alias("_l"))
+    marks = right.select(F.col(value).alias("_v"), F.lit(1).alias("_k"), F.col(value).alias("_r"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l")).filter("_v is not null")
+    spread = stored(rows.unionByName(marks).repartitionByRange("_v", "_k").withColumn("_part", F.spark_partition_id()))
+    firsts = spread.groupBy("_part").agg(F.min("_r").alias("_first"))
+    behind = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select("_part", F.min("_first").over(behind).alias("_behind"))
+    own = Window.partitionBy("_part").orderBy(F.desc("_v"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    out = spread.withColumn("_n", F.min("_r").over(own)).join(F.broadcast(firsts), "_part").filter("_k = 0")
+    return out.select("_l.*", F.when(F.col("_v").isNotNull(), F.coalesce("_n", "_behind")).alias(name))
+
+
 def reference_percentile(df: DataFrame, value: str, is_reference: Column, name: str = "percentile") -> DataFrame:
     """100 * share of reference values at or below each row's value."""
     cum = running_by_value(df.filter(F.col(value).isNotNull()), value, {"_ref": is_reference.cast("int")})

@@ -1,4 +1,4 @@
-"""Models of Spark's own library over feature columns: clusters, logistic regression, random forest, group-safe folds."""
+"""Models of Spark's own library over feature columns: clusters, logistic regression, random forest."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..sources.shared import stored
-from . import metrics
-from .splits import context_roles
 
 
 def vectors(df: DataFrame, features: list[str]) -> DataFrame:
@@ -40,49 +35,6 @@ def probability(model, rows: DataFrame, features: list[str], keep: list[str]) ->
     return model.transform(vectors(rows, features)).select(*keep, vector_to_array("probability")[1].alias("p_attack"))
 
 
-def nested_choice(rows: DataFrame, held_out: DataFrame, features: list[str], label: str, group: str, models: dict, outer: int = 3, inner: int = 2) -> DataFrame:
-    """model, kind, outer, inner, candidate, ap, chosen: candidates chosen by nested folds of whole groups.
-
-    ``models`` has for each name a fit of (rows, features, label, candidate) and its candidates in order. Inner folds choose
-    the candidate of an outer fold, which that fold alone measures (a single candidate needs no inner folds). The outer
-    folds' mean chooses the candidate of the final fit on all rows, which the held-out rows measure. Rows to score without a
-    positive have no ap; where no candidate has one, the first is taken.
-    """
-    spark = rows.sparkSession
-    data = stored(rows.select(*features, label, context_roles(group, outer, inner).alias("_roles")))
-    out = []
-
-    def ap(model, scored: DataFrame) -> float | None:
-        return metrics.average_precision(probability(model, scored, features, [label]), "p_attack", label).first()[0]
-
-    def measured(fit, context: str, candidate: float) -> float | None:
-        role = F.col("_roles")[context]
-        return ap(fit(data.filter(role == "FIT"), features, label, candidate), data.filter(role == "SCORE"))
-
-    def best_of(results: list[tuple[float, float | None]], candidates: tuple[float, ...]) -> float:
-        return candidates[0] if len(candidates) == 1 else choose(spark.createDataFrame(results, "candidate double, ap double")).first()[0] or candidates[0]
-
-    for name, (fit, candidates) in models.items():
-        across = []
-        for o in range(outer):
-            within = [(i, c, measured(fit, f"INNER_{o}_{i}", c)) for i in range(inner) for c in candidates if len(candidates) > 1]
-            best = best_of([(c, a) for _, c, a in within], candidates)
-            out += [(name, "INNER", o, i, c, a, c == best) for i, c, a in within]
-            scored = [(c, measured(fit, f"OUTER_{o}", c)) for c in candidates]
-            out += [(name, "OUTER", o, None, c, a, c == best) for c, a in scored]
-            across += scored
-        best = best_of(across, candidates)
-        out.append((name, "FINAL", None, None, best, ap(fit(data, features, label, best), held_out), True))
-    return spark.createDataFrame(out, "model string, kind string, outer int, inner int, candidate double, ap double, chosen boolean")
-
-
-def choose(results: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """The candidate with the greatest mean average precision; within the tolerance the smaller one."""
-    mean = results.groupBy("candidate").agg(F.avg("ap").alias("mean_ap"))
-    best = mean.agg(F.max("mean_ap").alias("_b"))
-    return mean.crossJoin(F.broadcast(best)).filter(F.col("mean_ap") >= F.col("_b") - tolerance).agg(F.min("candidate").alias("candidate"))
-
-
 def save_pipeline(rows: DataFrame, features: list[str], label: str, path: str, c: float = 1.0) -> None:
     """Fit vectors and logistic regression as one pipeline and write it to ``path``."""
     from pyspark.ml import PipelineModel

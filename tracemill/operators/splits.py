@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import filled, hash_bucket
 from ..sources.shared import stored
-from .frames import global_rank, running_by_value
+from .frames import global_rank, next_at_or_after, running_by_value
 from .graph import components, with_group
 
 HARD_KEYS = ["exact_key", "near_key"]
@@ -36,21 +36,83 @@ def tier_groups(rows: DataFrame, row: str, tier: str) -> DataFrame:
     return rows.join(g, F.col(row) == F.col("node"), "left").withColumn("root", F.coalesce("root", row)).drop("node")
 
 
-def staged(rows: DataFrame, row: str, groups_least: int = 50, rows_least: int = 10) -> DataFrame:
-    """tier, check, actual, passed, chosen: tiers are tried from the coarsest; the first whose split by whole groups passes
-    all checks is chosen, and no finer one is tried. Where none passes, none is chosen."""
-    out = None
-    for tier in TIERS:
-        g = stored(tier_groups(rows, row, tier).select("root"))
-        b = F.pmod(F.xxhash64("root"), F.lit(10000))
-        part = F.when(b < 7000, "TRAIN").when(b < 8500, "VALIDATION").otherwise("TEST")
-        checks = stored(feasibility(g.withColumn("part", part), "root", "part", PARTS, groups_least, rows_least, 0.1, 0.25))
-        passed = checks.filter(~F.coalesce("passed", F.lit(False))).limit(1).count() == 0
-        mine = checks.select(F.lit(tier).alias("tier"), "check", F.round("actual", 6).alias("actual"), "passed", F.lit(passed).alias("chosen"))
-        out = mine if out is None else out.unionByName(mine)
-        if passed:
+def allocate_groups(rows: DataFrame, group: str, stratum: str, shares: dict[str, float] = PARTS, off: float = 0.02, stratum_off: float = 0.05, rounds: int = 8) -> DataFrame:
+    """group, size, main, part: whole groups dealt to parts so that rows and every stratum come near their shares.
+
+    Groups of one main stratum and one size class lie in order of their hash and are cut at the shares of their running
+    rows. Then at most ``rounds`` repairs move groups, the largest that fit first, from the part with too many rows to the one
+    with too few: of all strata, and where the parts are near enough, of the stratum that is farthest off. A repair
+    is a range of a running sum; what comes to the driver is one number a stratum and part.
+    """
+    vectors = stored(rows.groupBy(group, stratum).agg(F.count("*").alias("n")))
+    per = vectors.groupBy(group).agg(F.sum("n").alias("size"), F.max_by(stratum, F.struct("n", stratum)).alias("main"))
+    per = per.withColumn("_c", F.floor(F.log2("size"))).withColumn("_h", F.sha2(F.concat(F.lit("part:"), F.col(group).cast("string")), 256))
+    per = stored(per.withColumn("_k", F.struct("main", "_c", "_h")))
+    run = stored(per.join(running_by_value(per, "_k", {"_s": F.col("size")}).select("_k", "cum__s"), "_k"))
+    base = run.groupBy("main", "_c").agg(F.min(F.col("cum__s") - F.col("size")).alias("_b"), F.sum("size").alias("_n"))  # strata times size classes
+    place = (F.col("cum__s") - F.col("_b") - F.col("size") / 2) / F.col("_n")
+    names = list(shares)
+    part = F.lit(names[-1])
+    for p in reversed(names[:-1]):
+        part = F.when(place < sum(shares[q] for q in names[: names.index(p) + 1]), p).otherwise(part)
+    now = stored(run.join(F.broadcast(base), ["main", "_c"]).select(group, "size", "main", "_h", part.alias("part")))
+    for _ in range(rounds):
+        counts = {(r["s"], r["part"]): r["n"] for r in vectors.join(now.select(group, "part"), group).groupBy(F.col(stratum).alias("s"), "part").agg(F.sum("n").alias("n")).collect()}
+        strata = sorted({s for s, _ in counts}, key=str)
+        total = lambda s: sum(counts.get((s, p), 0) for p in shares)
+        every = sum(total(s) for s in strata)
+        too_many = {p: sum(counts.get((s, p), 0) for s in strata) - shares[p] * every for p in shares}
+        of = None
+        if every and max(abs(v) for v in too_many.values()) <= off * every:
+            far = {s: {p: counts.get((s, p), 0) - shares[p] * total(s) for p in shares} for s in strata}
+            of = max(strata, key=lambda s: max(abs(v) for v in far[s].values()) / total(s))
+            too_many = far[of]
+            if max(abs(v) for v in too_many.values()) <= stratum_off * total(of):
+                break
+        source, target = max(shares, key=lambda p: too_many[p]), min(shares, key=lambda p: too_many[p])
+        need = int(min(too_many[source], -too_many[target]))
+        may = now.filter((F.col("part") == source) & (F.col("size") <= need) & (F.lit(True) if of is None else F.col("main") == of)).withColumn("_o", F.struct((-F.col("size")).alias("o"), "_h"))
+        moved = stored(running_by_value(may, "_o", {"_s": F.col("size")}).filter(F.col("cum__s") <= need).select(F.col("_o._h").alias("_h"), F.lit(target).alias("_to")))
+        if not moved.limit(1).count():
             break
-    return out
+        now = stored(now.join(moved, "_h", "left").withColumn("part", F.coalesce("_to", "part")).drop("_to"))
+    return now.select(group, "size", "main", "part")
+
+
+def stratum_checks(df: DataFrame, stratum: str, part: str, shares: dict[str, float], off: float = 0.05) -> DataFrame:
+    """check, actual, passed: the share of every part in the rows of every stratum."""
+    wide = df.groupBy(stratum).agg(F.count("*").alias("all"), *[F.count_if(F.col(part) == p).alias(p) for p in shares])
+    cells = [F.struct(F.concat(F.lit("STRATUM_"), F.col(stratum), F.lit(f"_{p}")).alias("check"), (F.col(p) / F.col("all")).alias("actual"), (F.abs(F.col(p) / F.col("all") - s) <= off).alias("passed")) for p, s in shares.items()]
+    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def staged(rows: DataFrame, row: str, stratum: str, selected: str = "ENTITY_ALL_ENDPOINTS", approved: str | None = None, groups_least: int = 500, rows_least: int = 1500, off: float = 0.02, most: float = 0.1, stratum_off: float = 0.05) -> DataFrame:
+    """tier, check, actual, passed, chosen: the split by whole groups of the selected tier, held against all criteria.
+
+    Where it fails, the approved fallback is tried, and nothing else: without an approval, or where the fallback fails too, it is
+    an error that names the failed criteria. Groups of hard keys alone are allocated by their strata; coarser tiers go by hash.
+    """
+
+    def evaluated(tier: str) -> tuple[DataFrame, list[str]]:
+        g = stored(tier_groups(rows, row, tier).select("root", stratum))
+        if tier == "HARD_GROUP_ONLY":
+            g = stored(g.join(allocate_groups(g, "root", stratum, PARTS, off, stratum_off).select("root", "part"), "root"))
+        else:
+            b = F.pmod(F.xxhash64("root"), F.lit(10000))
+            g = g.withColumn("part", F.when(b < 7000, "TRAIN").when(b < 8500, "VALIDATION").otherwise("TEST"))
+        checks = feasibility(g, "root", "part", PARTS, groups_least, rows_least, off, most).unionByName(stratum_checks(g, stratum, "part", PARTS, stratum_off))
+        checks = stored(checks.select(F.lit(tier).alias("tier"), "check", F.round("actual", 6).alias("actual"), F.coalesce("passed", F.lit(False)).alias("passed")))
+        return checks, sorted(r["check"] for r in checks.filter("not passed").select("check").collect())  # a few criteria a stratum
+
+    out, failed = evaluated(selected)
+    if not failed:
+        return out.withColumn("chosen", F.lit(True))
+    if approved is None:
+        raise ValueError(f"{selected} failed and no fallback is approved: {', '.join(failed)}")
+    second, failed = evaluated(approved)
+    if failed:
+        raise ValueError(f"the approved fallback {approved} failed: {', '.join(failed)}")
+    return out.withColumn("chosen", F.lit(False)).unionByName(second.withColumn("chosen", F.lit(True)))
 
 
 def contiguous_split(groups: DataFrame, group: str, size: str, shares=(80, 10, 10), names=("TRAIN", "CALIBRATION", "COMPARISON")) -> DataFrame:
@@ -69,6 +131,75 @@ def contiguous_split(groups: DataFrame, group: str, size: str, shares=(80, 10, 1
     return run.crossJoin(F.broadcast(cuts)).select(group, size, part.alias("part"))
 
 
+def boundary_split(groups: DataFrame, group: str, size: str, shares=(80, 10, 10), names=("TRAIN", "CALIBRATION", "COMPARISON"), off: int = 2, least: int = 3072) -> DataFrame:
+    """group, size, part: groups in order of their hash, cut at the best pair of boundaries.
+
+    Every part's share lies within ``off`` points of the wanted one, the first part has ``least`` rows or more and none is empty.
+    Of all such pairs the least (distances of the three parts from their shares, first boundary, second boundary) counts. The
+    first boundary decides the first distance, so that it is sought by itself: a boundary is feasible where the next
+    running size that leaves the second part large enough does not make it too large. An error where no pair is feasible.
+    """
+    g = groups.select(group, size, F.sha2(F.concat(F.lit("split:"), F.col(group).cast("string")), 256).alias("_h"))
+    sums = running_by_value(g, "_h", {"_s": F.col(size), "_one": F.lit(1)}).select("_h", F.col("cum__s").alias("_cum"), F.col("cum__one").alias("_b"))
+    run = stored(g.join(sums, "_h"))
+    total = run.agg(F.sum(size).alias("_n"), F.count("*").alias("_k"))
+    at = run.select("_cum", "_b").crossJoin(F.broadcast(total))
+    near = lambda x, s: F.abs(100 * x - s * F.col("_n"))
+    fits = lambda x, s: near(x, s) <= off * F.col("_n")
+    first = at.filter(fits(F.col("_cum"), shares[0]) & (F.col("_cum") >= least) & (F.col("_b") < F.col("_k") - 1))
+    second = at.filter(fits(F.col("_n") - F.col("_cum"), shares[2]) & (F.col("_b") < F.col("_k"))).select(F.col("_cum").alias("_c2"), F.col("_b").alias("_b2"))
+    from_ = F.col("_cum") + F.ceil((shares[1] - off) * F.col("_n") / 100)
+    after = stored(next_at_or_after(first.withColumn("_from", from_), "_from", second, "_c2", "_next"))
+    open_ = after.filter(fits(F.col("_next") - F.col("_cum"), shares[1])).withColumn("_e", near(F.col("_cum"), shares[0]))
+    # One or two boundaries have the least distance: one below the share and one above it.
+    best = open_.join(F.broadcast(open_.agg(F.min("_e").alias("_e"))), "_e")
+    pairs = second.crossJoin(F.broadcast(best)).filter(fits(F.col("_c2") - F.col("_cum"), shares[1]) & (F.col("_b2") > F.col("_b")))
+    cuts = pairs.agg(F.min(F.struct(F.col("_e"), near(F.col("_c2") - F.col("_cum"), shares[1]).alias("e2"), near(F.col("_n") - F.col("_c2"), shares[2]).alias("e3"), F.col("_b").alias("b1"), F.col("_b2").alias("b2"))).alias("x"))
+    cuts = stored(cuts.select("x.b1", "x.b2"))
+    if cuts.first()["b1"] is None:
+        raise ValueError("no feasible pair of boundaries")
+    part = F.when(F.col("_b") <= F.col("b1"), names[0]).when(F.col("_b") <= F.col("b2"), names[1]).otherwise(names[2])
+    return run.crossJoin(F.broadcast(cuts)).select(group, size, part.alias("part"))
+
+
+def snake(rank: Column, folds: int) -> Column:
+    """Fold of a rank from 1 when groups are dealt out back and forth."""
+    k = (rank - 1) % (2 * folds)
+    return F.when(k < folds, k).otherwise(2 * folds - 1 - k).cast("int")
+
+
+def nested_folds(groups: DataFrame, group: str, size: str, outer: int = 3, inner: int = 2) -> DataFrame:
+    """group, size, outer_fold and inner_folds (outer context to fold): groups by size are dealt out back and forth.
+
+    The groups that an outer context trains on are dealt again among its inner folds, by a rank of their own in each context.
+    """
+    g = groups.select(group, size, F.sha2(F.concat(F.lit("outer:"), F.col(group).cast("string")), 256).alias("_h"))
+    top = stored(global_rank(g, [F.desc(size), "_h"], "_rk").select(group, size, snake(F.col("_rk"), outer).alias("outer_fold")))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(outer - 1)), lambda o: o != F.col("outer_fold"))).alias("_o")
+    each = top.select(group, size, others).withColumn("_h", F.sha2(F.concat(F.lit("inner:"), F.col("_o").cast("string"), F.lit(":"), F.col(group).cast("string")), 256))
+    ranked = stored(global_rank(each, ["_o", F.desc(size), "_h"], "_rk"))
+    base = ranked.groupBy("_o").agg((F.min("_rk") - 1).alias("_base"))  # one line an outer fold
+    inside = ranked.join(F.broadcast(base), "_o").select(group, "_o", snake(F.col("_rk") - F.col("_base"), inner).alias("_i"))
+    maps = inside.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_o", "_i")))).alias("inner_folds"))
+    return top.join(maps, group)
+
+
+def fold_support(rows: DataFrame, group: str, label: str, folds: DataFrame, outer: int = 3, inner: int = 2, least: int = 4096) -> DataFrame:
+    """context_id, rows, groups, n0, n1, train_rows, train0, train1, passed of every outer and inner fold (``nested_folds``).
+
+    A fold passes with ``least`` rows and both classes on either side. Rows of a group are counted before contexts multiply them.
+    """
+    per = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("ones"))
+    x = per.join(folds.select(group, "outer_fold", "inner_folds"), group)
+    cells = [F.struct(F.lit(f"OUTER_{o}").alias("context_id"), (F.col("outer_fold") == o).alias("test")) for o in range(outer)]
+    cells += [F.struct(F.lit(f"INNER_{o}_{i}").alias("context_id"), (F.col("inner_folds")[o] == i).alias("test")) for o in range(outer) for i in range(inner)]
+    long = x.select("n", "ones", F.explode(F.array(*cells)).alias("c")).select("n", "ones", "c.*").filter("test is not null")
+    total = lambda e, side: F.sum(F.when(side, e).otherwise(0))
+    test, zeros = F.col("test"), F.col("n") - F.col("ones")
+    out = long.groupBy("context_id").agg(total(F.col("n"), test).alias("rows"), F.count_if(test).alias("groups"), total(zeros, test).alias("n0"), total(F.col("ones"), test).alias("n1"), total(F.col("n"), ~test).alias("train_rows"), total(zeros, ~test).alias("train0"), total(F.col("ones"), ~test).alias("train1"))
+    return out.withColumn("passed", (F.least("rows", "train_rows") >= least) & (F.least("n0", "n1", "train0", "train1") > 0))
+
+
 def groups_crossing(df: DataFrame, keys: list[str], part: str) -> DataFrame:
     """key, crossings: how many values of each key lie in more than one part."""
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("v")) for k in keys])

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detect, features, forest, frames, learn, metrics, normalize
+from ..operators import contexts, detect, features, forest, frames, learn, nested, normalize, signals, splits
 from ..registry import ORACLES, QUERIES, query
 from ..sources import files
 from ..sources.shared import shared_dir, stored
 from ..sources.views import oracle
 from ..streaming import findings as streams
 from .flow_plans import is_ref
+from .label_plans import CONTEXT_SQL
 
 COLS = ["record_number", "event_type", "event_subtype", "net_proto", "app_service"]
 SHORT, LONG = "record_number % 101 = 0", "record_number % 103 = 0"
@@ -60,6 +61,25 @@ def sc4(logs):
     return back.crossJoin(F.broadcast(foreign)).select("record_number", F.col("event.type").alias("event_type"), "network.protocol", "foreign_lines")
 
 
+@query("sc4_record_order", "logs", sql="WITH s AS (SELECT record_number, CASE WHEN record_number % 500 = 0 THEN record_number + 2 WHEN record_number % 700 = 0 THEN NULL ELSE record_number END AS value FROM logs) SELECT value, previous FROM (SELECT value, lag(value) OVER (ORDER BY record_number) AS previous FROM s) WHERE value IS NULL OR value <= previous")
+def sc4_order(logs):
+    """Records of JSON-lines files whose number does not rise in the order of the lines; some numbers are planted too high or left out."""
+    path, n = shared_dir(logs.sparkSession), F.col("record_number")
+    value = F.when(n % 500 == 0, n + 2).when(n % 700 != 0, n)
+    ordered = logs.select("record_number", value.alias("value"), "event_type").repartitionByRange(4, "record_number").sortWithinPartitions("record_number")
+    ordered.select(F.to_json(F.struct("value", "event_type")).alias("text")).write.text(path)
+    return files.order_faults(logs.sparkSession, path, "value").select("value", "previous")
+
+
+@query("sc12_sf13_canonical_lines", "flows", sql="SELECT concat('{\"flow\":{\"bytes\":{\"received\":', received_bytes, ',\"sent\":', coalesce(CAST(sent_bytes AS STRING), 'null'), '},\"ports\":[', coalesce(CAST(source_port AS STRING), 'null'), ',', coalesce(CAST(destination_port AS STRING), 'null'), ']},\"record_number\":', record_number, ',\"score\":', raw_score, ',\"tags\":{\"a\\\"b\":', coalesce('\"' || service || '\"', 'null'), ',\"session\":\"', session_id, '\"}}') AS line FROM flows")
+def sc12_canonical(flows):
+    """Nested rows as canonical JSON lines: structs, arrays and maps by name of key."""
+    path = shared_dir(flows.sparkSession)
+    flow = F.struct(F.array("source_port", "destination_port").alias("ports"), F.struct(F.col("sent_bytes").alias("sent"), F.col("received_bytes").alias("received")).alias("bytes"))
+    files.write_canonical_lines(flows.select(F.create_map(F.lit("session"), "session_id", F.lit('a"b'), "service").alias("tags"), "record_number", flow.alias("flow"), F.col("raw_score").cast("double").alias("score")), path)
+    return flows.sparkSession.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("sc10_au4_findings_sink", "logs", sql="SELECT rule_id, count(*) AS n FROM (SELECT 'RULE_ANOMALY_SUBTYPE' AS rule_id FROM logs WHERE event_subtype = 'anomaly' UNION ALL SELECT 'RULE_SOURCE_THREAT' FROM logs WHERE trim(threat_name) <> '') GROUP BY 1")
 def sc10(logs):
     path = shared_dir(logs.sparkSession)
@@ -138,31 +158,47 @@ def ml10(flows):
     return learn.probability(model, rows.filter(~is_ref()), names, ["record_number", "label"])
 
 
+CHAIN_NUMBERS, CHAIN_CATEGORIES = ["sent_bytes", "received_bytes", "sent_packets", "received_packets", "duration"], ["service"]
+
+
+def fold_rows(flows):
+    """Flows with a label and their roles: reference sessions fit and score in nested folds, the others are scored at the end."""
+    roles = F.when(is_ref(), splits.context_roles("session_id")).otherwise(F.create_map(F.lit("FINAL"), F.lit("SCORE")))
+    return stored(flows.select("record_number", "session_id", (F.col("protocol_number") == 6).cast("int").alias("label"), *CHAIN_NUMBERS, *CHAIN_CATEGORIES, roles.alias("roles")))
+
+
+def fold_table(rows):
+    return contexts.context_table(rows, "session_id", ["record_number", "label"], CHAIN_NUMBERS, CHAIN_CATEGORIES)
+
+
 @query("ml12_ml13_nested_choice", "flows")
 def ml12(flows):
-    """Logistic regression (S1) of two strengths over nested folds of whole sessions: every ap, and what is chosen."""
-    rows, names = model_rows(flows)
-    r = learn.nested_choice(rows.filter(is_ref()), rows.filter(~is_ref()), names, "label", "session_id", {"S1": (learn.logistic, (0.1, 1.0))})
-    return r.withColumn("ap", F.round("ap", 6))
+    """S1 of two strengths and S2 over nested folds of whole sessions, each context with a state of its own: every ap, and
+    what is chosen."""
+    return nested.nested_choice(fold_table(fold_rows(flows)), "record_number").withColumn("ap", F.round("ap", 6))
 
 
 @query("ml16_ml18_chained_scores", "flows")
 def ml16(flows):
-    """Out-of-fold distances to centres as a further feature of the classifier: fold, ap without and with it."""
-    rows, names = model_rows(flows)
-    rows = stored(rows.withColumn("fold", S.hash_bucket("session_id", 2)))
-    parts = []
-    for k in range(2):
-        centres = learn.fit_centres(rows.filter(F.col("fold") != k), names, k=8)
-        d = features.nearest_centroid(rows.filter(F.col("fold") == k).withColumn("v", F.array(*names)), centres, "v")
-        parts.append(d.withColumn("signal", F.log1p("distance")).select("record_number", "label", "fold", "signal", *names))
-    x = stored(parts[0].unionByName(parts[1]))
-    out = None
-    for kind, cols in (("BASE", names), ("CHAIN", [*names, "signal"])):
-        model = learn.logistic(x.filter("fold = 0"), cols, "label")
-        ap = metrics.average_precision(learn.probability(model, x.filter("fold = 1"), cols, ["label"]), "p_attack").select(F.lit(kind).alias("model"), F.round("ap", 6).alias("ap"))
-        out = ap if out is None else out.unionByName(ap)
-    return out
+    """S1 and S2 without and with two out-of-fold signals (isolation forest, distance to centres), for every outer context in
+    either direction and for the final one: model, kind, context_id, ap."""
+    table = fold_table(fold_rows(flows))
+    made = signals.chain_table(table, signals.out_of_fold(table, "record_number"), "record_number", ["record_number", "label"])
+    return nested.chained(made, "record_number").withColumn("ap", F.round("ap", 6))
+
+
+def planted(flows):
+    """Signals of all contexts with faults: some rows absent, some twice, and some from a context that has seen their session."""
+    rows = flows.select("record_number", "session_id", splits.context_roles("session_id").alias("roles"))
+    long = rows.select("record_number", F.explode("roles").alias("context_id", "role"))
+    times = F.expr("CASE WHEN role = 'FIT' THEN int(record_number % 53 = 0) WHEN record_number % 37 = 0 THEN 0 WHEN record_number % 41 = 0 THEN 2 ELSE 1 END")
+    return rows, long.select("record_number", "context_id", F.explode(F.array_repeat(F.lit(1), times))).drop("col")
+
+
+@query("au13_ml16_signal_audit", "flows", sql=f"WITH r AS ({' UNION ALL '.join(c.replace(', session_id FROM', ', record_number FROM') for c in CONTEXT_SQL)}), s AS (SELECT context_id, count(*) FILTER (WHERE role = 'SCORE') AS expected, count(*) FILTER (WHERE role = 'SCORE' AND record_number % 37 <> 0 AND record_number % 41 = 0) AS repeated, count(*) FILTER (WHERE role = 'SCORE' AND record_number % 37 = 0) AS absent, count(*) FILTER (WHERE role = 'FIT' AND record_number % 53 = 0) AS unexpected, count(*) FILTER (WHERE role = 'FIT' AND record_number % 53 = 0) AS leaked FROM r GROUP BY 1) SELECT * FROM s WHERE expected + unexpected > 0")
+def au13_signals(flows):
+    """Coverage and leaks of out-of-fold signals with planted faults, by context."""
+    return signals.audit(*planted(flows), "record_number", "session_id")
 
 
 def st1(spark, sf_dir):

@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsonkeys
 from ..functions import scalars as S
-from ..operators import detect, frames, normalize, review, splits
+from ..functions.canon import canonical_json, rebuilt
+from ..operators import detect, frames, normalize, quality, review, splits
 from ..registry import ORACLES, query
 from ..sources.shared import stored
-from . import log_plans
+from . import log_plans  # noqa: F401  (its SQL comes first)
 from .log_plans import ISSUES, PORT, RULES
 from .review_plans import STATUS, behaviours
 from .sqltext import i, m
@@ -61,6 +63,31 @@ def pf37(logs):
     return back.select("record_number", F.explode(wrong).alias("field"))
 
 
+@query("pf37_au6_whole_event", "logs", sql=f"SELECT record_number, CASE WHEN record_number % 17 = 0 THEN 'FORM' ELSE 'network' END AS field FROM logs WHERE record_number % 17 = 0 OR (record_number % 13 = 0 AND {i('net_sentbytes')} >= 0)")
+def pf37_whole(logs):
+    """Sections of the whole event that differ from its stored canonical text; every 13th text has another byte count, and
+    every 17th a foreign key, so that it is not the text of an event."""
+    e = stored(normalize.normalize(logs))
+    n = F.col("record_number")
+    other = F.col("network").withField("sent_bytes", F.when(n % 13 == 0, F.col("network.sent_bytes") + 1).otherwise(F.col("network.sent_bytes")))
+    text = canonical_json(F.struct(*[other.alias(c) if c == "network" else F.col(c) for c in e.columns]), e.schema)
+    text = F.when(n % 17 == 0, F.regexp_replace(text, r"^\{", '{"foreign":1,')).otherwise(text)
+    back = e.withColumn("json", text).withColumn("j", rebuilt(F.col("json"), e.schema))
+    own = {f.name: (canonical_json(F.col(f.name), f.dataType), canonical_json(F.col("j")[f.name], f.dataType)) for f in e.schema}
+    wrong = F.when(F.col("j").isNull(), F.array(F.lit("FORM"))).otherwise(F.array_compact(F.array(*[F.when(a != b, F.lit(c)) for c, (a, b) in own.items()])))
+    return back.select("record_number", F.explode(wrong).alias("field"))
+
+
+KEY_TEXT = "concat('{\"a\":{\"', CASE WHEN record_number % 50 = 0 THEN 'Top-N' WHEN record_number % 50 = 1 THEN 'label' ELSE 'kept' END, '\":', net_proto, ',\"x\":[{\"k\":1', CASE WHEN record_number % 70 = 0 THEN ',\"k\":2' ELSE '' END, '}]},\"b\":null', CASE WHEN record_number % 90 = 0 THEN ',\"a\":0' WHEN record_number % 90 = 1 THEN ',' ELSE '' END, '}')"
+KEY_FAULTS = {"INVALID": ("''", "record_number % 90 = 1"), "FORBIDDEN": ("CASE WHEN record_number % 50 = 0 THEN '/a/Top-N' ELSE '/a/label' END", "record_number % 50 < 2 AND record_number % 90 <> 1"), "REPEATED": ("'/a/x/0/k'", "record_number % 70 = 0 AND record_number % 90 <> 1")}
+
+
+@query("sf37_json_keys", "logs", sql=" UNION ALL ".join(f"SELECT record_number, '{f}' AS fault, {path} AS path FROM logs WHERE {where}" for f, (path, where) in KEY_FAULTS.items()) + " UNION ALL SELECT record_number, 'REPEATED', '/a' FROM logs WHERE record_number % 90 = 0")
+def sf37_keys(logs):
+    """Repeated and forbidden keys at any depth of JSON texts, with their paths, and texts that do not parse."""
+    return jsonkeys.scanned(logs.select("record_number", F.expr(KEY_TEXT).alias("json")), "record_number", "json", {"label", "top_n"})
+
+
 @query("pf38_event_references", "logs", sql="SELECT record_number, event_type AS type, loguid AS id, CASE WHEN trim(itime) = '' THEN 'NO_TIME' END AS fault FROM logs")
 def pf38(logs):
     e = normalize.normalize(logs)
@@ -125,21 +152,29 @@ def rp1(x):
     return frames.category_counts(x, {"membership": F.col("membership"), "group": F.col("group_id"), "status": review.review_status("review_id", "blind_label"), "label": F.col("blind_label"), "band": S.bucket("score", BANDS, "ABOVE"), "rule": yes("rule_seen"), "threat": yes("threat_seen"), "behaviour[]": behaviours()})
 
 
-SECTIONS = {"conditional_missing": ("ag7_conditional_missing", log_plans.ag7), "missing_patterns": ("ag9_missing_patterns", log_plans.ag9), "session_sizes": ("ag15_session_sizes", log_plans.ag15), "lifecycle": ("ag17_lifecycle", log_plans.ag17)}
+#: Sections of the data-quality report and the queries that give the same rows from scans of their own.
+SECTIONS = {"conditional_missing": "ag7_conditional_missing", "protocol_ports": "ag8_protocol_ports", "missing_patterns": "ag9_missing_patterns", "missing_time_context": "ag10_missing_time_context", "population": "ag11_ag12_ag25_population", "services": "ag13_w5_services", "service_alignment": "ag14_service_alignment", "session_sizes": "ag15_session_sizes", "session_buckets": "ag16_sf7_session_buckets", "lifecycle": "ag17_lifecycle", "session_metrics": "ag18_session_metrics", "missing_combinations": "ag19_ag24_combinations", "rare_combinations": "ag24_rare_combinations", "time_stats": "ag20_time_stats", "time_difference": "ag21_time_difference", "frequency": "ag23_frequency", "threat_presence": "ag26_threat_presence", "occurrences": "ag27_occurrences", "numeric_semantics": "ag28_numeric_semantics"}
 
 
-def analyze(logs: DataFrame) -> dict[str, DataFrame]:
-    """The sections of a data-quality report by name; each stays a DataFrame of its own."""
-    return {name: f(logs) for name, (_, f) in SECTIONS.items()}
+def cells(section: str, df: DataFrame) -> DataFrame:
+    """section, row: every row of a section as one text of its columns by name."""
+    text = lambda c: F.coalesce(F.col(c).cast("bigint").cast("string") if dict(df.dtypes)[c] == "double" else F.col(c).cast("string"), F.lit("-"))
+    return df.select(F.lit(section).alias("section"), F.concat_ws("|", *[text(c) for c in sorted(df.columns)]).alias("row"))
 
 
 @query("rp5_section_rows", "logs", sql=None)
 def rp5(logs):
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n") for name, df in analyze(logs).items()]
-    return reduce(DataFrame.unionByName, parts)
+    """All rows of all sections of the data-quality report, which one scan gives."""
+    return reduce(DataFrame.unionByName, [cells(n, df) for n, df in quality.analyze(logs).items()])
+
+
+def section_sql(section: str) -> str:
+    columns = {"conditional_missing": "bytes_missing event_subtype event_type n net_proto src_missing", "protocol_ports": "both_missing dst_missing net_proto src_missing status", "missing_patterns": "n pattern", "missing_time_context": "field n value", "population": "event_action event_type service_filled threat_filled threat_missing", "services": "app_service cnt net_proto rn", "service_alignment": "n outcome", "session_sizes": "high low mid p50 p95 sessions singles", "session_buckets": "bucket records sessions", "lifecycle": "event_action records sessions", "session_metrics": "sessions state", "missing_combinations": "cnt event_action event_type", "rare_combinations": "cnt event_action event_type net_proto", "time_stats": "distinct_times failures high low span valid", "time_difference": "high is_constant low", "frequency": "cnt field value", "threat_presence": "event_subtype n present", "occurrences": "ids occurrences", "numeric_semantics": "mid others p99 zeros"}[section].split()
+    text = lambda c: f"CAST({f'CAST(trunc({c}) AS BIGINT)' if c == 'mid' else c} AS STRING)"
+    return f"SELECT '{section}' AS section, concat_ws('|', {', '.join(f"coalesce({text(c)}, '-')" for c in columns)}) AS row FROM ({ORACLES[SECTIONS[section]]}) t"
 
 
-ORACLES["rp5_section_rows"] = " UNION ALL ".join(f"SELECT '{name}' AS section, count(*) AS n FROM ({ORACLES[q]}) t" for name, (q, _) in SECTIONS.items())
+ORACLES["rp5_section_rows"] = " UNION ALL ".join(section_sql(n) for n in SECTIONS)
 
 
 STORED = "SELECT {k} AS category, count(*) AS n FROM reviewed WHERE {w} AND {k} IS NOT NULL GROUP BY 1"

@@ -142,12 +142,32 @@ def ag55(flows):
     return splits.groups_crossing(flows.withColumn("part", S.hash_bucket("session_id", 2)), ["session_id", "destination_port"], "part")
 
 
-CUM = "SELECT session_id, n, CAST(sum(n) OVER (ORDER BY sha256(concat('split:', session_id))) AS BIGINT) AS c, (SELECT count(*) FROM flows) AS t FROM (SELECT session_id, count(*) AS n FROM flows GROUP BY 1)"
+CUM = "SELECT session_id, n, CAST(sum(n) OVER (ORDER BY sha256(concat('split:', session_id))) AS BIGINT) AS c, row_number() OVER (ORDER BY sha256(concat('split:', session_id))) AS b, (SELECT count(*) FROM flows) AS t, count(*) OVER () AS k FROM (SELECT session_id, count(*) AS n FROM flows GROUP BY 1)"
+PAIRS = "SELECT x.b AS b1, z.b AS b2 FROM c x JOIN c z ON z.b > x.b WHERE x.c >= 3072 AND z.b < x.k AND abs(100 * x.c - 80 * x.t) <= 2 * x.t AND abs(100 * (z.c - x.c) - 10 * x.t) <= 2 * x.t AND abs(100 * (x.t - z.c) - 10 * x.t) <= 2 * x.t ORDER BY abs(100 * x.c - 80 * x.t), abs(100 * (z.c - x.c) - 10 * x.t), abs(100 * (x.t - z.c) - 10 * x.t), b1, b2 LIMIT 1"
 
 
-@query("w9_j18_contiguous_split", "flows", sql=f"WITH c AS ({CUM}) SELECT session_id, n, CASE WHEN c <= (SELECT c FROM c ORDER BY abs(100 * c - 80 * t), c LIMIT 1) THEN 'TRAIN' WHEN c <= (SELECT c FROM c ORDER BY abs(100 * c - 90 * t), c LIMIT 1) THEN 'CALIBRATION' ELSE 'COMPARISON' END AS part FROM c")
+@query("w9_j18_contiguous_split", "flows", sql=f"WITH c AS ({CUM}), p AS ({PAIRS}) SELECT session_id, n, CASE WHEN b <= b1 THEN 'TRAIN' WHEN b <= b2 THEN 'CALIBRATION' ELSE 'COMPARISON' END AS part FROM c, p")
 def w9(flows):
-    return splits.contiguous_split(flows.groupBy("session_id").agg(F.count("*").alias("n")), "session_id", "n")
+    return splits.boundary_split(flows.groupBy("session_id").agg(F.count("*").alias("n")), "session_id", "n")
+
+
+SNAKE = "CASE WHEN ({0} - 1) % {2} < {1} THEN ({0} - 1) % {2} ELSE {2} - 1 - ({0} - 1) % {2} END"
+FOLDS = f"g AS (SELECT session_id, count(*) AS n, count(*) FILTER (WHERE protocol_number = 6) AS ones FROM flows GROUP BY 1), o AS (SELECT *, CAST({SNAKE.format("rn", 3, 6)} AS INTEGER) AS outer_fold FROM (SELECT *, row_number() OVER (ORDER BY n DESC, sha256(concat('outer:', session_id))) AS rn FROM g)), i AS (SELECT session_id, x, CAST({SNAKE.format("rn", 2, 4)} AS INTEGER) AS inner_fold FROM (SELECT session_id, x, row_number() OVER (PARTITION BY x ORDER BY n DESC, sha256(concat('inner:', x, ':', session_id))) AS rn FROM o, (VALUES (0), (1), (2)) v(x) WHERE x <> outer_fold))"
+
+
+@query("g7_nested_folds", "flows", sql=f"WITH {FOLDS} SELECT o.session_id, outer_fold, x AS context, inner_fold FROM o JOIN i ON o.session_id = i.session_id")
+def g7_nested(flows):
+    """The outer fold of every session, and its inner fold in each outer context that trains on it."""
+    f = splits.nested_folds(flows.groupBy("session_id").agg(F.count("*").alias("n")), "session_id", "n")
+    return f.select("session_id", "outer_fold", F.explode("inner_folds").alias("context", "inner_fold"))
+
+
+@query("ag55_fold_support", "flows", sql=f"WITH {FOLDS}, s AS (SELECT concat('OUTER_', x) AS context_id, n, ones, outer_fold = x AS test FROM o, (VALUES (0), (1), (2)) v(x) UNION ALL SELECT concat('INNER_', x, '_', y), n, ones, inner_fold = y FROM i JOIN g ON g.session_id = i.session_id, (VALUES (0), (1)) w(y)), c AS (SELECT context_id, CAST(sum(n) FILTER (WHERE test) AS BIGINT) AS rows, count(*) FILTER (WHERE test) AS groups, CAST(sum(n - ones) FILTER (WHERE test) AS BIGINT) AS n0, CAST(sum(ones) FILTER (WHERE test) AS BIGINT) AS n1, CAST(sum(n) FILTER (WHERE NOT test) AS BIGINT) AS train_rows, CAST(sum(n - ones) FILTER (WHERE NOT test) AS BIGINT) AS train0, CAST(sum(ones) FILTER (WHERE NOT test) AS BIGINT) AS train1 FROM s GROUP BY 1) SELECT *, least(rows, train_rows) >= 2048 AND least(n0, n1, train0, train1) > 0 AS passed FROM c")
+def ag55_support(flows):
+    """Rows, groups and classes on either side of every outer and inner fold, and whether they suffice."""
+    x = flows.select("session_id", (F.col("protocol_number") == 6).cast("int").alias("label"))
+    folds = splits.nested_folds(x.groupBy("session_id").agg(F.count("*").alias("n")), "session_id", "n")
+    return splits.fold_support(x, "session_id", "label", folds, least=2048)
 
 
 @query("sr14_first_groups", "flows", sql="SELECT record_number FROM flows WHERE session_id IN (SELECT session_id FROM (SELECT session_id, sum(n) OVER (ORDER BY f) AS c FROM (SELECT session_id, min(record_number) AS f, count(*) AS n FROM flows GROUP BY 1)) WHERE c <= 2000)")

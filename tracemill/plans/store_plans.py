@@ -126,6 +126,34 @@ def sf28(flows):
     return explain.drivers(rows, "record_number", is_ref()).withColumn("extremeness", F.round("extremeness", 6))
 
 
+FAMILY_SQL = "CASE " + " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in fs)}) THEN {i}" for i, (_, _, fs) in enumerate(explain.FAMILIES)) + " END"
+BEHAVIOUR_SQL = "CASE family " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b, _) in enumerate(explain.FAMILIES)) + " END"
+RULE_IDS = {"RULE_EVEN_PORT": "destination_port % 2 = 0", "RULE_LARGE": "sent_bytes > 50000"}
+THREAT = "sent_packets % 7 = 0"
+EXPLAINED = f"""WITH m AS (SELECT *, {FAMILY_SQL} AS family FROM ({MEASURED})),
+b AS (SELECT *, row_number() OVER (PARTITION BY record_number, family ORDER BY e DESC, feature) AS k FROM m),
+t AS (SELECT *, row_number() OVER (PARTITION BY record_number ORDER BY e DESC, family) AS p FROM b WHERE k = 1 AND e > 0),
+r AS (SELECT record_number, count(*) AS n, string_agg(concat(feature, ' ', printf('%.6f', e)), ',' ORDER BY p) FILTER (WHERE p <= 3) AS reasons, max(CASE WHEN p = 1 THEN {TEXT} END) AS first_text FROM t GROUP BY 1),
+q AS (SELECT record_number, count(*) AS n, string_agg({BEHAVIOUR_SQL}, ',' ORDER BY family) AS behaviours, max(family) >= 3 AS towards FROM (SELECT DISTINCT record_number, family FROM m WHERE kind <> 'MISSING' AND e >= 0.95) GROUP BY 1),
+s AS (SELECT *, coalesce(length(rules) > 0 OR threat, false) AS seen FROM (SELECT record_number, row_number() OVER (ORDER BY raw_score DESC, record_number) AS place, 100.0::DOUBLE * count(*) OVER (ORDER BY raw_score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER () AS score, concat_ws(',', {", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in RULE_IDS.items())}) AS rules, {THREAT} AS threat, sent_packets % 14 = 0 AS recon FROM flows)),
+x AS (SELECT s.record_number, place <= 50 AS selected, CASE WHEN place <= 50 AND q.n IS NULL THEN 'UNCLASSIFIED_ANOMALOUS_PATTERN' ELSE coalesce(behaviours, '') END AS behaviours, CASE WHEN place <= 50 THEN CASE WHEN recon AND coalesce(towards, false) THEN 'Possible reconnaissance activity' ELSE 'Unclassified suspicious behavior' END END AS attack_type, CASE WHEN place > 50 OR q.n IS NULL THEN NULL WHEN q.n >= 2 AND seen THEN 'HIGH' WHEN q.n >= 2 OR seen THEN 'MEDIUM' ELSE 'LOW' END AS strength, CASE WHEN r.n >= 3 THEN 'COMPLETE' ELSE 'LIMITED' END AS status, coalesce(reasons, '') AS reasons, first_text, round(least(100, 0.9::DOUBLE * score + CASE WHEN seen THEN 10.0::DOUBLE ELSE 0 END), 6) AS priority, rules, place FROM s LEFT JOIN r ON r.record_number = s.record_number LEFT JOIN q ON q.record_number = s.record_number)
+SELECT * EXCLUDE (place), row_number() OVER (ORDER BY priority DESC, place) AS rank FROM x"""
+
+
+@query("ml20_explanation_record", "flows", sql=EXPLAINED)
+def ml20(flows):
+    """The whole explanation of every record: reasons, behaviours, attack text, strength, status, priority and its rank."""
+    flows = stored(flows)
+    rows = features.feature_rows(flows, is_ref(), "record_number", "session_id")
+    ranked = frames.global_rank(flows, [F.desc("raw_score"), "record_number"], "place").select("record_number", "place")
+    scored = frames.reference_percentile(flows, "raw_score", F.lit(True), "score").join(ranked, "record_number")
+    rules = F.array_compact(F.array(*[F.when(F.expr(e), n) for n, e in RULE_IDS.items()]))
+    scores = scored.select("record_number", "score", "place", rules.alias("rules"), F.expr(THREAT).alias("threat"), F.when(F.expr("sent_packets % 14 = 0"), "Reconnaissance").alias("threat_type"))
+    x = explain.explanations(rows, "record_number", is_ref(), scores)
+    shown = F.array_join(F.transform("reasons", lambda r: F.format_string("%s %.6f", r["feature"], r["extremeness"])), ",")
+    return x.select("record_number", "selected", F.array_join("behaviours", ",").alias("behaviours"), "attack_type", "strength", "status", shown.alias("reasons"), F.expr("get(reasons, 0).text").alias("first_text"), F.round("priority", 6).alias("priority"), F.array_join("rules", ",").alias("rules"), "rank")
+
+
 @query("sf30_evidence_strength", "flows", sql="SELECT record_number, CASE WHEN place > 50 OR q = 0 THEN NULL WHEN q >= 2 AND seen THEN 'HIGH' WHEN q >= 2 OR seen THEN 'MEDIUM' ELSE 'LOW' END AS strength FROM (SELECT record_number, row_number() OVER (ORDER BY raw_score DESC, record_number) AS place, CASE WHEN sent_bytes > 50000 THEN 1 ELSE 0 END + CASE WHEN sent_packets > 40 THEN 1 ELSE 0 END + CASE WHEN service IS NULL THEN 1 ELSE 0 END AS q, coalesce(destination_port % 2 = 0, false) AS seen FROM flows)")
 def sf30(flows):
     r = frames.global_rank(flows, [F.desc("raw_score"), "record_number"], "place")
@@ -154,8 +182,10 @@ def g3(x):
 
 @query("g10_staging", "entity_keys")
 def g10(x):
-    """tier, chosen and the checks of every tier that was tried, coarsest first, until one is feasible."""
-    return splits.staged(x, "row_key")
+    """The checks of the selected tier and, where it fails, of the approved fallback to hard keys with its allocation by strata."""
+    size = F.length("exact_key")
+    strata = F.when(size < 400, "SHORT").when(size < 1200, "MIDDLE").otherwise("LONG")
+    return splits.staged(x.withColumn("stratum", strata), "row_key", "stratum", approved="HARD_GROUP_ONLY", groups_least=50, rows_least=10, off=0.1, most=0.25, stratum_off=0.15)
 
 
 def labelled_rows(flows):

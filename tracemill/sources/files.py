@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.canon import canonical_json
 from ..functions.scalars import formula_safe
+from .shared import stored
 
 BAD = "_bad"
 
@@ -41,6 +43,29 @@ def write_csv(df: DataFrame, path: str, safe: bool = True) -> None:
     df.select(*cells).write.mode("errorifexists").options(header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+def write_canonical_lines(df: DataFrame, path: str) -> None:
+    """One canonical JSON object a line: keys in order at every depth, nulls kept."""
+    one = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    df.select(canonical_json(one, df.schema).alias("value")).write.mode("errorifexists").text(path)
+
+
+def order_faults(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """file, value, previous: records whose number does not rise over the one before it in the files, taken by name.
+
+    The order is that of the lines, not of the numbers. Inside a split, which one task reads, lines are numbered as they
+    come; splits are joined by their first and last numbers, one row a split. A record without a number is a fault of its own.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.get_json_object("value", f"$.{field}").cast("bigint").alias("value"))
+    held = stored(lines.withColumn("line", F.monotonically_increasing_id()))
+    inside = Window.partitionBy("file", "start").orderBy("line")
+    before = held.withColumn("previous", F.lag("value").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
+    ends = held.groupBy("file", "start").agg(F.max_by("value", "line").alias("last"))
+    across = ends.select("file", "start", F.lag("last").over(Window.orderBy("file", "start")).alias("across"))
+    joined = before.join(F.broadcast(across), ["file", "start"])
+    previous = F.when(F.col("first"), F.col("across")).otherwise(F.col("previous"))
+    return joined.select("file", "value", previous.alias("previous")).filter("value is null or value <= previous")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """One JSON object a line, keys in order of name, nulls kept."""
     df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
