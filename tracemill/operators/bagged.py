@@ -199,7 +199,8 @@ def fit(rows: DataFrame, trees: int = 150, depth: int = 16, leaves: int = 1024,
 
     if small:
         blocks = F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // BLOCK))).alias("block")
-        each = data.filter(F.col("context_id").isin(small)).select("*", blocks)
+        # Few rows, but much work a group: a number of partitions of its own, which is not made smaller for its few bytes.
+        each = data.filter(F.col("context_id").isin(small)).select("*", blocks).repartition(2 * len(small) * (1 + (trees - 1) // BLOCK), "context_id", "block")
         for r in each.groupBy("context_id", "block").applyInArrow(whole, "context_id string, tree int, nodes binary").collect():
             out[r["context_id"]][r["tree"]] = np.frombuffer(r["nodes"], "<f8").reshape(-1, 5)
     if large:
