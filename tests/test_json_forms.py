@@ -21,11 +21,11 @@ def test_numbers(spark):
     r = random.Random(2)
     values = DOUBLES + [r.uniform(-1, 1) * 10 ** r.randint(-12, 20) for _ in range(400)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [x[0] for x in df.select(canon.double_json(F.col("v"))).collect()]
+    got = [x[0] for x in df.select(F.expr(canon.double_sql("v"))).collect()]
     assert got == [json.dumps(v) for v in values]
     for bad in (math.nan, math.inf):
         with pytest.raises(Exception, match="no JSON form"):
-            spark.createDataFrame([(bad,)], "v double").select(canon.double_json(F.col("v"))).collect()
+            spark.createDataFrame([(bad,)], "v double").select(F.expr(canon.double_sql("v"))).collect()
 
 
 SCHEMA = "b struct<z: string, a: array<struct<y: int, x: double>>>, a map<string, array<boolean>>, e map<string, string>, c long"
@@ -39,7 +39,7 @@ def nested():
 
 def test_nested_values(spark):
     df = spark.createDataFrame(nested(), SCHEMA)
-    got = [r[0] for r in df.select(canon.canonical_json(F.struct("*"), df.schema)).collect()]
+    got = [r[0] for r in df.select(canon.row_json(df.schema)).collect()]
     assert got == [canonical(dict(zip(("b", "a", "e", "c"), row, strict=True))) for row in nested()]
 
 
@@ -48,7 +48,7 @@ def test_only_canonical_texts_are_rebuilt(spark):
     good = '{"a":[2,3],"b":1,"c":{"k":"v"}}'
     bad = ['{"b":1,"a":[2,3],"c":{"k":"v"}}', '{"a":[2,3],"b":1}', '{"a":[2,3],"b":1,"c":{"k":"v"},"d":0}', '{"a":[2,3],"b":"1","c":{"k":"v"}}', '{"a":[2,3],"b":1,"b":1,"c":{"k":"v"}}', '{"a":[2, 3],"b":1,"c":{"k":"v"}}', "", "{", None]
     texts = spark.createDataFrame([(t,) for t in [good, *bad]], "t string")
-    got = [r[0] for r in texts.select(canon.rebuilt(F.col("t"), df.schema).isNotNull()).collect()]
+    got = [r[0] for r in texts.select(canon.rebuilt("t", df.schema).isNotNull()).collect()]
     assert got == [True] + [False] * len(bad)
 
 

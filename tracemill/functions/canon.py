@@ -1,4 +1,7 @@
-"""Canonical JSON as column expressions: keys in order at every depth, no blanks, UTF-8, one form for every number."""
+"""Canonical JSON as column expressions: keys in order at every depth, no blanks, UTF-8, one form for every number.
+
+Expressions are written as SQL text and parsed once: a nested type gives one text, whatever the number of its fields.
+"""
 
 from __future__ import annotations
 
@@ -7,70 +10,82 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Escapes of control characters that have a short form.
-SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+ESCAPES = ", ".join(["struct(chr(92) AS c, concat(chr(92), chr(92)) AS e)", "struct(chr(34) AS c, concat(chr(92), chr(34)) AS e)", *[f"struct(chr({i}) AS c, concat(chr(92), '{SHORT.get(i, f'u{i:04x}')}') AS e)" for i in range(32)]])
+
 
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with a name for a value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def text_json(x: Column) -> Column:
+
+def text_sql(x: str) -> str:
     """A JSON string: quotes, backslashes and control characters escaped, all others as they are."""
-    safe = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for i in range(32):
-        safe = F.replace(safe, F.lit(chr(i)), F.lit(SHORT.get(chr(i), f"\\u{i:04x}")))
-    return F.concat(F.lit('"'), F.when(x.rlike(r'[\x00-\x1f"\\]'), safe).otherwise(x), F.lit('"'))
+    return let(x, "s", f"""concat('"', if(s rlike r'[\\x00-\\x1f"\\\\]', aggregate(array({ESCAPES}), s, (t, p) -> replace(t, p.c, p.e)), s), '"')""")
 
 
-def double_json(x: Column) -> Column:
+def double_sql(x: str) -> str:
     """The shortest digits of a number; plain from 1e-4 up to 1e16, else with an exponent of two digits or more.
 
     NaN and infinities have no JSON form and are an error. Every text gives the number again; above 2^63 the last of 17 digits may
     be the second nearest (one of 200,000 numbers tried).
     """
-    t = F.abs(x).cast("string")
-    sign = F.when(t == x.cast("string"), "").otherwise("-")
-    mantissa, power = F.regexp_extract(t, r"^([0-9.]+)E", 1), F.regexp_extract(t, r"E(-?[0-9]+)$", 1).try_cast("int")
-    # Up to 2^63 the digits of a large number are those of an integer.
-    exact = F.when(F.abs(x) < 9.2e18, F.abs(x)).cast("bigint").cast("string")
-    mantissa = F.when((power >= 16) & exact.isNotNull(), F.concat(F.left(exact, F.lit(1)), F.lit("."), F.substring(exact, F.lit(2), F.lit(20)))).otherwise(mantissa)
-    # The JVM may print a digit more than needed: the fewest digits that give the number again count.
-    fewer = lambda p: F.round(mantissa.try_cast("decimal(20,18)"), p - 1).cast("string")
-    same = lambda p: F.when(F.concat(fewer(p), F.lit("E"), power.cast("string")).try_cast("double") == F.abs(x), F.regexp_replace(fewer(p), r"\.0*$|(?<=\.[0-9]{0,18}[1-9])0+$", ""))
-    mantissa = F.when(power < -300, F.coalesce(*[same(p) for p in range(1, 17)], mantissa)).when(F.length(mantissa) > 16, F.coalesce(*[same(p) for p in (15, 16, 17)], mantissa)).otherwise(mantissa)
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"(?<=[0-9])0+$", "")
-    size = F.length(digits)
-    whole = F.when(size <= power + 1, F.concat(F.rpad(digits, power + 1, F.lit("0")), F.lit(".0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    place = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
-    far = F.concat(F.left(digits, F.lit(1)), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), place)
-    plain = F.when(power.isNull(), t).when((power >= 0) & (power < 16), whole).when((power < 0) & (power >= -4), small).otherwise(far)
-    bad = F.raise_error(F.concat(F.lit("no JSON form of "), x.cast("string"))).cast("string")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), bad).otherwise(F.concat(sign, plain))
-
-
-def canonical_json(x: Column, kind: T.DataType) -> Column:
-    """The canonical JSON text of a value of a type; structs and maps by name of key, nulls kept as null.
-
-    Numbers of a single precision are printed as doubles; other types (dates, times, decimals) as strings.
-    """
+    # The JVM may print a digit more than needed: the fewest digits that give the number again count. Up to 2^63 the digits
+    # of a large number are those of an integer.
+    exact = "cast(cast(if(w >= 16 and v < 9.2e18, v, null) as bigint) as string)"
+    first = f"coalesce(concat(left({exact}, 1), '.', substring({exact}, 2)), regexp_extract(t, '^([0-9.]+)E', 1))"
+    fewer = lambda p: f"cast(round(try_cast(m as decimal(20, 18)), {p - 1}) as string)"
+    same = lambda p: f"if(try_cast(concat({fewer(p)}, 'E', w) as double) = v, {fewer(p)}, null)"
+    mantissa = f"CASE WHEN w < -300 THEN coalesce({', '.join(same(p) for p in range(1, 17))}, m) WHEN length(m) > 16 THEN coalesce({', '.join(same(p) for p in (15, 16, 17))}, m) ELSE m END"
+    digits = "regexp_replace(replace(k, '.', ''), '(?<=[0-9])0+$', '')"
+    whole = "if(length(d) <= w + 1, concat(rpad(d, w + 1, '0'), '.0'), concat(left(d, w + 1), '.', substring(d, w + 2)))"
+    far = "concat(left(d, 1), if(length(d) > 1, concat('.', substring(d, 2)), ''), 'e', if(w < 0, '-', '+'), lpad(cast(abs(w) as string), greatest(2, length(cast(abs(w) as string))), '0'))"
+    plain = f"CASE WHEN w is null THEN t WHEN w between 0 and 15 THEN {whole} WHEN w between -4 and -1 THEN concat('0.', repeat('0', -w - 1), d) ELSE {far} END"
+    body = let(first, "m", let(mantissa, "k", let(digits, "d", plain)))
+    body = let("cast(v as string)", "t", let("try_cast(regexp_extract(t, 'E(-?[0-9]+)$', 1) as int)", "w", body))
+    bad = "cast(raise_error(concat('no JSON form of ', cast(n as string))) as string)"
+    signed = f"if(isnan(n) or abs(n) = cast('inf' as double), {bad}, concat(if(cast(n as string) like '-%', '-', ''), {let('abs(n)', 'v', body)}))"
+    return let(f"cast({x} as double)", "n", signed)
+
+
+def canonical_sql(x: str, kind: T.DataType, depth: int = 0, fields=None) -> str:
+    """The canonical JSON text of a value of a type; structs and maps by name of key, nulls as null."""
+    own = f"x{depth}"
     if isinstance(kind, T.StructType):
-        fields = sorted(kind.fields, key=lambda f: f.name)
-        cells = [F.concat(text_json(F.lit(f.name)), F.lit(":"), canonical_json(x[f.name], f.dataType)) for f in fields]
-        body = F.when(x.isNotNull(), F.concat(F.lit("{"), F.array_join(F.array(*cells), ",") if cells else F.lit(""), F.lit("}")))
-    elif isinstance(kind, T.ArrayType):
-        body = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: canonical_json(e, kind.elementType)), ","), F.lit("]"))
-    elif isinstance(kind, T.MapType):
-        cell = lambda k: F.concat(text_json(k.cast("string")), F.lit(":"), canonical_json(x[k], kind.valueType))
-        body = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(x)), cell), ","), F.lit("}"))
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        body = double_json(x.cast("double"))
-    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
-        body = x.cast("string")
-    else:
-        body = text_json(x.cast("string"))
-    return F.coalesce(body, F.lit("null"))
-
-
-def rebuilt(text: Column, kind: T.DataType) -> Column:
-    """The value of a canonical JSON text; null where the text does not parse or is not the canonical form of that value, as
-    with keys that are absent, foreign, repeated or out of order, and with values of another type."""
-    options = {"mode": "PERMISSIVE"}
-    value = F.from_json(text, kind, options)
-    return F.when(canonical_json(value, kind) == text, value)
+        cell = lambda f: f"concat({text_sql(repr_sql(f.name))}, ':', {canonical_sql(fields(f.name) if fields else f'{own}.`{f.name}`', f.dataType, depth + 1)})"
+        cells = [cell(f) for f in sorted(kind.fields, key=lambda f: f.name)]
+        body = "concat('{', array_join(array(" + ", ".join(cells) + "), ','), '}')" if cells else "'{}'"
+        return body if fields else let(x, own, f"if({own} is null, 'null', {body})")
+    if isinstance(kind, T.ArrayType):
+        return f"coalesce(concat('[', array_join(transform({x}, {own} -> {canonical_sql(own, kind.elementType, depth + 1)}), ','), ']'), 'null')"
+    if isinstance(kind, T.MapType):
+        cell = f"concat({text_sql(f'cast(k{depth} as string)')}, ':', {canonical_sql(f'{own}[k{depth}]', kind.valueType, depth + 1)})"
+        return let(x, own, f"coalesce(concat('{{', array_join(transform(array_sort(map_keys({own})), k{depth} -> {cell}), ','), '}}'), 'null')")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return f"coalesce({double_sql(x)}, 'null')"
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return f"coalesce(cast({x} as string), 'null')"
+    return f"coalesce({text_sql(f'cast({x} as string)')}, 'null')"
+
+
+def repr_sql(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def canonical_json(x: str, kind: T.DataType) -> Column:
+    """The canonical JSON text of an SQL expression of a type. Numbers of single precision are printed as doubles, other types
+    (dates, times, decimals) as strings."""
+    return F.expr(canonical_sql(x, kind))
+
+
+def row_json(schema: T.StructType) -> Column:
+    """The canonical JSON text of a whole row."""
+    return F.expr(canonical_sql("", schema, fields=lambda name: f"`{name}`"))
+
+
+def rebuilt(text: str, kind: T.StructType) -> Column:
+    """The value of a canonical JSON text (an SQL expression); null where the text does not parse or is not the canonical form of
+    that value, as with keys that are absent, foreign, repeated or out of order, and with values of another type."""
+    back = let(f"from_json(z, {repr_sql(kind.toDDL())})", "y", f"if({canonical_sql('y', kind)} = z, y, null)")
+    return F.expr(let(text, "z", back))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.canon import canonical_json
+from ..functions.canon import row_json
 from ..functions.scalars import formula_safe
 from .shared import stored
 
@@ -45,8 +45,7 @@ def write_csv(df: DataFrame, path: str, safe: bool = True) -> None:
 
 def write_canonical_lines(df: DataFrame, path: str) -> None:
     """One canonical JSON object a line: keys in order at every depth, nulls kept."""
-    one = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    df.select(canonical_json(one, df.schema).alias("value")).write.mode("errorifexists").text(path)
+    df.select(row_json(df.schema).alias("value")).write.mode("errorifexists").text(path)
 
 
 def order_faults(spark: SparkSession, path: str, field: str) -> DataFrame:
