@@ -11,26 +11,32 @@ from ..registry import query
 CONTROL = {"event_type": "utm", "event_subtype": "anomaly", "event_action": "clear_session"}
 ACCEPT = {"event_type": "traffic", "event_subtype": "forward", "event_action": "accept"}
 START = {"event_type": "traffic", "event_subtype": "forward", "event_action": "start"}
-SWEEP, SESSION = "anomaly: icmp_sweep, ([0-9]+) > threshold 100", "anomaly: icmp_src_session, ([0-9]+) > threshold 300"
+#: The signatures' names, ids, limits and whole messages.
+SWEEP = ("icmp_sweep", "16777320", 100, "anomaly: icmp_sweep, ([0-9]+) > threshold 100, repeats ([1-9][0-9]*) times since last log, pps ([1-9][0-9]*) of prior second")
+SESSION = ("icmp_src_session", "16777321", 300, "anomaly: icmp_src_session, ([0-9]+) > threshold 300, repeats ([1-9][0-9]*) times since last log")
 
 
 def eq_sql(x: str, values: dict) -> str:
     return "(" + " AND ".join(f"{x}{k} = '{v}'" for k, v in values.items()) + ")"
 
 
-def above_sql(name: str, pattern: str, limit: int) -> str:
-    return f"(a.threat_name = '{name}' AND regexp_full_match(a.event_message, '{pattern}') AND coalesce(try_cast(regexp_extract(a.event_message, '{pattern}', 1) AS BIGINT) > {limit}, false))"
+def above_sql(name: str, number: str, limit: int, pattern: str) -> str:
+    return f"(a.net_proto = '1' AND a.app_service = 'PING' AND a.threat_name = '{name}' AND a.threat_pattern = '{name}' AND a.threat_id = '{number}' AND regexp_full_match(a.threat_ref, 'https?://[^/]+/ids/VID{number}') AND regexp_full_match(a.event_message, '{pattern}') AND coalesce(try_cast(regexp_extract(a.event_message, '{pattern}', 1) AS BIGINT) > {limit}, false))"
 
 
-SIGNATURE = f"({above_sql('icmp_sweep', SWEEP, 100)} <> {above_sql('icmp_src_session', SESSION, 300)})"
+SIGNATURE = f"({above_sql(*SWEEP)} <> {above_sql(*SESSION)})"
 CONTEXT = "SELECT *, (SELECT list(b.event_action ORDER BY b.itime DESC, b.record_number DESC) FROM alerts b WHERE b.split = a.split AND b.session = a.session AND b.itime < a.itime) AS past FROM alerts a"
 DECIDED = f"SELECT a.record_number, a.split, CASE WHEN a.split = 'UNKNOWN' THEN 'UNCERTAIN' WHEN {eq_sql('a.', CONTROL)} AND {SIGNATURE} THEN 'ATTACK' WHEN {eq_sql('a.', ACCEPT)} AND list_contains(past[1:2], 'start') AND NOT list_contains(past[1:2], 'clear_session') AND a.value > 10 THEN 'BENIGN' ELSE 'UNCERTAIN' END AS label, a.split = 'UNKNOWN' AS unknown FROM ({CONTEXT}) a"
 
 
 def signature():
-    sweep = (F.col("threat_name") == "icmp_sweep") & labels.captured_above("event_message", SWEEP, 100)
-    session = (F.col("threat_name") == "icmp_src_session") & labels.captured_above("event_message", SESSION, 300)
-    return labels.exactly_one(sweep, session)
+    """One signature exactly: its name, pattern, id and reference, and its whole message with a number above the limit."""
+
+    def one(name, number, limit, pattern):
+        fields = S.equals(net_proto="1", app_service="PING", threat_name=name, threat_pattern=name, threat_id=number)
+        return fields & F.col("threat_ref").rlike(f"^https?://[^/]+/ids/VID{number}$") & labels.captured_above("event_message", pattern, limit)
+
+    return labels.exactly_one(one(*SWEEP), one(*SESSION))
 
 
 def decided(alerts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detect, explain, features, frames, graph, learn, metrics, normalize, scorers, splits, store
+from ..operators import detect, explain, features, frames, graph, learn, metrics, normalize, scorers, splits, store, validation
 from ..registry import query
 from ..sources import files
 from ..sources.shared import shared_dir, stored
@@ -195,6 +195,9 @@ def labelled_rows(flows):
     return stored(flows.select("record_number", part.alias("part"), (F.col("protocol_number") == 6).cast("int").alias("label"), *[f[n].alias(n) for n in names])), names
 
 
+JOB_NUMBERS, JOB_CATEGORIES = ["sent_bytes", "received_bytes", "sent_packets", "received_packets", "duration"], ["service"]
+
+
 @query("ml25_saved_model_scores", "flows")
 def ml25(flows):
     """A model that was fitted, saved and loaded again, on the test rows: matrix, rates, AP and ROC-AUC."""
@@ -208,14 +211,8 @@ def ml25(flows):
 
 @query("ml26_validation_job", "flows")
 def ml26(flows):
-    """A scorer fitted on one part, its threshold chosen on the second: every part's matrix and average precision."""
-    rows, names = labelled_rows(flows)
-    s = stored(scorers.score_with(scorers.Spread(), rows, F.col("part") == "FIT", "record_number", names).join(rows.select("record_number", "part", "label"), "record_number"))
-    cut = F.broadcast(metrics.best_threshold(s.filter("part = 'CALIBRATION'"), "raw_score"))
-    flagged = s.crossJoin(cut).withColumn("hit", F.col("raw_score") >= F.col("threshold"))
-    out = None
-    for part in ("FIT", "CALIBRATION", "TEST"):
-        own = flagged.filter(F.col("part") == part)
-        row = metrics.rates(metrics.confusion(own, F.col("hit")), 0.0).crossJoin(F.broadcast(metrics.average_precision(own, "raw_score"))).select(F.lit(part).alias("part"), "tp", "fp", "fn", "tn", F.round("f1", 6).alias("f1"), F.round("ap", 6).alias("ap"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """The forest and the centres fitted on the first part of whole sessions, their thresholds chosen on the second, both held
+    against the third: matrix, rates, AP and ROC-AUC by part, with and without rows of conflicting targets, and the choice."""
+    rows = stored(flows.select("record_number", "session_id", (F.col("protocol_number") == 6).cast("int").alias("label"), *JOB_NUMBERS, *JOB_CATEGORIES))
+    job = validation.validation_job(rows, "record_number", "session_id", JOB_NUMBERS, JOB_CATEGORIES)
+    return job.withColumns({k: F.round(k, 6) for k in ("threshold", "accuracy", "precision", "recall", "f1", "ap", "auc")})

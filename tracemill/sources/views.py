@@ -44,8 +44,12 @@ SELECT event_id + 1 AS record_number, CAST(user_id AS STRING) AS session, 170000
   CASE WHEN event_type = 'error' THEN 'utm' ELSE 'traffic' END AS event_type, CASE WHEN event_type = 'error' THEN 'anomaly' ELSE 'forward' END AS event_subtype,
   CASE event_type WHEN 'error' THEN 'clear_session' WHEN 'click' THEN 'start' WHEN 'view' THEN 'accept' ELSE 'timeout' END AS event_action,
   CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 3 = 0 THEN 'icmp_sweep' ELSE 'icmp_src_session' END AS threat_name,
-  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN concat('anomaly: icmp_sweep, ', CAST(event_id % 200 AS STRING), ' > threshold 100')
-    WHEN event_type = 'error' AND event_id % 3 = 1 THEN concat('anomaly: icmp_src_session, ', CAST(event_id % 700 AS STRING), ' > threshold 300') ELSE 'none' END AS event_message,
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN concat('anomaly: icmp_sweep, ', CAST(event_id % 200 AS STRING), ' > threshold 100, repeats ', CAST(event_id % 9 AS STRING), ' times since last log, pps ', CAST(event_id % 37 + 1 AS STRING), ' of prior second')
+    WHEN event_type = 'error' AND event_id % 3 = 1 THEN concat('anomaly: icmp_src_session, ', CAST(event_id % 700 AS STRING), ' > threshold 300, repeats ', CAST(event_id % 11 AS STRING), ' times since last log') ELSE 'none' END AS event_message,
+  CASE WHEN event_type = 'error' AND event_id % 31 > 0 THEN '1' ELSE '6' END AS net_proto, CASE WHEN event_type <> 'error' THEN 'SMB' WHEN event_id % 29 = 0 THEN 'PING6' ELSE 'PING' END AS app_service,
+  CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 23 = 0 THEN 'other' WHEN event_id % 3 = 0 THEN 'icmp_sweep' ELSE 'icmp_src_session' END AS threat_pattern,
+  CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 3 = 0 THEN '16777320' ELSE '16777321' END AS threat_id,
+  CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 17 = 0 THEN 'http://ids.example/VID16777320' WHEN event_id % 3 = 0 THEN 'http://ids.example/ids/VID16777320' ELSE 'http://ids.example/ids/VID16777321' END AS threat_ref,
   CASE WHEN user_id % 10 < 6 THEN 'TRAIN' WHEN user_id % 10 = 6 THEN 'VALIDATION' WHEN user_id % 10 < 9 THEN 'TEST' ELSE 'UNKNOWN' END AS split, value
 FROM {events}"""),
     "reviewed": ("documents labels", """
