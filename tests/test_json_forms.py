@@ -79,7 +79,7 @@ def test_a_swapped_pair_is_found_across_files_and_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     for size in (old, "16k"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        got = sorted((r["value"], r["previous"]) for r in files.order_faults(spark, f"file://{tmp_path}/x", "n").collect())
+        got = sorted((r["value"], r["previous"]) for r in files.order_faults(spark, f"file://{tmp_path}/x", ("n", "bigint")).collect())
         assert got == [(701, 702), (1001, 1500), (2000, 2000)]
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
@@ -87,4 +87,4 @@ def test_a_swapped_pair_is_found_across_files_and_splits(spark, tmp_path):
 def test_records_without_a_number(spark, tmp_path):
     (tmp_path / "y").mkdir()
     (tmp_path / "y" / "a.json").write_text('{"n":1}\n{"m":2}\n{"n":2}\n')
-    assert [tuple(r)[1:] for r in files.order_faults(spark, f"file://{tmp_path}/y", "n").collect()] == [(None, 1)]
+    assert [tuple(r)[1:] for r in files.order_faults(spark, f"file://{tmp_path}/y", ("n", "bigint")).collect()] == [(None, 1)]

@@ -77,6 +77,7 @@ def test_bounds_equal_every_way_to_settle(spark):
             seen = [w[i] for w in ways if w[i] is not None]
             got = r[f"{name}_low"], r[f"{name}_high"]
             assert got == ((None, None) if not seen else (min(seen), max(seen))), (r, name)
+        assert r["undefined_possible"] == any(v is None for w in ways for v in w)
 
 
 def test_context_is_strictly_earlier_and_bounded(spark):
@@ -334,3 +335,49 @@ def test_staging_takes_the_selected_tier_first_and_falls_back_only_where_approve
     got = splits.staged(linked, "row_key", "stratum", approved="HARD_GROUP_ONLY", **least).collect()
     assert {r["tier"] for r in got if r["chosen"]} == {"HARD_GROUP_ONLY"} and all(r["passed"] for r in got if r["chosen"])
     assert {r["check"] for r in got if not r["chosen"] and not r["passed"]} >= {"GROUPS", "LARGEST_GROUP"}
+
+
+def test_quantile_cont(spark):
+    import numpy as np
+
+    r = random.Random(3)
+    values = [r.choice([1.0, 2.5, 7.0, r.random()]) for _ in range(75)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+    got = frames.quantile_cont(df, "v", {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}).first()
+    assert list(got) == pytest.approx(np.quantile(values, [0, 0.05, 0.5, 0.95, 1]).tolist())
+    assert list(frames.quantile_cont(df.limit(0), "v", {"a": 0.5}).first()) == [None]
+
+
+def test_digests(spark):
+    import hashlib
+    import json
+
+    def own(*parts):
+        return hashlib.sha256(json.dumps(parts, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+    df = spark.createDataFrame([(1,), (2**40,)], "n long")
+    digest, bucket = S.digest_order('a "b" é', -3, "n")
+    sha = hashlib.sha256(b"x").hexdigest()
+    for r in df.select("n", digest.alias("d"), bucket.alias("b"), S.review_id(sha, "n").alias("i")).collect():
+        assert r["d"] == own('a "b" é', -3, r["n"]) and int(r["b"]) == int(r["d"][:16], 16) and r["i"] == "R-" + own("review", sha, r["n"])
+    with pytest.raises(ValueError, match="SHA-256"):
+        S.review_id("abc", "n")
+    with pytest.raises(Exception, match="not a record number"):
+        spark.createDataFrame([(0,)], "n long").select(S.review_id(sha, "n")).collect()
+
+
+def test_rarity_of_chosen_fields_and_of_all(spark):
+    from tracemill.operators import features
+
+    df = spark.createDataFrame([(i, 6 if i % 3 else 17, i % 4 or None, i % 5, f"s{i % 2}" if i % 7 else None) for i in range(60)], "id long, protocol_number long, source_port long, destination_port long, service string").unionByName(spark.createDataFrame([(99, 1, 5, 5, "s9")], "id long, protocol_number long, source_port long, destination_port long, service string"))
+    ref = F.col("id") < 40
+    rows = df.collect()
+    every = {r["id"]: r for r in features.with_rarity(df, features.rarity_counts(df, ref)).collect()}
+    one = {"service_rarity": "service"}
+    alone = {r["id"]: r["service_rarity"] for r in features.with_rarity(df, features.rarity_counts(df, ref, one), one).collect()}
+    for r in rows:
+        for name, col in features.RARE.items():
+            seen = [q[col] for q in rows if q["id"] < 40 and q["protocol_number"] == r["protocol_number"] and q[col] is not None]
+            want = 0.0 if r[col] is None else 1.0 if not seen else 1 - seen.count(r[col]) / len(seen)
+            assert every[r["id"]][name] == pytest.approx(want)
+        assert alone[r["id"]] == every[r["id"]]["service_rarity"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .canon import repr_sql, text_sql
+
 
 def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -86,6 +89,32 @@ def hash_bucket(text, buckets: int) -> Column:
     return (head % buckets).cast("int")
 
 
+def digest_of(namespace: str, *parts) -> Column:
+    """SHA-256 of the canonical JSON list of a namespace and whole numbers or texts (Python values or columns)."""
+
+    def cell(p):
+        if isinstance(p, str):
+            return F.expr(text_sql(repr_sql(p)))
+        return F.lit(p).cast("string") if isinstance(p, int) else p.cast("string")
+
+    cells = F.concat_ws(",", F.expr(text_sql(repr_sql(namespace))), *[cell(p) for p in parts])
+    return F.sha2(F.concat(F.lit("["), cells, F.lit("]")), 256)
+
+
+def digest_order(namespace: str, seed: int, number) -> tuple[Column, Column]:
+    """Digest of [namespace, seed, number] for a stable order, and its first 64 bits as an unsigned number."""
+    digest = digest_of(namespace, seed, c(number))
+    return digest, F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def review_id(data_sha256: str, number) -> Column:
+    """R- and a digest of the data's hash and the record's number (from 1): the same for every run over the same data."""
+    if not re.fullmatch("[0-9a-f]{64}", data_sha256):
+        raise ValueError("not a lowercase SHA-256")
+    bad = F.raise_error(F.concat(F.lit("not a record number: "), c(number).cast("string"))).cast("string")
+    return F.when(c(number) >= 1, F.concat(F.lit("R-"), digest_of("review", data_sha256, c(number)))).otherwise(bad)
+
+
 def length_prefixed(*cols) -> Column:
     """Parts with their lengths before them, so that different lists of parts give different texts."""
     return F.concat(*[F.concat(F.octet_length(c(x)).cast("string"), F.lit(":"), c(x)) for x in cols])

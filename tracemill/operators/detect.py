@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import filled, length_prefixed
+from ..sources.shared import stored
+from .frames import top_per_group
 
 
 @dataclass(frozen=True)
@@ -55,3 +57,21 @@ def evidence_of(found: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     ``limit`` of them."""
     own = found.join(F.broadcast(ids), "finding_id").select("record_number", F.posexplode("evidence").alias("ordinal", "e"))
     return own.select("record_number", (F.col("ordinal") + 1).alias("ordinal"), "e.path", "e.value").orderBy("record_number", "ordinal").limit(limit)
+
+
+def run_summary(found: DataFrame, samples: int = 5) -> DataFrame:
+    """section, key, value of a run's findings: TOTAL, RULE, SEVERITY (rule:severity), MATCHED (records), SAMPLE (rule:place, a
+    record). A rule's samples are its first records, of which each task keeps a few."""
+    f = stored(found.select("record_number", "rule_id", "severity"))
+    line = lambda s, k, v: (F.lit(s).alias("section"), k.alias("key"), v.cast("bigint").alias("value"))
+    per = stored(f.groupBy("rule_id", "severity").agg(F.count("*").alias("n")))  # a few rows a rule
+    first = top_per_group(f, ["rule_id"], ["record_number"], samples)
+    out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*line("TOTAL", F.lit(""), F.col("n")))
+    for part in (
+        per.groupBy("rule_id").agg(F.sum("n").alias("n")).select(*line("RULE", F.col("rule_id"), F.col("n"))),
+        per.select(*line("SEVERITY", F.concat_ws(":", "rule_id", "severity"), F.col("n"))),
+        f.select("record_number").distinct().agg(F.count("*").alias("n")).select(*line("MATCHED", F.lit(""), F.col("n"))),
+        first.select(*line("SAMPLE", F.concat_ws(":", "rule_id", F.col("rn").cast("string")), F.col("record_number"))),
+    ):
+        out = out.unionByName(part)
+    return out

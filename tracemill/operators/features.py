@@ -24,32 +24,27 @@ FEATURES = [
 ]
 
 
-def rarity_counts(rows: DataFrame, reference: Column) -> DataFrame:
-    """(protocol, field, value) with its count and the protocol's number of values, over reference rows.
-
-    Written once: one aggregation serves every join. Null values count nowhere, so each field has totals of its own.
-    """
-    long = unpivot(rows.filter(reference), ["protocol_number"], list(RARE.values())).filter("value is not null")
-    counts = stored(long.groupBy("protocol_number", "field", "value").agg(F.count("*").alias("cnt")))
-    return counts.join(counts.groupBy("protocol_number", "field").agg(F.sum("cnt").alias("total")), ["protocol_number", "field"])
+def rarity_counts(rows: DataFrame, reference: Column, rare: dict[str, str] = RARE) -> DataFrame:
+    """(protocol, field, value, cnt) over reference rows, stored: one aggregation serves every join. Null values count nowhere."""
+    long = unpivot(rows.filter(reference), ["protocol_number"], list(rare.values())).filter("value is not null")
+    return stored(long.groupBy("protocol_number", "field", "value").agg(F.count("*").alias("cnt")))
 
 
-def with_rarity(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """1 - count / total; 0 for null values, 1 where the protocol has no value of the field.
+def with_rarity(rows: DataFrame, counts: DataFrame, rare: dict[str, str] = RARE) -> DataFrame:
+    """1 - count / total of the protocol's values of a field; 0 for null values, 1 where the protocol has no value of the field.
 
-    Counts up to FEW_COUNTS rows are broadcast, more of them are joined by shuffles.
+    The totals of all fields are one row a protocol and join at once. Counts up to FEW_COUNTS rows are broadcast, more of
+    them are joined by shuffles.
     """
-    counts = stored(counts)
-    small = counts.count() <= FEW_COUNTS
-    put = F.broadcast if small else lambda df: df
-    out = rows
-    for name, col in RARE.items():
-        own = counts.filter(F.col("field") == col)
-        totals = own.groupBy(F.col("protocol_number").alias("_p")).agg(F.first("total").alias("_t"))
-        c = own.select(F.col("protocol_number").alias("_q"), F.col("value").alias("_v"), F.col("cnt").alias("_c"))
-        out = out.join(put(totals), F.col("protocol_number") == F.col("_p"), "left").join(put(c), (F.col("protocol_number") == F.col("_q")) & (F.col(col).cast("string") == F.col("_v")), "left")
-        out = out.withColumn(name, F.when(F.col(col).isNull(), 0.0).when(F.col("_t").isNull(), 1.0).otherwise(1 - F.coalesce("_c", F.lit(0)) / F.col("_t"))).drop("_p", "_t", "_q", "_v", "_c")
-    return out
+    put = F.broadcast if counts.count() <= FEW_COUNTS else lambda df: df
+    total = lambda col: F.sum(F.when(F.col("field") == col, F.col("cnt")))
+    totals = counts.groupBy(F.col("protocol_number").alias("_p")).agg(*[total(col).alias(f"_t_{col}") for col in rare.values()])
+    out = rows.join(put(totals), F.col("protocol_number") == F.col("_p"), "left")
+    for name, col in rare.items():
+        c = counts.filter(F.col("field") == col).select(F.col("protocol_number").alias("_q"), F.col("value").alias("_v"), F.col("cnt").alias("_c"))
+        out = out.join(put(c), (F.col("protocol_number") == F.col("_q")) & (F.col(col).cast("string") == F.col("_v")), "left")
+        out = out.withColumn(name, F.when(F.col(col).isNull(), 0.0).when(F.col(f"_t_{col}").isNull(), 1.0).otherwise(1 - F.coalesce("_c", F.lit(0)) / F.col(f"_t_{col}"))).drop("_q", "_v", "_c")
+    return out.drop("_p", *[f"_t_{col}" for col in rare.values()])
 
 
 def both_filled(x: str, y: str) -> Column:

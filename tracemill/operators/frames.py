@@ -149,6 +149,19 @@ def quantile_disc(df: DataFrame, value: str, shares: dict[str, float]) -> DataFr
     return held.agg(*[F.min(F.when(F.col("cum__c") >= F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col(value))).alias(k) for k, q in shares.items()])
 
 
+def quantile_cont(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for every name the value at (n - 1) * share in order, between two values in proportion; null without values.
+
+    From the values' running counts, so that no task holds all distinct values.
+    """
+    at = stored(running_by_value(df.filter(F.col(value).isNotNull()), value, {"_c": F.lit(1)}).select(value, "cum__c"))
+    held = at.crossJoin(F.broadcast(at.agg(F.coalesce(F.max("cum__c"), F.lit(0)).alias("_n"))))
+    from_ = lambda place: F.min(F.when(F.col("cum__c") > place, F.col(value)))
+    place = {k: F.lit(float(q)) * (F.col("_n") - 1) for k, q in shares.items()}
+    ends = held.agg(F.max("_n").alias("_n"), *[e for k, p in place.items() for e in (from_(F.floor(p)).alias(f"_lo_{k}"), from_(F.ceil(p)).alias(f"_hi_{k}"))])
+    return ends.select(*[(F.col(f"_lo_{k}") + (p - F.floor(p)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k, p in place.items()])
+
+
 def nested_names(schema) -> set[str]:
     """Names of all fields of a schema, those inside structs, arrays and maps included."""
     kind = schema.typeName()

@@ -35,7 +35,8 @@ def review_matrix(df: DataFrame) -> DataFrame:
 
 
 def uncertainty_bounds(m: DataFrame) -> DataFrame:
-    """Least and greatest precision, recall and F1 over every way to settle the open labels.
+    """Least and greatest precision, recall and F1 over every way to settle the open labels, and whether one of them leaves a
+    rate without a denominator (``undefined_possible``).
 
     Each rate rises with the open records at the top that turn out suspicious and falls with those of the other
     side, so its ends lie at two corners; the other corner serves where one has a zero denominator.
@@ -44,7 +45,9 @@ def uncertainty_bounds(m: DataFrame) -> DataFrame:
     div = F.try_divide
     low = {"precision": div(tp, tp + fp + u), "recall": div(tp, tp + fn + v), "f1": div(2 * tp, 2 * tp + fp + u + fn + v)}
     high = {"precision": div(tp + u, tp + fp + u), "recall": div(tp + u, tp + u + fn), "f1": div(2 * (tp + u), 2 * (tp + u) + fp + fn)}
-    return m.select("*", *[F.coalesce(low[k], high[k]).alias(f"{k}_low") for k in low], *[F.coalesce(high[k], low[k]).alias(f"{k}_high") for k in high])
+    # The denominators are least where every open record turns out not suspicious; that of precision is the same in all.
+    undefined = (tp + fp + u == 0) | (tp + fn == 0) | (2 * tp + fp + u + fn == 0)
+    return m.select("*", *[F.coalesce(low[k], high[k]).alias(f"{k}_low") for k in low], *[F.coalesce(high[k], low[k]).alias(f"{k}_high") for k in high], undefined.alias("undefined_possible"))
 
 
 def agreement(df: DataFrame, selected: Column, flags: dict[str, Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -13,6 +15,7 @@ from ..sources.views import oracle
 from ..streaming import findings as streams
 from .flow_plans import is_ref
 from .label_plans import CONTEXT_SQL
+from .log_plans import RULES
 
 COLS = ["record_number", "event_type", "event_subtype", "net_proto", "app_service"]
 SHORT, LONG = "record_number % 101 = 0", "record_number % 103 = 0"
@@ -68,7 +71,39 @@ def sc4_order(logs):
     value = F.when(n % 500 == 0, n + 2).when(n % 700 != 0, n)
     ordered = logs.select("record_number", value.alias("value"), "event_type").repartitionByRange(4, "record_number").sortWithinPartitions("record_number")
     ordered.select(F.to_json(F.struct("value", "event_type")).alias("text")).write.text(path)
-    return files.order_faults(logs.sparkSession, path, "value").select("value", "previous")
+    return files.order_faults(logs.sparkSession, path, ("value", "bigint")).select("value", "previous")
+
+
+@query("au18_finding_order", "logs", sql=f"WITH s AS (SELECT record_number, rule_id, t FROM {RULES}, (VALUES (1), (2)) v(t) WHERE t = 1 OR record_number % 40 = 0), o AS (SELECT *, CASE WHEN record_number % 90 = 0 THEN record_number + 100000000 ELSE record_number END AS shown FROM s), p AS (SELECT shown, rule_id, lag(shown) OVER w AS ps, lag(rule_id) OVER w AS pr FROM o WINDOW w AS (ORDER BY record_number, rule_id, t)) SELECT shown AS record_number, rule_id, ps AS previous_record, pr AS previous_rule FROM p WHERE shown < ps OR (shown = ps AND rule_id <= pr)")
+def au18(logs):
+    """Findings of a file that are out of order or repeated, by record and rule; some are written twice, some with a number too high."""
+    path, n = shared_dir(logs.sparkSession), F.col("record_number")
+    found = detect.findings(normalize.normalize(logs)).select("record_number", "rule_id")
+    ordered = found.withColumn("t", F.explode(F.expr("sequence(1, if(record_number % 40 = 0, 2, 1))"))).repartitionByRange(3, "record_number", "rule_id", "t").sortWithinPartitions("record_number", "rule_id", "t")
+    shown = F.when(n % 90 == 0, n + 100_000_000).otherwise(n)
+    ordered.select(F.to_json(F.struct(shown.alias("record_number"), "rule_id")).alias("text")).write.text(path)
+    f = files.order_faults(logs.sparkSession, path, ("record_number", "bigint"), ("rule_id", "string"))
+    return f.select("value.record_number", "value.rule_id", F.col("previous.record_number").alias("previous_record"), F.col("previous.rule_id").alias("previous_rule"))
+
+
+SUMMARY = f"(SELECT 'TOTAL' AS section, '' AS key, count(*) AS value FROM {RULES} UNION ALL SELECT 'RULE', rule_id, count(*) FROM {RULES} GROUP BY ALL UNION ALL SELECT 'SEVERITY', concat(rule_id, ':', severity), count(*) FROM {RULES} GROUP BY ALL UNION ALL SELECT 'MATCHED', '', count(DISTINCT record_number) FROM {RULES} UNION ALL SELECT 'SAMPLE', concat(rule_id, ':', rn), record_number FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY record_number) AS rn FROM {RULES}) WHERE rn <= 5)"
+STATED = f"(SELECT section, key, CASE WHEN section = 'RULE' THEN value + 1 WHEN key LIKE '%:3' THEN value * 2 ELSE value END AS value FROM {SUMMARY} WHERE NOT (section = 'SEVERITY' AND key LIKE '%HIGH') UNION ALL SELECT 'RULE', 'RULE_UNKNOWN', 1)"
+
+
+@query("au4_run_summary", "logs", sql=f"SELECT section, key, e.value AS expected, a.value AS actual, CASE WHEN e.value IS NULL THEN 'UNEXPECTED' WHEN a.value IS NULL THEN 'ABSENT' ELSE 'DIFFERENT' END AS status FROM {SUMMARY} e FULL JOIN {STATED} a USING (section, key) WHERE e.value IS DISTINCT FROM a.value")
+def au4(logs):
+    """A run's stated summary against the one that its findings give: totals, rules, severities, matched records and samples."""
+    real = stored(detect.run_summary(detect.findings(normalize.normalize(logs))))
+    value = F.when(F.col("section") == "RULE", F.col("value") + 1).when(F.col("key").like("%:3"), F.col("value") * 2).otherwise(F.col("value"))
+    stated = real.filter("not (section = 'SEVERITY' and key like '%HIGH')").select("section", "key", value.alias("value"))
+    return frames.full_compare(real, stated.unionByName(logs.sparkSession.createDataFrame([("RULE", "RULE_UNKNOWN", 1)], "section string, key string, value long")), ["section", "key"], "value")
+
+
+@query("sf18_sf33_digests", "flows", sql="SELECT record_number, sha256(concat('[\"order\",7,', record_number, ']')) AS digest, CAST(('0x' || substr(sha256(concat('[\"order\",7,', record_number, ']')), 1, 16))::UBIGINT AS DECIMAL(20, 0)) AS bucket, concat('R-', sha256(concat('[\"review\",\"', sha256('flows'), '\",', record_number, ']'))) AS review_id FROM flows")
+def sf18(flows):
+    """Digest and 64-bit bucket of a namespace, a seed and a number, and the pseudonymous review id of the record."""
+    digest, bucket = S.digest_order("order", 7, "record_number")
+    return flows.select("record_number", digest.alias("digest"), bucket.alias("bucket"), S.review_id(hashlib.sha256(b"flows").hexdigest(), "record_number").alias("review_id"))
 
 
 @query("sc12_sf13_canonical_lines", "flows", sql="SELECT concat('{\"flow\":{\"bytes\":{\"received\":', received_bytes, ',\"sent\":', coalesce(CAST(sent_bytes AS STRING), 'null'), '},\"ports\":[', coalesce(CAST(source_port AS STRING), 'null'), ',', coalesce(CAST(destination_port AS STRING), 'null'), ']},\"record_number\":', record_number, ',\"score\":', raw_score, ',\"tags\":{\"a\\\"b\":', coalesce('\"' || service || '\"', 'null'), ',\"session\":\"', session_id, '\"}}') AS line FROM flows")

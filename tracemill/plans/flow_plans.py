@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import features, frames, graph
+from ..operators import features, frames, graph, splits
 from ..registry import query
 
 REF = "('0x' || substr(sha256(concat('session', session_id)), 1, 16))::UBIGINT % 10 < 8"
@@ -85,7 +85,8 @@ def ml1(flows):
 
 @query("ag29_j15_sf23_rarity", "flows", sql=f"SELECT f.record_number, round({rare('service')}, 6) AS service_rarity FROM flows f {rare_joins('service')}")
 def ag29(flows):
-    return features.with_rarity(flows, features.rarity_counts(flows, is_ref())).select("record_number", F.round("service_rarity", 6).alias("service_rarity"))
+    one = {"service_rarity": features.RARE["service_rarity"]}
+    return features.with_rarity(flows, features.rarity_counts(flows, is_ref(), one), one).select("record_number", F.round("service_rarity", 6).alias("service_rarity"))
 
 
 @query("ag30_ag31_distributions", "flows", sql=f"SELECT 'sent_packets' AS field, CAST(sent_packets AS STRING) AS value, count(*) AS cnt FROM flows WHERE {REF} GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM flows WHERE {REF} GROUP BY 2")
@@ -141,19 +142,8 @@ def j14(e):
     return features.nearest_centroid(rows, centres).select("vec_id", F.round("distance", 5).alias("distance"), "nearest")
 
 
-def keys(d):
-    """Star edges: each row to the smallest row of its key, for either kind of key. Blank keys link nothing."""
-    out = None
-    for k in ("exact_key", "near_key"):
-        rows = d.filter(S.filled(k)).select(F.col("row_key").alias("a"), F.unhex(F.sha2(k, 256)).alias("h"))
-        low = rows.groupBy("h").agg(F.min("a").alias("b"))
-        e = rows.join(low, "h").select("a", "b")
-        out = e if out is None else out.unionByName(e)
-    return out
-
-
 def rooted(d):
-    g = graph.components(keys(d))
+    g = graph.components(splits.star_edges(d, "row_key", splits.HARD_KEYS))
     return d.select("row_key").join(g, F.col("row_key") == F.col("node"), "left").select("row_key", F.coalesce("root", "row_key").alias("root"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import frames, labels, splits
 from ..registry import query
+from ..sources.shared import stored
 
 CONTROL = {"event_type": "utm", "event_subtype": "anomaly", "event_action": "clear_session"}
 ACCEPT = {"event_type": "traffic", "event_subtype": "forward", "event_action": "accept"}
@@ -163,9 +164,10 @@ def j16(s, e):
 @query("j22_ag63_feature_groups", "flows", sql="SELECT rk <= 100 AS top, count(*) FILTER (WHERE sent_bytes IS NULL) AS missing, count(*) FILTER (WHERE sent_bytes IS NOT NULL) AS eligible, count(*) FILTER (WHERE sent_bytes + received_bytes = 0) AS zero, round(quantile_cont(ln(1 + sent_bytes), 0.5), 6) AS mid FROM (SELECT *, row_number() OVER (ORDER BY raw_score DESC, record_number) AS rk FROM flows) GROUP BY 1")
 def j22(flows):
     top = flows.orderBy(F.desc("raw_score"), "record_number").limit(100).select("record_number", F.lit(True).alias("t"))
-    x = flows.join(top, "record_number", "left").withColumn("top", F.coalesce("t", F.lit(False)))
     b = F.col("sent_bytes")
-    return x.groupBy("top").agg(F.count_if(b.isNull()).alias("missing"), F.count_if(b.isNotNull()).alias("eligible"), F.count_if(b + F.col("received_bytes") == 0).alias("zero"), F.round(F.percentile(F.log1p(b.cast("double")), F.lit(0.5)), 6).alias("mid"))
+    x = stored(flows.join(top, "record_number", "left").withColumn("top", F.coalesce("t", F.lit(False))).select("top", "received_bytes", "sent_bytes", F.log1p(b.cast("double")).alias("l")))
+    mids = [frames.median(x.filter(side), "l", "mid").select(F.lit(t).alias("top"), F.round("mid", 6).alias("mid")) for t, side in ((True, F.col("top")), (False, ~F.col("top")))]
+    return x.groupBy("top").agg(F.count_if(b.isNull()).alias("missing"), F.count_if(b.isNotNull()).alias("eligible"), F.count_if(b + F.col("received_bytes") == 0).alias("zero")).join(F.broadcast(mids[0].unionByName(mids[1])), "top")
 
 
 @query("ag56_cross_part_hashes", "flows", sql="WITH h AS (SELECT DISTINCT ('0x' || substr(sha256(session_id), 1, 16))::UBIGINT % 3 AS p, concat_ws(':', protocol_number, source_port, sent_packets) AS v FROM flows) SELECT CAST(a.p AS INTEGER) AS part_a, CAST(b.p AS INTEGER) AS part_b, count(*) AS n FROM h a JOIN h b ON a.v = b.v AND a.p < b.p GROUP BY ALL")

@@ -29,10 +29,10 @@ def ag44(x):
     return n.crossJoin(F.broadcast(m)).select("status", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"), "tp", "fp", "fn", "tn")  # four rows
 
 
-@query("ag45_uncertainty_bounds", "reviewed", sql=f"WITH m AS ({MATRIX}), g AS (SELECT tp + a AS tp, fp + open_top - a AS fp, fn + b AS fn FROM m, range(0, (SELECT open_top + 1 FROM m)) r(a), range(0, (SELECT open_other + 1 FROM m)) q(b)) SELECT round(min(tp / nullif(tp + fp, 0)), 6) AS precision_low, round(max(tp / nullif(tp + fp, 0)), 6) AS precision_high, round(min(tp / nullif(tp + fn, 0)), 6) AS recall_low, round(max(tp / nullif(tp + fn, 0)), 6) AS recall_high, round(min(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS f1_low, round(max(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS f1_high FROM g")
+@query("ag45_uncertainty_bounds", "reviewed", sql=f"WITH m AS ({MATRIX}), g AS (SELECT tp + a AS tp, fp + open_top - a AS fp, fn + b AS fn FROM m, range(0, (SELECT open_top + 1 FROM m)) r(a), range(0, (SELECT open_other + 1 FROM m)) q(b)) SELECT round(min(tp / nullif(tp + fp, 0)), 6) AS precision_low, round(max(tp / nullif(tp + fp, 0)), 6) AS precision_high, round(min(tp / nullif(tp + fn, 0)), 6) AS recall_low, round(max(tp / nullif(tp + fn, 0)), 6) AS recall_high, round(min(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS f1_low, round(max(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS f1_high, count(*) FILTER (WHERE tp + fp = 0 OR tp + fn = 0 OR 2 * tp + fp + fn = 0) > 0 AS undefined_possible FROM g")
 def ag45(x):
     b = review.uncertainty_bounds(review.review_matrix(x))
-    return b.select(*[F.round(f"{k}_{e}", 6).alias(f"{k}_{e}") for k in ("precision", "recall", "f1") for e in ("low", "high")])
+    return b.select(*[F.round(f"{k}_{e}", 6).alias(f"{k}_{e}") for k in ("precision", "recall", "f1") for e in ("low", "high")], "undefined_possible")
 
 
 @query("ag47_reference_agreement", "reviewed", sql=" UNION ALL ".join(OVERLAP.format(n=n, e=e) for n, e in FLAGS.items()))

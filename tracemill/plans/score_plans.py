@@ -51,8 +51,8 @@ def pf28(x):
 
 @query("ag34_quantiles", "labelled_scores", sql="SELECT round(quantile_cont(score, 0.05), 6) AS q05, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.95), 6) AS q95 FROM labelled_scores")
 def ag34(x):
-    q = F.percentile("score", F.array(*[F.lit(v) for v in (0.05, 0.5, 0.95)]))
-    return x.agg(q.alias("q")).select(*[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q05", "q50", "q95"))])
+    q = frames.quantile_cont(x, "score", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    return q.select(*[F.round(n, 6).alias(n) for n in q.columns])
 
 
 @query("ag37_ag60_histogram", "labelled_scores", sql="SELECT CAST(b AS BIGINT) AS bin, count(score) AS n FROM range(0, 10) r(b) LEFT JOIN labelled_scores ON least(9, floor(score / 1000)) = b GROUP BY 1")

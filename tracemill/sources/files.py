@@ -48,13 +48,17 @@ def write_canonical_lines(df: DataFrame, path: str) -> None:
     df.select(row_json(df.schema).alias("value")).write.mode("errorifexists").text(path)
 
 
-def order_faults(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """file, value, previous: records whose number does not rise over the one before it in the files, taken by name.
+def order_faults(spark: SparkSession, path: str, *fields: tuple[str, str]) -> DataFrame:
+    """file, value, previous: records whose key does not rise over the one before it in the files, taken by name.
+
+    ``fields`` (name, type) make the key; one field is its own key, several are a struct. A repeated key does not rise either.
 
     The order is that of the lines, not of the numbers. Inside a split, which one task reads, lines are numbered as they
-    come; splits are joined by their first and last numbers, one row a split. A record without a number is a fault of its own.
+    come; splits are joined by their first and last numbers, one row a split. A record without its first field is a fault of its own.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.get_json_object("value", f"$.{field}").cast("bigint").alias("value"))
+    cells = [F.get_json_object("value", f"$.{name}").cast(kind).alias(name) for name, kind in fields]
+    key = F.struct(*cells) if len(cells) > 1 else cells[0]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), cells[0].isNull().alias("blank"), key.alias("value"))
     held = stored(lines.withColumn("line", F.monotonically_increasing_id()))
     inside = Window.partitionBy("file", "start").orderBy("line")
     before = held.withColumn("previous", F.lag("value").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
@@ -62,7 +66,7 @@ def order_faults(spark: SparkSession, path: str, field: str) -> DataFrame:
     across = ends.select("file", "start", F.lag("last").over(Window.orderBy("file", "start")).alias("across"))
     joined = before.join(F.broadcast(across), ["file", "start"])
     previous = F.when(F.col("first"), F.col("across")).otherwise(F.col("previous"))
-    return joined.select("file", "value", previous.alias("previous")).filter("value is null or value <= previous")
+    return joined.withColumn("previous", previous).filter(F.col("blank") | (F.col("value") <= F.col("previous"))).select("file", "value", "previous")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
