@@ -217,3 +217,29 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
 
 def docs_schema(spark, folder):
     return spark.read.parquet(f"{folder}/documents.parquet").schema
+
+
+def test_addresses_are_those_of_the_pattern():
+    import random
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("012.25a .") for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["1.2.3.4.5.6.7.8", "1.2.3.4.5", "1..2.3.4", "0001.02.3.255", "1.2.3.00000256", "9" * 500 + ".1.1.1"]
+    pattern = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for t in texts:
+        assert [(a, b) for a, b, _ in op9_pii.addresses(t)] == [m.span() for m in pattern.finditer(t)], t
+
+
+def test_long_uniform_texts_take_seconds(spark):
+    """A million digits or line ends, long runs of dots and signs, and a contact list of a megabyte."""
+    import time
+
+    contacts = " ".join(f"mail u{i}@ex{i % 7}.org or +49 30 {i:07d}, host 10.{i % 256}.3.{i % 200}, card 4111 1111 1111 1111;" for i in range(12_000))
+    model = op9_pii.Boosted([], 1.0, [0.5] * 4)
+    for t in ("7" * 1_000_000, "1." * 10_000, "a" * 200_000 + "@", "+1" * 10_000, "\n" * 1_000_000 + "5", contacts):
+        began = time.time()
+        base = op9_pii.base_spans(t)
+        added = op9_pii.added_spans(t, base, model)
+        assert time.time() - began < 60
+        ends = sorted((a, b) for a, _, b in added)
+        assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:], strict=False))
+    assert len(op9_pii.base_spans(contacts)) == 4 * 12_000

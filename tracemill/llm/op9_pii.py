@@ -38,7 +38,7 @@ MOST_A_DOC = 40
 LEAST_HELD = 20
 PRECISION = 0.99
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", re.I)
@@ -74,12 +74,33 @@ def emails(text: str):
         at = text.find("@", max(at + 1, pos))
 
 
+def addresses(text: str):
+    """Matches of the IP pattern. Every stretch of digits with single dots is met once; in it each four numbers in turn are a
+    match, as the leftmost search takes them. A long run of digits without dots costs no more than its length."""
+    for m in _DOTTED.finditer(text):
+        if text.count(".", m.start(), m.end()) >= 3:
+            parts, at = m.group().split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = at + sum(map(len, four)) + 3
+                yield at, end, four
+                at = end + 1
+
+
+def _marked(text: str, spans) -> bytearray:
+    """A byte for each character, 1 inside of the spans; a find() in a slice of it tells whether a span is met."""
+    marks = bytearray(len(text))
+    for a, _, b in spans:
+        marks[a:b] = b"\x01" * (b - a)
+    return marks
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base rule, by start, then kind. Matches that fail their check are dropped."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
-    for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".") if len(p.lstrip("0")) <= 3) and all(len(p.lstrip("0")) <= 3 for p in m.group().split(".")):
-            out.append((m.start(), 1, m.end()))
+    for start, end, parts in addresses(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts):
+            out.append((start, 1, end))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             d = digits_of(m.group())
@@ -198,7 +219,8 @@ def examples(text: str) -> list[tuple[list[float], bool]]:
         apart = not text[a - 1 : a].isalnum() and not text[b : b + 1].isalnum() and text[b : b + 1] != "_"
         return apart and (0, k, b - a) in base_spans(text[a:b])
 
-    free = [c for c in candidates(text) if not any(c[0] < e and a < c[2] for a, _, e in base)]
+    met = _marked(text, base)
+    free = [c for c in candidates(text) if met.find(1, c[0], c[2]) < 0]
     return [(features(text, *c), alone(*c)) for c in free] + [(f, True) for f in rewritten(text, base)] + [(f, False) for f in lookalikes(text, base)]
 
 
@@ -274,13 +296,16 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: Boosted | No
     """Selected candidates that overlap no base span, the best first where they overlap each other."""
     if model is None:
         return []
-    free = [c for c in candidates(text) if not any(c[0] < b and a < c[2] for a, _, b in base)]
+    met = _marked(text, base)
+    free = [c for c in candidates(text) if met.find(1, c[0], c[2]) < 0]
     if not free:
         return []
-    s = model.score(np.array([features(text, *c) for c in free], float))
+    s = np.concatenate([model.score(np.array([features(text, *c) for c in free[i : i + 20_000]], float)) for i in range(0, len(free), 20_000)])
     out = []
     for i in sorted(range(len(free)), key=lambda i: (-s[i], free[i])):
-        if s[i] >= model.limits[free[i][1]] and not any(free[i][0] < b and a < free[i][2] for a, _, b in out):
+        start, kind, end = free[i]
+        if s[i] >= model.limits[kind] and met.find(1, start, end) < 0:
+            met[start:end] = b"\x01" * (end - start)
             out.append(free[i])
     return out
 
