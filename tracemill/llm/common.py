@@ -35,7 +35,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def bound_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bound the bytes of one Arrow batch in this session, unless it has a bound of its own.
 
-    Rows alone bound a batch by default; ten thousand long texts then stand in the executor's buffers and in Python.
+    Spark's own bound is 64 MB; with several tasks an executor that stands for a lot of memory in buffers and in Python.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:

@@ -6,7 +6,9 @@ takes off. Followed to the end and written out as one table of (next state, piec
 byte, each byte of a word costs one look-up, and no piece is ever built. Words of a batch advance side by side.
 
 Pieces are the byte strings of a byte-level vocabulary; a word is read with the blank before it. A word that the
-vocabulary cannot spell counts as one unknown piece. Null texts count 0 words and 0 pieces.
+vocabulary cannot spell counts as one unknown piece. Null texts count 0 words and 0 pieces. Every row gives a row, repeated
+doc_ids and null ones too; other columns are left out, whatever their names; an empty table gives an empty result. Texts
+are read whole, in slices of a few megabytes of whole texts; one longer text makes a slice alone.
 """
 
 from __future__ import annotations

@@ -249,7 +249,8 @@ def _labelled(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Every row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
-    ``width``: words in a shingle. Links: 100 * intersection >= threshold * union, threshold at least 80.
+    ``width``: words in a shingle. Links: 100 * intersection >= threshold * union, threshold at least 80. Other columns are left
+    out, whatever their names; an empty table gives an empty result; very long texts are shingled whole, one at a time.
     """
     out = _labelled(_keyed(only(docs, "doc_id", "text")), width, threshold).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

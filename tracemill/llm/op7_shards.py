@@ -6,7 +6,8 @@ The permutation sends number i to p; shard = p mod shards, slot = p div shards.
 most, slots have no gaps, and anyone who knows n and the seed can compute a row's place, or the row of a place.
 
 Null texts have size 1 and checksum 0; rows without doc_id are spread by checksum; equal rows get places of their
-own. An empty table gives an empty result.
+own. An empty table gives an empty result; other columns are left out, whatever their names; texts of any size are measured
+whole.
 """
 
 from __future__ import annotations
