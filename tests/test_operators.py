@@ -381,3 +381,18 @@ def test_rarity_of_chosen_fields_and_of_all(spark):
             want = 0.0 if r[col] is None else 1.0 if not seen else 1 - seen.count(r[col]) / len(seen)
             assert every[r["id"]][name] == pytest.approx(want)
         assert alone[r["id"]] == every[r["id"]]["service_rarity"]
+
+
+def test_observations_name_every_violation(spark):
+    from tracemill.operators import observe
+
+    kind = "record_number long, event struct<source_record_id: string>, session struct<identifier: string, sent_bytes: long, received_bytes: long, sent_packets: long, received_packets: long, duration_raw_value: long>, network struct<protocol_number: long, source: struct<port: long>, destination: struct<port: long>>, application struct<service_source: string>, issues array<struct<field: string, code: string, status: string>>"
+    fine = (1, ("id",), ("s", 1, 2, 3, 4, 5), (6, (80,), (443,)), ("HTTP",), [("itime", "MISSING_ITIME", "UNKNOWN")])
+    empty = (2, ("id",), ("", None, None, None, None, None), (0, (None,), (None,)), ("",), [])
+    bad = (0, ("",), ("s", -1, None, None, None, -7), (256, (65536,), (-1,)), (None,), [("net_sentpkts", "X", "ACTUAL_INVALID"), (None, "Y", "EXPECTED")])
+    none = (3, (None,), (None, 0, 0, 0, 0, 0), (None, (0,), (65535,)), ("a",), None)
+    got = {r["record_number"]: r for r in observe.observations(spark.createDataFrame([fine, empty, bad, none], kind)).collect()}
+    assert got[1]["violations"] == [] and got[2]["violations"] == [] and got[2]["session_id"] is None and got[2]["service"] is None
+    assert got[0]["violations"] == ["INVALID:net_sentpkts", "record_number", "record_id", "protocol_number", "source_port", "destination_port", "sent_bytes", "duration"]
+    assert got[3]["violations"] == ["record_id", "protocol_number"]
+    assert {r["partition"] for r in got.values()} <= {"REFERENCE", "HOLDOUT"} and got[1]["partition"] == got[0]["partition"]  # one session

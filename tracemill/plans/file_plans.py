@@ -46,6 +46,16 @@ def sc2(logs):
     return logs.sparkSession.createDataFrame(faults, "fault string, name string").crossJoin(n)
 
 
+@query("sc2_planted_header", "logs", sql="WITH a AS (SELECT DISTINCT event_action AS name FROM logs), t AS (SELECT DISTINCT event_type AS name FROM logs) SELECT 'ABSENT' AS fault, name FROM t WHERE name NOT IN (SELECT name FROM a) UNION ALL SELECT 'REPEATED', min(name) FROM a UNION ALL SELECT 'BLANK', CAST(count(*) + 1 AS STRING) FROM a")
+def sc2_planted(logs):
+    """Faults of a header that the data give: every action is a column, the first one twice, one name is blank, and the
+    event types are wanted as well."""
+    spark, path = logs.sparkSession, shared_dir(logs.sparkSession)
+    names, types = (sorted(r[0] for r in logs.select(c).distinct().collect()) for c in ("event_action", "event_type"))  # a few values each
+    spark.createDataFrame([(",".join([*names, names[0], " "]),)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame(files.header_faults(spark, path, [*names, *types]), "fault string, name string")
+
+
 @query("sc9_csv_to_events", "logs", sql="SELECT record_number, CASE WHEN trim(event_type) <> '' THEN event_type END AS event_type, try_cast(net_proto AS BIGINT) AS protocol FROM logs")
 def sc9(logs):
     path = shared_dir(logs.sparkSession)

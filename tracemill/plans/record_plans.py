@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detect, frames, mapping, normalize
+from ..operators import detect, frames, mapping, normalize, observe
 from ..registry import query
 from .log_plans import RULES
 from .sqltext import i, m
@@ -106,3 +106,22 @@ def sf10(x):
 def sf35(x):
     items = F.array((F.col("row_key") % 5).cast("string"), F.coalesce("blind_label", F.lit("NONE")), (F.col("row_key") % 3).cast("string"))
     return x.select("row_key", (S.sorted_unique(items) == items).alias("clean"), F.array_join(S.sorted_unique(items), ",").alias("items"))
+
+
+def observed_sql() -> str:
+    """SQL of an observation: its columns, part and violations."""
+    proto, session = PATHS["network.protocol_number"], PATHS["session.identifier"]
+    invalid = [f"CASE WHEN NOT {m('net_proto')} AND {i('net_proto')} IS NULL THEN 'INVALID:net_proto' END"]
+    invalid += [f"CASE WHEN NOT {m(f)} AND NOT coalesce({i(f)} BETWEEN 0 AND 65535, false) THEN 'INVALID:{f}' END" for f in ("src_port", "dst_port")]
+    invalid += [f"CASE WHEN NOT {m(f)} AND NOT coalesce({i(f)} >= 0, false) THEN 'INVALID:{f}' END" for f in observe.CHECKED[3:]]
+    shape = [f"CASE WHEN {m('loguid')} THEN 'record_id' END", f"CASE WHEN {proto} IS NULL OR NOT {proto} BETWEEN 0 AND 255 THEN 'protocol_number' END"]
+    digest = f"sha256(CASE WHEN ({session}) IS NULL THEN concat('[\"split\",\"record\",', record_number, ']') ELSE concat('[\"split\",\"session\",\"', {session}, '\"]') END)"
+    part = f"CASE WHEN ('0x' || substr({digest}, 1, 16))::UBIGINT % 10 <= 7 THEN 'REFERENCE' ELSE 'HOLDOUT' END"
+    numbers = ", ".join(f"{PATHS[p]} AS {n}" for n, p in observe.NUMBERS.items())
+    return f"SELECT record_number, {PATHS['event.source_record_id']} AS record_id, {session} AS session_id, {part} AS partition, {numbers}, {PATHS['application.service_source']} AS service, concat_ws(',', {', '.join(invalid + shape)}) AS violations FROM records"
+
+
+@query("ml1_full_observations", "records", sql=observed_sql())
+def ml1_full(records):
+    """The narrow observation of every full record, with its part and all violations of its contract."""
+    return observe.observations(mapping.normalize_records(records)).withColumn("violations", F.array_join("violations", ","))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detect, explain, features, frames, graph, learn, metrics, normalize, scorers, splits, store, validation
+from ..operators import contexts, detect, explain, features, frames, graph, learn, metrics, normalize, scorers, splits, store, validation
 from ..registry import query
 from ..sources import files
 from ..sources.shared import shared_dir, stored
@@ -109,6 +109,25 @@ def rp3(x):
     return out.select("population", "model", F.round("base_ap", 6).alias("base_ap"), F.round("chain_ap", 6).alias("chain_ap"), F.round(d, 6).alias("delta_ap"), result.alias("result"))
 
 
+def metric_sql(model: str, population: str) -> str:
+    """SQL of all metrics of one model's scores on one population."""
+    score = {"BASE": "score", **MODELS}[model]
+    own = f"(SELECT CAST({score} AS DOUBLE) AS s, label = 1 AS y FROM labelled_scores WHERE {POPULATIONS[population]})"
+    counts = f"(SELECT count(*) AS n, count(*) FILTER (WHERE y) AS positives, count(*) FILTER (WHERE s >= 2000 AND y) AS tp, count(*) FILTER (WHERE s >= 2000 AND NOT y) AS fp, count(*) FILTER (WHERE s < 2000 AND y) AS fn, count(*) FILTER (WHERE s < 2000 AND NOT y) AS tn FROM {own})"
+    values = {"n": "n", "positives": "positives", "tp": "tp", "fp": "fp", "fn": "fn", "tn": "tn", "accuracy": "CAST(tp + tn AS DOUBLE) / nullif(n, 0)", "precision": "CAST(tp AS DOUBLE) / nullif(tp + fp, 0)", "recall": "CAST(tp AS DOUBLE) / nullif(tp + fn, 0)", "f1": "2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0)"}
+    values |= {"ap": ap_sql(score, POPULATIONS[population]), "auc": f"(SELECT sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0 END) / count(*) FROM {own} a, {own} b WHERE a.y AND NOT b.y)"}
+    return " UNION ALL ".join(f"SELECT '{model}' AS model, '{population}' AS population, '{k}' AS metric, round(CAST({e} AS DOUBLE), 6) AS value FROM {counts}" for k, e in values.items())
+
+
+@query("rp2_metrics_by_population", "labelled_scores", sql=" UNION ALL ".join(metric_sql(m, p) for m in ("BASE", *MODELS) for p in POPULATIONS))
+def rp2_whole(x):
+    """The long table of metrics by model and population: matrix, rates at one threshold, AP and ROC-AUC."""
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.expr(e).cast("double").alias("s")) for m, e in {"BASE": "score", **MODELS}.items()])
+    population = F.array_compact(F.array(*[F.when(F.expr(w), n) for n, w in POPULATIONS.items()]))
+    long = x.select("label", F.explode(population).alias("population"), models.alias("m")).select("label", "population", F.explode("m").alias("m")).select("label", "population", "m.*")
+    return contexts.metric_table(long, ["model", "population"], F.col("s") >= 2000, "s").withColumn("value", F.round("value", 6))
+
+
 def kind_sql(f: str) -> str:
     return "MISSING" if f in explain.MISSING else "RARITY" if f in features.RARE else "SIGN" if f in explain.SIGNS else "NUMBER"
 
@@ -154,6 +173,33 @@ def ml20(flows):
     return x.select("record_number", "selected", F.array_join("behaviours", ",").alias("behaviours"), "attack_type", "strength", "status", shown.alias("reasons"), F.expr("get(reasons, 0).text").alias("first_text"), F.round("priority", 6).alias("priority"), F.array_join("rules", ",").alias("rules"), "rank")
 
 
+#: Faults planted in explanations, by record number.
+PLANTED = {"ABSENT": 37, "SELECTED": 41, "PRIORITY": 43, "RANK": 47, "RULES": 53, "STATUS": 59, "REASONS": 61, "STRENGTH": 67, "ATTACK_TYPE": 71}
+MADE = f"FROM (SELECT record_number, row_number() OVER (ORDER BY raw_score DESC, record_number) AS place FROM flows) WHERE record_number % {PLANTED['ABSENT']} <> 0"
+
+
+@query("au9_explanation_audit", "flows", sql=f"SELECT 'ABSENT' AS \"check\", CAST(record_number AS STRING) AS key FROM flows WHERE record_number % {PLANTED['ABSENT']} = 0 UNION ALL SELECT 'UNEXPECTED', '-1' UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', CAST(record_number AS STRING) {MADE} AND record_number % {k} = 0{' AND place > 50' if n == 'STRENGTH' else ''}" for n, k in PLANTED.items() if n != "ABSENT") + f" UNION ALL SELECT 'BEHAVIOURS', CAST(record_number AS STRING) {MADE} AND record_number % 2 = 0 AND place <= 50")
+def au9(flows):
+    """Explanations with planted faults against the scores that they belong to."""
+    n = F.col("record_number")
+    ranked = frames.global_rank(flows, [F.desc("raw_score"), "record_number"], "place").select("record_number", "place")
+    scored = frames.reference_percentile(flows, "raw_score", F.lit(True), "score").join(ranked, "record_number")
+    rules = F.array_compact(F.array(*[F.when(F.expr(e), r) for r, e in RULE_IDS.items()]))
+    scores = stored(scored.select("record_number", "score", "place", rules.alias("rules"), F.coalesce(F.expr(THREAT), F.lit(False)).alias("threat")))
+    at = lambda name: n % PLANTED[name] == 0
+    right = frames.global_rank(scores.withColumn("priority", S.priority("score", (F.size("rules") > 0) | F.col("threat"))), [F.desc("priority"), "place"], "rank")
+    reason = lambda e: F.struct(F.lit("f").alias("feature"), F.lit(e).alias("extremeness"), F.lit("").alias("text"))
+    top = F.col("place") <= 50
+    made = right.filter(~at("ABSENT")).select(
+        "record_number", F.when(at("SELECTED"), ~top).otherwise(top).alias("selected"), F.when(n % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("B"))).alias("behaviours"),
+        F.when(at("ATTACK_TYPE") != top, "type").alias("attack_type"), F.when(at("STRENGTH") | top, "LOW").alias("strength"), F.when(at("STATUS"), "LIMITED").otherwise("COMPLETE").alias("status"),
+        F.when(at("REASONS"), F.array(reason(0.5), reason(0.9), reason(0.7))).otherwise(F.array(reason(0.9), reason(0.9), reason(0.2))).alias("reasons"), F.when(at("PRIORITY"), F.col("priority") + 0.5).otherwise(F.col("priority")).alias("priority"),
+        F.when(at("RULES"), F.concat(F.array_sort("rules"), F.array(F.lit("RULE_X")))).otherwise(F.array_sort("rules")).alias("rules"), F.when(at("RANK"), F.col("rank") + 1).otherwise(F.col("rank")).alias("rank"),
+    )
+    foreign = made.limit(1).withColumn("record_number", F.lit(-1).cast("bigint"))
+    return explain.audit(made.unionByName(foreign), scores, "record_number")
+
+
 @query("sf30_evidence_strength", "flows", sql="SELECT record_number, CASE WHEN place > 50 OR q = 0 THEN NULL WHEN q >= 2 AND seen THEN 'HIGH' WHEN q >= 2 OR seen THEN 'MEDIUM' ELSE 'LOW' END AS strength FROM (SELECT record_number, row_number() OVER (ORDER BY raw_score DESC, record_number) AS place, CASE WHEN sent_bytes > 50000 THEN 1 ELSE 0 END + CASE WHEN sent_packets > 40 THEN 1 ELSE 0 END + CASE WHEN service IS NULL THEN 1 ELSE 0 END AS q, coalesce(destination_port % 2 = 0, false) AS seen FROM flows)")
 def sf30(flows):
     r = frames.global_rank(flows, [F.desc("raw_score"), "record_number"], "place")
