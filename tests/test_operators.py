@@ -2,12 +2,13 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill import registry
 from tracemill.functions import scalars as S
-from tracemill.operators import detect, explain, frames, graph, metrics, splits
+from tracemill.operators import detect, explain, forest, frames, graph, metrics, signals, splits
 from tracemill.plans import label_plans
 
 
@@ -420,3 +421,22 @@ def test_masked_metrics_with_every_group_seen_and_nulls(spark, groups):
     sql = registry.ORACLES["ml21_masked_metrics"]
     want = duckdb.sql(sql[sql.index("SELECT 'ALL'") :]).fetchall()
     assert sorted(tuple(r) for r in label_plans.ml21(df).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["<f4", "<f8"])
+def test_walks_end_where_single_steps_end(kind):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(9000, 3)), 1)
+    x[5, 1] = np.nan
+    trees = [forest.grow(x[100 * k : 100 * k + 300], 7, np.random.default_rng(k)).astype(kind) for k in range(4)] + [forest.grow(x[:1], 7, rng).astype(kind)]
+
+    def end(nodes, row):
+        at = 0
+        while nodes[at, 0] >= 0:
+            at = int(nodes[at, 2] if row[int(nodes[at, 0])] <= nodes[at, 1] else nodes[at, 3])
+        return float(nodes[at, 4])
+
+    got = forest.walked(x, [forest.packed(n) for n in trees])
+    assert got == pytest.approx([sum(end(n, row) for n in trees) for row in x])
+    c = rng.normal(size=(5, 3))
+    assert signals.distances(x[10:], c) == pytest.approx(((x[10:, None, :] - c[None]) ** 2).sum(2).min(1))
