@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tracemill import registry
 from tracemill.functions import scalars as S
 from tracemill.operators import detect, explain, forest, frames, graph, metrics, signals, splits
-from tracemill.plans import label_plans
+from tracemill.plans import label_plans, store_plans
+from tracemill.sources.views import view
 
 
 def test_ranks_and_percentiles_with_ties(spark):
@@ -440,3 +441,15 @@ def test_walks_end_where_single_steps_end(kind):
     assert got == pytest.approx([sum(end(n, row) for n in trees) for row in x])
     c = rng.normal(size=(5, 3))
     assert signals.distances(x[10:], c) == pytest.approx(((x[10:, None, :] - c[None]) ** 2).sum(2).min(1))
+
+
+@pytest.mark.parametrize("name", ["sf26_sf27_sf28_drivers", "ml20_explanation_record"])
+def test_features_of_many_values_are_joined_alike(spark, monkeypatch, name):
+    """Looked up in a task or joined by shuffles, in part or all: the same rows."""
+    flows = view(spark, "/root/testdata/sf0.001", "flows").filter("record_number % 4 = 0")
+    plan = {"sf26_sf27_sf28_drivers": store_plans.sf28, "ml20_explanation_record": store_plans.ml20}[name]
+    got = []
+    for few in (explain.FEW_VALUES, 300, 0):
+        monkeypatch.setattr(explain, "FEW_VALUES", few)
+        got.append(sorted(map(str, plan(flows).collect())))
+    assert got[0] and got[0] == got[1] == got[2]

@@ -24,6 +24,12 @@ def text_sql(x: str) -> str:
     return let(x, "s", f"""concat('"', if(s rlike r'[\\x00-\\x1f"\\\\]', aggregate(array({ESCAPES}), s, (t, p) -> replace(t, p.c, p.e)), s), '"')""")
 
 
+def name_sql(name: str) -> str:
+    """A known name as a JSON string, escaped when the expression is written and not for every row."""
+    short = {i: f"\\{SHORT.get(i, f'u{i:04x}')}" for i in range(32)}
+    return repr_sql('"' + name.translate({92: "\\\\", 34: '\\"', **short}) + '"')
+
+
 def double_sql(x: str) -> str:
     """The shortest digits of a number; plain from 1e-4 up to 1e16, else with an exponent of two digits or more.
 
@@ -44,6 +50,8 @@ def double_sql(x: str) -> str:
     body = let(first, "m", let(mantissa, "k", let(digits, "d", plain)))
     body = let("cast(v as string)", "t", let("try_cast(regexp_extract(t, 'E(-?[0-9]+)$', 1) as int)", "w", body))
     bad = "cast(raise_error(concat('no JSON form of ', cast(n as string))) as string)"
+    # Numbers that the JVM prints without an exponent stay as they are.
+    body = f"if(v = 0 or (v >= 1e-3 and v < 1e7), cast(v as string), {body})"
     signed = f"if(isnan(n) or abs(n) = cast('inf' as double), {bad}, concat(if(cast(n as string) like '-%', '-', ''), {let('abs(n)', 'v', body)}))"
     return let(f"cast({x} as double)", "n", signed)
 
@@ -52,7 +60,7 @@ def canonical_sql(x: str, kind: T.DataType, depth: int = 0, fields=None) -> str:
     """The canonical JSON text of a value of a type; structs and maps by name of key, nulls as null."""
     own = f"x{depth}"
     if isinstance(kind, T.StructType):
-        cell = lambda f: f"concat({text_sql(repr_sql(f.name))}, ':', {canonical_sql(fields(f.name) if fields else f'{own}.`{f.name}`', f.dataType, depth + 1)})"
+        cell = lambda f: f"concat({name_sql(f.name)}, ':', {canonical_sql(fields(f.name) if fields else f'{own}.`{f.name}`', f.dataType, depth + 1)})"
         cells = [cell(f) for f in sorted(kind.fields, key=lambda f: f.name)]
         body = "concat('{', array_join(array(" + ", ".join(cells) + "), ','), '}')" if cells else "'{}'"
         return body if fields else let(x, own, f"if({own} is null, 'null', {body})")
