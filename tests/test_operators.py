@@ -453,3 +453,11 @@ def test_features_of_many_values_are_joined_alike(spark, monkeypatch, name):
         monkeypatch.setattr(explain, "FEW_VALUES", few)
         got.append(sorted(map(str, plan(flows).collect())))
     assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_distinct_counts_leave_nulls_out(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("b"), F.lit(None).cast("long").alias("c"))
+    for rows in (1 << 20, 100):
+        got = frames.distinct_counts(df, {n: F.col(n) for n in "abc"}, rows).first()
+        assert tuple(got) == (7, 334, 0)
+    assert tuple(frames.distinct_counts(df.limit(0), {"a": F.col("a")}).first()) == (0,)
