@@ -88,3 +88,22 @@ def test_records_without_a_number(spark, tmp_path):
     (tmp_path / "y").mkdir()
     (tmp_path / "y" / "a.json").write_text('{"n":1}\n{"m":2}\n{"n":2}\n')
     assert [tuple(r)[1:] for r in files.order_faults(spark, f"file://{tmp_path}/y", ("n", "bigint")).collect()] == [(None, 1)]
+
+
+def test_values_are_compared_and_rebuilt_as_their_texts(spark):
+    df = spark.createDataFrame(nested(), SCHEMA).withColumn("json", canon.row_json(spark.createDataFrame([], SCHEMA).schema))
+    kind = df.drop("json").schema
+    back = canon.with_rebuilt(df, "json", kind, "j")
+    same = [canon.same_text(f"`{f.name}`", f"j.`{f.name}`", f.dataType) for f in kind.fields]
+    assert all(all(r) for r in back.select(*same).collect())
+    texts = spark.createDataFrame([('{"c":1}',), ('{"c":1,"d":2}',), ("null",), (None,)], "t string")
+    got = [r["j"] for r in canon.with_rebuilt(texts, "t", spark.createDataFrame([], "c int").schema, "j").collect()]
+    assert got[0]["c"] == 1 and got[1:] == [None, None, None]
+
+
+def test_listed_values_need_no_interpreted_filter(spark):
+    from tracemill.functions import scalars
+
+    x = spark.range(3).select(scalars.listed((F.col("id") > 0, F.struct(F.lit("a").alias("n"))), (F.col("id") > 1, F.struct(F.lit("b").alias("n"))), (F.lit(None).cast("boolean"), F.struct(F.lit("c").alias("n")))).alias("x"))
+    assert [[e["n"] for e in r["x"]] for r in x.orderBy(F.size("x")).collect()] == [[], ["a"], ["a", "b"]]
+    assert "lambda" not in x._jdf.queryExecution().optimizedPlan().toString()

@@ -5,7 +5,7 @@ Expressions are written as SQL text and parsed once: a nested type gives one tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,8 @@ def let(value: str, name: str, body: str) -> str:
 
 def text_sql(x: str) -> str:
     """A JSON string: quotes, backslashes and control characters escaped, all others as they are."""
-    return let(x, "s", f"""concat('"', if(s rlike r'[\\x00-\\x1f"\\\\]', aggregate(array({ESCAPES}), s, (t, p) -> replace(t, p.c, p.e)), s), '"')""")
+    # Written without a name for the text: what lambdas hold is interpreted for every row, and here only texts to be escaped need one.
+    return f"""concat('"', if({x} rlike r'[\\x00-\\x1f"\\\\]', aggregate(array({ESCAPES}), {x}, (t, p) -> replace(t, p.c, p.e)), {x}), '"')"""
 
 
 def name_sql(name: str) -> str:
@@ -50,22 +51,25 @@ def double_sql(x: str) -> str:
     body = let(first, "m", let(mantissa, "k", let(digits, "d", plain)))
     body = let("cast(v as string)", "t", let("try_cast(regexp_extract(t, 'E(-?[0-9]+)$', 1) as int)", "w", body))
     bad = "cast(raise_error(concat('no JSON form of ', cast(n as string))) as string)"
-    # Numbers that the JVM prints without an exponent stay as they are.
-    body = f"if(v = 0 or (v >= 1e-3 and v < 1e7), cast(v as string), {body})"
     signed = f"if(isnan(n) or abs(n) = cast('inf' as double), {bad}, concat(if(cast(n as string) like '-%', '-', ''), {let('abs(n)', 'v', body)}))"
-    return let(f"cast({x} as double)", "n", signed)
+    # Numbers that the JVM prints without an exponent stay as they are; the others are few and go through lambdas.
+    n = f"cast({x} as double)"
+    return f"if({n} is null or {n} = 0 or (abs({n}) >= 1e-3 and abs({n}) < 1e7), cast({n} as string), {let(n, 'n', signed)})"
 
 
 def canonical_sql(x: str, kind: T.DataType, depth: int = 0, fields=None) -> str:
     """The canonical JSON text of a value of a type; structs and maps by name of key, nulls as null."""
     own = f"x{depth}"
     if isinstance(kind, T.StructType):
-        cell = lambda f: f"concat({name_sql(f.name)}, ':', {canonical_sql(fields(f.name) if fields else f'{own}.`{f.name}`', f.dataType, depth + 1)})"
+        cell = lambda f: f"concat({name_sql(f.name)}, ':', {canonical_sql(fields(f.name) if fields else f'{x}.`{f.name}`', f.dataType, depth + 1)})"
         cells = [cell(f) for f in sorted(kind.fields, key=lambda f: f.name)]
         body = "concat('{', array_join(array(" + ", ".join(cells) + "), ','), '}')" if cells else "'{}'"
-        return body if fields else let(x, own, f"if({own} is null, 'null', {body})")
+        return body if fields else f"if({x} is null, 'null', {body})"
     if isinstance(kind, T.ArrayType):
         return f"coalesce(concat('[', array_join(transform({x}, {own} -> {canonical_sql(own, kind.elementType, depth + 1)}), ','), ']'), 'null')"
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.AtomicType):
+        cell = f"concat({text_sql(f'cast({own}.key as string)')}, ':', {canonical_sql(f'{own}.value', kind.valueType, depth + 1)})"
+        return f"coalesce(concat('{{', array_join(transform(sort_array(map_entries({x})), {own} -> {cell}), ','), '}}'), 'null')"
     if isinstance(kind, T.MapType):
         cell = f"concat({text_sql(f'cast(k{depth} as string)')}, ':', {canonical_sql(f'{own}[k{depth}]', kind.valueType, depth + 1)})"
         return let(x, own, f"coalesce(concat('{{', array_join(transform(array_sort(map_keys({own})), k{depth} -> {cell}), ','), '}}'), 'null')")
@@ -97,3 +101,22 @@ def rebuilt(text: str, kind: T.StructType) -> Column:
     that value, as with keys that are absent, foreign, repeated or out of order, and with values of another type."""
     back = let(f"from_json(z, {repr_sql(kind.toDDL())})", "y", f"if({canonical_sql('y', kind)} = z, y, null)")
     return F.expr(let(text, "z", back))
+
+
+def with_rebuilt(df: DataFrame, text: str, kind: T.StructType, name: str) -> DataFrame:
+    """df with ``name``, the ``rebuilt`` value of a column of texts, parsed and checked in two steps, so that both are compiled."""
+    parsed = df.withColumn(name, F.from_json(text, kind))
+    return parsed.withColumn(name, F.when(canonical_json(f"`{name}`", kind) == F.col(text), F.col(name)))
+
+
+def _plain(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_plain(f.dataType) for f in kind.fields)
+    return _plain(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.IntegralType, T.BooleanType, T.StringType))
+
+
+def same_text(a: str, b: str, kind: T.DataType) -> Column:
+    """Whether two SQL expressions of a type have one canonical text; without writing it where equal values alone have equal texts."""
+    if isinstance(kind, T.MapType) and _plain(kind.keyType) and _plain(kind.valueType):
+        return F.expr(f"sort_array(map_entries({a})) <=> sort_array(map_entries({b}))")
+    return F.expr(f"{a} <=> {b}") if _plain(kind) else canonical_json(a, kind) == canonical_json(b, kind)

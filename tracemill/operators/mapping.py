@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch_utc, filled, integer, missing, protocol_name
+from ..functions.scalars import epoch_utc, filled, integer, listed, missing, protocol_name
 
 #: Source field and the paths of an event that it fills, in the order of the export. No path: kept unmapped.
 FIELDS = [
@@ -63,8 +63,8 @@ def nested(paths: dict[str, Column]) -> list[Column]:
 def record_issues() -> Column:
     """field (null for the whole record), code and status of everything that is absent or cannot be converted."""
 
-    def issue(when: Column, field: str | None, code: str, status: str) -> Column:
-        return F.when(when, F.struct(F.lit(field).cast("string").alias("field"), F.lit(code).alias("code"), F.lit(status).alias("status")))
+    def issue(when: Column, field: str | None, code: str, status: str) -> tuple[Column, Column]:
+        return when, F.struct(F.lit(field).cast("string").alias("field"), F.lit(code).alias("code"), F.lit(status).alias("status"))
 
     time, proto = integer("itime"), integer("net_proto")
     both = missing("src_port") & missing("dst_port")
@@ -72,7 +72,7 @@ def record_issues() -> Column:
     all_metrics = F.lit(True)
     for f in METRICS:
         all_metrics = all_metrics & missing(f)
-    return F.array_compact(F.array(
+    return listed(
         issue(missing("itime"), "itime", "MISSING_ITIME", "UNKNOWN"),
         issue(filled("itime") & time.isNull(), "itime", "INVALID_ITIME_INTEGER", "ACTUAL_INVALID"),
         issue(time.isNotNull() & epoch_utc(time).isNull(), "itime", "ITIME_UTC_DERIVATION_UNAVAILABLE", "UNKNOWN"),
@@ -85,7 +85,7 @@ def record_issues() -> Column:
         *[issue(filled(f) & ~F.coalesce(integer(f) >= 0, F.lit(False)), f, "INVALID_NONNEGATIVE_INTEGER", "ACTUAL_INVALID") for f in METRICS],
         issue(all_metrics, None, "ALL_SESSION_METRICS_MISSING", "CONTEXT_DEPENDENT"),
         *[issue(missing(f) & ~all_metrics, f, "MISSING_CONTEXTUAL_SESSION_METRIC", "CONTEXT_DEPENDENT") for f in METRICS],
-    ))
+    )
 
 
 def normalize_records(records: DataFrame, key: str = "record_number", adapter: str = "firewall") -> DataFrame:
@@ -101,7 +101,7 @@ def normalize_records(records: DataFrame, key: str = "record_number", adapter: s
     values = {"source.adapter_type": F.lit(adapter), "source.record_number": F.col(key)} | {p: v for p, (_, _, v) in paths.items()}
     loose = [f for f, p in FIELDS if not p] + [c for c in records.columns if c not in known and c != key]
     text = {c: F.col(f"`{c}`").cast("string") for c in records.columns if c != key}
-    made = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(p).alias("path"), F.lit(f).alias("field"), F.lit(o).alias("operation"))) for p, (f, o, v) in paths.items()]))
+    made = listed(*[(v.isNotNull(), F.struct(F.lit(p).alias("path"), F.lit(f).alias("field"), F.lit(o).alias("operation"))) for p, (f, o, v) in paths.items()])
     return records.select(
         key, *nested(values), F.create_map(*[x for c, v in text.items() for x in (F.lit(c), v)]).alias("source_record"),
         F.create_map(*[x for c in loose for x in (F.lit(c), text[c])]).alias("unmapped_fields"), made.alias("provenance"), record_issues().alias("issues"),

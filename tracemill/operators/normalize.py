@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch_utc, filled, integer, missing, protocol_name
+from ..functions.scalars import epoch_utc, filled, integer, listed, missing, protocol_name
 
 #: section, path in it, source field; what is not listed stays in the map of unmapped fields.
 MAPPING = [
@@ -27,14 +27,14 @@ def metric(field: str) -> Column:
     return F.when(integer(field) >= 0, integer(field))
 
 
-def issue(when: Column, field: str, code: str) -> Column:
-    return F.when(when, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code")))
+def issue(when: Column, field: str, code: str) -> tuple[Column, Column]:
+    return when, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"))
 
 
 def issues() -> Column:
     icmp = integer("net_proto") == 1
     both = missing("src_port") & missing("dst_port")
-    return F.array_compact(F.array(
+    return listed(
         issue(missing("itime"), "itime", "MISSING_TIME"),
         issue(filled("itime") & integer("itime").isNull(), "itime", "INVALID_TIME"),
         issue(filled("net_proto") & integer("net_proto").isNull(), "net_proto", "INVALID_PROTOCOL"),
@@ -45,16 +45,16 @@ def issues() -> Column:
         issue(F.coalesce(~icmp, F.lit(True)) & missing("src_port"), "src_port", "CONTEXTUAL_MISSING"),
         issue(F.coalesce(~icmp, F.lit(True)) & missing("dst_port"), "dst_port", "CONTEXTUAL_MISSING"),
         issue(filled("net_sentbytes") & metric("net_sentbytes").isNull(), "net_sentbytes", "INVALID_METRIC"),
-    ))
+    )
 
 
 def provenance() -> Column:
     """One entry for every filled path."""
     paths = {f"{s}.{p}": f for s, p, f in MAPPING} | CONVERTED
-    return F.array_compact(F.array(*[
-        F.when(filled(f), F.struct(F.lit(p).alias("path"), F.array(F.lit(f)).alias("source_fields"), F.lit("CONVERTED" if p in CONVERTED else "COPIED").alias("operation")))
+    return listed(*[
+        (filled(f), F.struct(F.lit(p).alias("path"), F.array(F.lit(f)).alias("source_fields"), F.lit("CONVERTED" if p in CONVERTED else "COPIED").alias("operation")))
         for p, f in paths.items()
-    ]))
+    ])
 
 
 def normalize(logs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonkeys
 from ..functions import scalars as S
-from ..functions.canon import canonical_json, rebuilt, row_json
+from ..functions.canon import row_json, same_text, with_rebuilt
 from ..operators import detect, frames, normalize, quality, review, splits
 from ..registry import ORACLES, query
 from ..sources.shared import stored
@@ -72,9 +72,9 @@ def pf37_whole(logs):
     other = F.col("network").withField("sent_bytes", F.when(n % 13 == 0, F.col("network.sent_bytes") + 1).otherwise(F.col("network.sent_bytes")))
     text = e.withColumn("own", F.col("network")).withColumn("network", other).withColumn("json", row_json(e.schema)).drop("network").withColumnRenamed("own", "network")
     text = text.withColumn("json", F.when(n % 17 == 0, F.regexp_replace("json", r"^\{", '{"foreign":1,')).otherwise(F.col("json")))
-    back = text.withColumn("j", rebuilt("json", e.schema))
-    own = {f.name: (canonical_json(f"`{f.name}`", f.dataType), canonical_json(f"j.`{f.name}`", f.dataType)) for f in e.schema}
-    wrong = F.when(F.col("j").isNull(), F.array(F.lit("FORM"))).otherwise(F.array_compact(F.array(*[F.when(a != b, F.lit(c)) for c, (a, b) in own.items()])))
+    back = with_rebuilt(text, "json", e.schema, "j")
+    wrong = S.listed(*[(~same_text(f"`{f.name}`", f"j.`{f.name}`", f.dataType), F.lit(f.name)) for f in e.schema])
+    wrong = F.when(F.col("j").isNull(), F.array(F.lit("FORM"))).otherwise(wrong)
     return back.select("record_number", F.explode(wrong).alias("field"))
 
 
