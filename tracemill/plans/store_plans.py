@@ -62,8 +62,9 @@ SCORED = f"(SELECT *, CASE WHEN percentile >= 99.9 THEN 'TOP_0_1' WHEN percentil
 def au8(flows):
     """Ranks, percentiles, bands and flags of a kept score table against recomputed ones; some of each are changed."""
     n = F.col("record_number")
-    s = frames.reference_percentile(flows.select("record_number", "raw_score", is_ref().alias("ref")), "raw_score", F.col("ref"))
-    s = frames.global_rank(s, [F.desc("raw_score"), "record_number"], "rank").withColumn("band", S.anomaly_band("percentile")).withColumn("flag", F.col("percentile") >= 99)
+    # Flows are grouped once, and the sample of the ranges reads the percentiles instead of making them again.
+    s = frames.reference_percentile(stored(flows.select("record_number", "raw_score", is_ref().alias("ref"))), "raw_score", F.col("ref"))
+    s = frames.global_rank(stored(s), [F.desc("raw_score"), "record_number"], "rank").withColumn("band", S.anomaly_band("percentile")).withColumn("flag", F.col("percentile") >= 99)
     kept = s.select("record_number", F.when(n % 43 == 0, F.col("rank") + 1).otherwise(F.col("rank")).alias("k_rank"), F.when(n % 47 == 0, F.col("percentile") / 2 + 1e-3).otherwise(F.col("percentile")).alias("k_percentile"), F.when(n % 53 == 0, "TOP_5").otherwise(F.col("band")).alias("k_band"), F.when(n % 59 == 0, ~F.col("flag")).otherwise(F.col("flag")).alias("k_flag"))
     both = s.join(kept, "record_number")
     rules = {k: ~F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in ("rank", "percentile", "band", "flag")}
