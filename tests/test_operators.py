@@ -220,6 +220,51 @@ def test_tiers_equal_joined_sets(spark):
         assert {x.row_key: x.root for x in splits.tier_groups(df, "row_key", tier).collect()} == root
 
 
+def test_rows_of_equal_keys_give_few_edges_and_all_tiers_settle_at_once(spark, monkeypatch):
+    from tracemill.operators import splits
+    from tracemill.plans import store_plans
+
+    # 400 rows, few values of every key but the first: more rows that agree add no edge. A row of its own, one without any key, one without id.
+    rows = [(i, f"t{i // 2 if i < 40 else i}", f"n{i % 10}", f"s{i % 10}" if i % 3 else "", f"d{i % 7}", None) for i in range(400)]
+    rows += [(400, "alone", "alone", None, None, "h"), (401, None, "", " ", None, None), (None, "t0", "n0", "s0", "d0", "h")]
+    # An id that occurs three times joins what each of its rows has.
+    rows += [(500, "u1", None, None, None, None), (500, "u2", None, None, None, None), (500, "u3", None, None, None, None), *[(500 + i, f"u{i}", None, None, None, None) for i in (1, 2, 3)]]
+    names = ["row_key", "exact_key", "near_key", "entity_source", "entity_destination", "entity_host"]
+    df = spark.createDataFrame(rows, "row_key long, exact_key string, near_key string, entity_source string, entity_destination string, entity_host string")
+    met = []
+    monkeypatch.setattr(splits, "components", lambda edges, **kw: (met.append(edges.count()), met.append(edges.distinct().count()), graph.components(edges, **kw))[-1])
+    got = sorted(((r.tier, r.row_key, r.root) for r in store_plans.g3(df).collect()), key=str)
+    want = []
+    for tier, extra in splits.TIERS.items():
+        root = {r[0]: r[0] for r in rows if r[0] is not None}
+        for _ in range(20):
+            for k in [*splits.HARD_KEYS, *extra]:
+                low = {}
+                for r in rows:
+                    v = r[names.index(k)]
+                    if r[0] is not None and v and v.strip():
+                        low[v] = min(low.get(v, root[r[0]]), root[r[0]])
+                for r in rows:
+                    if r[0] is not None and (v := r[names.index(k)]) and v.strip():
+                        root[r[0]] = min(root[r[0]], low[v])
+        want += [(tier, r[0], root.get(r[0])) for r in rows]
+    assert got == sorted(want, key=str)
+    assert len(met) == 2 and met[1] < 400
+
+
+def test_graphs_apart_are_settled_together(spark):
+    edges = [(g, i + g, i + g + 1) for g in (0, 1) for i in range(0, 20, 2 - g)]
+    got = {(t["g"], t["node"]): t["root"] for t in graph.components(spark.createDataFrame(edges, "g int, a long, b long"), within=("g",)).collect()}
+    assert got == {(0, i): i // 2 * 2 for i in range(20)} | {(1, i): 1 for i in range(1, 22)}
+
+
+def test_match_keeps_every_row_of_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, "hot" if i < 300 else f"k{i}" if i % 2 else None) for i in range(320)], "r long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k301", 2)], "k string, v int")
+    got = {t["r"]: t["v"] for t in graph.with_match(rows, right, ["k"], "r").collect()}
+    assert got == {i: 1 if i < 300 else 2 if i == 301 else None for i in range(320)}
+
+
 def test_saved_model_scores_as_the_fitted_one(spark, tmp_path):
     from tracemill.operators import learn
 

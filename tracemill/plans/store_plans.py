@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import contexts, detect, explain, features, frames, graph, learn, metrics, normalize, scorers, splits, store, validation
+from ..operators import contexts, detect, explain, features, frames, learn, metrics, normalize, scorers, splits, store, validation
 from ..registry import query
 from ..sources import files
 from ..sources.shared import shared_dir, stored
@@ -221,11 +221,7 @@ def u2(flows):
 @query("g3_entity_tiers", "entity_keys")
 def g3(x):
     """tier, row_key, root: groups by hard keys alone, with source and host, and with all endpoints."""
-    out = None
-    for tier in splits.TIERS:
-        g = splits.tier_groups(x, "row_key", tier).select(F.lit(tier).alias("tier"), "row_key", "root")
-        out = g if out is None else out.unionByName(g)
-    return out
+    return splits.tier_roots(x, "row_key")
 
 
 @query("g10_staging", "entity_keys")
